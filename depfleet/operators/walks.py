@@ -20,22 +20,30 @@ def no_loops(link: DataFrame) -> DataFrame:
     return link.filter(F.col("src") != F.col("dst")).select(G, "src", "dst")
 
 
+def weighted(link: DataFrame) -> DataFrame:
+    """Edges between different nodes with their multiplicity as double."""
+    n = F.col("n").cast("double") if "n" in link.columns else F.lit(1.0)
+    return link.filter(F.col("src") != F.col("dst")).select(G, "src", "dst", n.alias("n"))
+
+
 def shortest_walks(link: DataFrame, sources: DataFrame | None = None, paths: bool = False,
                    counts: bool = False) -> list[Staged]:
     """Breadth-first levels: table k holds the pairs (src, dst) at distance k + 1.
 
     ``paths`` carries the smallest shortest path, ``counts`` the number of shortest
-    paths (as double).  ``sources`` (graph_id, node_id) restricts where walks start.
+    paths (as double; a column ``n`` of ``link`` says how many parallel edges there
+    are).  ``sources`` (graph_id, node_id) restricts where walks start.
     """
-    hop = stage(no_loops(link)).df
+    hop = stage(weighted(link)).df
     first = hop
     if sources is not None:
         first = hop.join(sources.select(G, F.col("node_id").alias("src")).distinct(), [G, "src"], "left_semi")
     if paths:
         first = first.withColumn("path", F.array("src", "dst"))
     if counts:
-        first = first.withColumn("sigma", F.lit(1.0))
-    onward = hop.select(G, F.col("src").alias("dst"), F.col("dst").alias("next"))
+        first = first.withColumn("sigma", F.col("n"))
+    first = first.drop("n")
+    onward = hop.select(G, F.col("src").alias("dst"), F.col("dst").alias("next"), "n")
     levels = [stage(first)]
     while levels[-1].rows:
         extended = levels[-1].df.join(onward, [G, "dst"]).filter(F.col("src") != F.col("next"))
@@ -44,7 +52,7 @@ def shortest_walks(link: DataFrame, sources: DataFrame | None = None, paths: boo
         if paths:
             aggregates.append(F.min(F.concat("path", F.array("next"))).alias("path"))
         if counts:
-            aggregates.append(F.sum("sigma").alias("sigma"))
+            aggregates.append(F.sum(F.col("sigma") * F.col("n")).alias("sigma"))
         grouped = extended.groupBy(*keys).agg(*aggregates) if aggregates else extended.select(*keys).distinct()
         known = union_all([s.df.select(*PAIR) for s in levels])
         levels.append(stage(grouped.join(known, PAIR, "left_anti")))
@@ -78,9 +86,9 @@ def betweenness(vertex: DataFrame, link: DataFrame, levels: list[Staged] | None
     Backward accumulation over the levels, from the farthest: every level is a join
     on (graph, source, node), so the work is sources x edges, never node triples.
     """
-    hop = stage(no_loops(link)).df
+    hop = stage(weighted(link)).df
     levels = levels or shortest_walks(hop, counts=True)
-    back = hop.select(G, F.col("src").alias("prev"), "dst")
+    back = hop.select(G, F.col("src").alias("prev"), "dst", "n")
     parts: list[DataFrame] = []
     below: DataFrame | None = None
     for k in range(len(levels) - 1, 0, -1):
@@ -91,7 +99,7 @@ def betweenness(vertex: DataFrame, link: DataFrame, levels: list[Staged] | None
             at = at.join(below, PAIR, "left").na.fill(0.0, ["delta"])
         pushed = (at.withColumn("share", (1.0 + F.col("delta")) / F.col("sigma"))
                   .join(back, [G, "dst"])
-                  .groupBy(G, "src", F.col("prev").alias("dst")).agg(F.sum("share").alias("share")))
+                  .groupBy(G, "src", F.col("prev").alias("dst")).agg(F.sum(F.col("share") * F.col("n")).alias("share")))
         below = stage(levels[k - 1].df.select(G, "src", "dst", "sigma").join(pushed, PAIR)
                       .select(G, "src", "dst", (F.col("sigma") * F.col("share")).alias("delta"))).df
         parts.append(below)
@@ -153,9 +161,11 @@ def cut_vertices(vertex: DataFrame, link: DataFrame, weak: DataFrame) -> DataFra
     return severed_pairs(sym, walks).select(G, F.col("via").alias("node_id")).distinct()
 
 
-def _cyclic_upstream(link: DataFrame) -> DataFrame:
+def _cyclic_upstream(link: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Nodes that are on a cycle or reach one; the rest of the graph is a plain DAG."""
-    labels = stage(strong_labels(link.select(G, F.explode(F.array("src", "dst")).alias("node_id")).distinct(), link)).df
+    if labels is None:
+        ends = link.select(G, F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+        labels = stage(strong_labels(ends, link)).df
     big = labels.groupBy(G, "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     on_cycle = labels.join(big, [G, "component"], "left_semi").select(G, "node_id")
     back = stage(link.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))).df
@@ -167,7 +177,8 @@ def _cyclic_upstream(link: DataFrame) -> DataFrame:
     return union_all([s.df for s in seen])
 
 
-def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int = 15, upstream: bool = False) -> DataFrame:
+def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int = 15, upstream: bool = False,
+                  labels: DataFrame | None = None) -> DataFrame:
     """Longest simple path from each vertex (or into it), at most ``max_nodes`` nodes.
 
     Of equally long paths the smallest is given.  Where no cycle can be reached the
@@ -178,7 +189,7 @@ def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int = 15, upstr
     if upstream:
         hop = hop.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
     hop = stage(hop).df
-    knotted = stage(_cyclic_upstream(hop)).df
+    knotted = stage(_cyclic_upstream(hop, labels)).df
     def grow(head, tail):
         return F.concat(tail, head) if upstream else F.concat(head, tail)
 
@@ -291,11 +302,13 @@ def transit_samples(walks: DataFrame, ends: int = 10, keep: int = 3) -> DataFram
 
 
 def pagerank(vertex: DataFrame, link: DataFrame, alpha: float = 0.85, tol: float = 1e-6,
-             max_rounds: int = 200) -> DataFrame:
+             max_rounds: int = 200, per_node: bool = True) -> DataFrame:
     """Power iteration with uniform dangling mass; a graph stops when its L1 change is
-    below n * tol.  Stopped graphs are left out of later rounds."""
-    hop = stage(link.select(G, "src", "dst")).df
-    out = hop.groupBy(G, F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("out_degree"))
+    below n * tol (``tol`` itself if ``per_node`` is off).  Stopped graphs are left
+    out of later rounds.  A column ``n`` of ``link`` counts parallel edges."""
+    many = F.col("n") if "n" in link.columns else F.lit(1)
+    hop = stage(link.select(G, "src", "dst", many.cast("long").alias("many"))).df
+    out = hop.groupBy(G, F.col("src").alias("node_id")).agg(F.sum("many").alias("out_degree"))
     n = vertex.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
     start = (vertex.select(G, "node_id").join(n, G).join(out, [G, "node_id"], "left")
              .na.fill(0, ["out_degree"]).withColumn("rank", 1.0 / F.col("n")))
@@ -306,7 +319,7 @@ def pagerank(vertex: DataFrame, link: DataFrame, alpha: float = 0.85, tol: float
         given = (live.filter("out_degree > 0")
                  .select(G, F.col("node_id").alias("src"), (F.col("rank") / F.col("out_degree")).alias("share"))
                  .join(hop, [G, "src"])
-                 .groupBy(G, F.col("dst").alias("node_id")).agg(F.sum("share").alias("got")))
+                 .groupBy(G, F.col("dst").alias("node_id")).agg(F.sum(F.col("share") * F.col("many")).alias("got")))
         loose = live.filter("out_degree = 0").groupBy(G).agg(F.sum("rank").alias("loose"))
         moved = (live.join(given, [G, "node_id"], "left").join(loose, G, "left")
                  .na.fill(0.0, ["got", "loose"])
@@ -314,7 +327,7 @@ def pagerank(vertex: DataFrame, link: DataFrame, alpha: float = 0.85, tol: float
         moved = stage(moved.select(G, "node_id", "n", "out_degree", F.col("new").alias("rank"),
                                    F.abs(F.col("new") - F.col("rank")).alias("change")))
         still = moved.df.groupBy(G).agg(F.sum("change").alias("c"), F.first("n").alias("n")).filter(
-            F.col("c") >= F.col("n") * tol).select(G)
+            F.col("c") >= (F.col("n") * tol if per_node else F.lit(tol))).select(G)
         still = stage(still)
         keep = moved.df.drop("change")
         if still.rows == 0:
