@@ -35,7 +35,8 @@ def _change(modified: Column) -> Column:
             .when(modified, "modified").otherwise("unchanged"))
 
 
-ORIGIN = F.when(F.col("a").isNull(), "V2").when(F.col("b").isNull(), "V1").otherwise("BOTH")
+def _origin() -> Column:
+    return F.when(F.col("a").isNull(), "V2").when(F.col("b").isNull(), "V1").otherwise("BOTH")
 
 
 def _differs_when_both(field: str) -> Column:
@@ -53,7 +54,7 @@ def node_diff(v1: DataFrame, v2: DataFrame) -> DataFrame:
                 | _differs_when_both("technology") | _differs_when_both("description"))
     pick = lambda f: F.coalesce(F.col(f"b.{f}"), F.col(f"a.{f}")).alias(f)
     return _both(side(v1), side(v2)).select(
-        G, "key", _change(modified).alias("change_type"), ORIGIN.alias("version_origin"),
+        G, "key", _change(modified).alias("change_type"), _origin().alias("version_origin"),
         pick("node_id"), pick("name"), pick("type"), F.col("a.name").alias("previous_name"))
 
 
@@ -66,7 +67,7 @@ def edge_diff(v1: DataFrame, v2: DataFrame, v1_name: str = "V1", v2_name: str =
     found = F.coalesce(F.col("b.ev_file"), F.col("a.ev_file"))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     return _both(side(v1), side(v2)).select(
-        G, "key", _change(F.lit(False)).alias("change_type"), ORIGIN.alias("version_origin"),
+        G, "key", _change(F.lit(False)).alias("change_type"), _origin().alias("version_origin"),
         pick("edge_id"), pick("src"), pick("dst"), pick("type"),
         F.when(found.isNotNull() | both, found).otherwise("unavailable").alias("ev_file"),
         F.when(F.col("b.ev_file").isNotNull(), F.col("b.ev_confidence"))
@@ -85,7 +86,7 @@ def file_diff(v1: DataFrame, v2: DataFrame) -> DataFrame:
     differs = lambda f: F.coalesce(F.col(f"a.{f}") != F.col(f"b.{f}"), F.lit(False))
     modified = _differs_when_both("content_hash") | differs("size_bytes") | differs("lines_count")
     return _both(side(v1), side(v2)).select(
-        G, "key", _change(modified).alias("change_type"), ORIGIN.alias("version_origin"),
+        G, "key", _change(modified).alias("change_type"), _origin().alias("version_origin"),
         F.coalesce("b.path", "a.path").alias("path"),
         F.when(_change(modified) == "modified", F.format_string(
             "File modified (%d lines -> %d lines)", F.coalesce("a.lines_count", F.lit(0)).cast("long"),
@@ -97,7 +98,7 @@ def folder_diff(v1: DataFrame, v2: DataFrame) -> DataFrame:
     def side(df):
         return df.select(G, p.folder_key(F.col("folder")).alias("key"), "folder", F.col("folder").alias("_order"))
     return _both(side(v1), side(v2)).select(
-        G, "key", _change(F.lit(False)).alias("change_type"), ORIGIN.alias("version_origin"),
+        G, "key", _change(F.lit(False)).alias("change_type"), _origin().alias("version_origin"),
         F.coalesce("b.folder", "a.folder").alias("folder"))
 
 

@@ -27,7 +27,6 @@ def relation(name: str, reads: tuple[str, ...], sql: str) -> None:
 
 relation("fleet_pairs", ("lineitem", "orders"), """
 SELECT CAST(floor(o.o_custkey / 10) AS BIGINT) AS sys,
-       CASE WHEN year(o.o_orderdate) % 2 = 0 THEN 1 ELSE 2 END AS ver,
        CAST(least(l.l_partkey % 12, l.l_suppkey % 12) AS INT) AS lo,
        CAST(greatest(l.l_partkey % 12, l.l_suppkey % 12) AS INT) AS hi,
        l.l_returnflag AS flag, l.l_orderkey AS okey
@@ -35,20 +34,26 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 WHERE l.l_partkey % 12 <> l.l_suppkey % 12
 """)
 
-relation("fleet_links", ("fleet_pairs",), """
-SELECT sys, ver, s, d, n, okey, rn, 0 AS back FROM (
-  SELECT sys, ver, lo AS s, hi AS d, count(*) AS n, min(okey) AS okey,
-         row_number() OVER (PARTITION BY sys, ver, lo ORDER BY count(*) DESC, hi) AS rn
-  FROM fleet_pairs GROUP BY sys, ver, lo, hi) f
+relation("fleet_common", ("fleet_pairs",), """
+SELECT sys, s, d, n, okey, rn, 0 AS back FROM (
+  SELECT sys, lo AS s, hi AS d, count(*) AS n, min(okey) AS okey,
+         row_number() OVER (PARTITION BY sys, lo ORDER BY count(*) DESC, hi) AS rn
+  FROM fleet_pairs GROUP BY sys, lo, hi) f
 WHERE rn <= 2
 UNION ALL
-SELECT sys, ver, s, d, n, okey, rn, 1 AS back FROM (
-  SELECT sys, ver, hi AS s, lo AS d, count(*) AS n, min(okey) AS okey,
-         row_number() OVER (PARTITION BY sys, ver, hi ORDER BY count(*) DESC, lo) AS rn
-  FROM fleet_pairs WHERE flag = 'R' AND hi IN (5, 9) GROUP BY sys, ver, hi, lo) b
+SELECT sys, s, d, n, okey, rn, 1 AS back FROM (
+  SELECT sys, hi AS s, lo AS d, count(*) AS n, min(okey) AS okey,
+         row_number() OVER (PARTITION BY sys, hi ORDER BY count(*) DESC, lo) AS rn
+  FROM fleet_pairs WHERE flag = 'R' AND hi IN (5, 9) GROUP BY sys, hi, lo) b
 WHERE rn = 1
 """)
 
+relation("fleet_links", ("fleet_common",), """
+SELECT sys, 1 AS ver, s, d, n, okey, rn, back FROM fleet_common WHERE (sys * 2 + s * 5 + d) % 23 <> 0
+UNION ALL
+SELECT sys, 2 AS ver, s, d, n, okey, rn, back FROM fleet_common WHERE (sys + s * 3 + d * 2) % 19 <> 0
+""")
+
 relation("fleet_edges", ("fleet_links",), """
 SELECT 's' || CAST(sys AS STRING) || '-v' || CAST(ver AS STRING) AS graph_id,
        'e-' || CAST(s AS STRING) || '-' || CAST(d AS STRING) || '-' || CAST(kind AS STRING) AS edge_id,
@@ -84,7 +89,7 @@ SELECT 's' || CAST(sys AS STRING) || '-v' || CAST(ver AS STRING) AS graph_id,
        CASE WHEN k = 11 OR k = 8 THEN 'Database' WHEN k = 10 THEN 'External System'
             WHEN k = 0 THEN 'Application' WHEN k = 3 THEN 'API' WHEN k = 6 THEN 'Module'
             ELSE 'Service' END AS type,
-       CASE WHEN (sys + k * ver) % 5 = 0 THEN NULL WHEN (sys + k * ver) % 11 = 0 THEN 'Go'
+       CASE WHEN (sys + k) % 5 = 0 THEN NULL WHEN (sys + k) % 11 = 0 AND ver = 2 THEN 'Go'
             ELSE 'TypeScript' END AS technology,
        'Detected' AS source,
        'component ' || CAST(k AS STRING) AS description,
