@@ -1,6 +1,6 @@
 """Registered queries and the SQL they are checked against."""
 
-from . import graphs  # noqa: F401
+from . import changes, graphs  # noqa: F401
 from .base import ORACLES, QUERIES
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from depfleet.functions.tiers import fair_round
 from depfleet.operators import graph as gr
 from depfleet.operators import lite as lt
 from depfleet.operators import score as sc
@@ -121,13 +122,13 @@ def transit_samples(spark, sf):
 @query("f10_betweenness", "SELECT g AS graph_id, v AS node_id, round(cb, 4) AS betweenness FROM btw")
 def betweenness(spark, sf):
     n, e = fleet(spark, sf)
-    return wk.betweenness(gr.vertices(n, e), gr.links(e)).withColumn("betweenness", F.round("betweenness", 4))
+    return wk.betweenness(gr.vertices(n, e), gr.links(e)).withColumn("betweenness", fair_round(F.col("betweenness"), 4))
 
 
 @query("f11_pagerank", "SELECT g AS graph_id, v AS node_id, round(r, 6) AS pagerank FROM rank_of")
 def pagerank(spark, sf):
     n, e = fleet(spark, sf)
-    return wk.pagerank(gr.vertices(n, e), gr.links(e)).withColumn("pagerank", F.round("pagerank", 6))
+    return wk.pagerank(gr.vertices(n, e), gr.links(e)).withColumn("pagerank", fair_round(F.col("pagerank"), 6))
 
 
 @query("f12_weak_components", "SELECT g AS graph_id, v AS node_id, c AS component FROM weak")
@@ -316,7 +317,7 @@ FROM cx c LEFT JOIN (SELECT g, count(*) AS n, min_by(name, (-lost, pos)) AS nm,
 UNION ALL SELECT g, 3, 'Circular Dependency: Detected cycle (' || array_to_string(list_append(path, path[1]), ' -> ') || '), creating tight coupling.' FROM cyc WHERE k = 1
 UNION ALL SELECT g, 4, 'High-Risk Links: ' || count(*) || ' relationship(s) exhibit elevated risk, headed by ''' || min_by(src_name || ' -> ' || dst_name, rk) || '''.' FROM erisk WHERE lvl IN ('CRITICAL', 'HIGH') GROUP BY g
 UNION ALL SELECT g, 5, 'Overall Architectural Complexity: ' || rating || ' (Density: ' || printf('%.1f', density * 100) || '%, Max Chain Depth: ' || depth || ' tiers).' FROM cx
-UNION ALL SELECT g, 1, 'Most Critical Service: ''' || name || ''' (Score: ' || printf('%.2f', score) || ') due to ' || array_to_string(list_filter([
+UNION ALL SELECT g, 1, 'Most Critical Service: ''' || name || ''' (Score: ' || printf('%.2f', floor(score * 100 + 0.5000001) / 100) || ') due to ' || array_to_string(list_filter([
   CASE WHEN ncb >= 0.60 THEN 'High Betweenness Centrality (' || printf('%.4f', cb) || ')' END,
   CASE WHEN nind >= 0.60 OR ind >= 3 THEN 'Elevated Fan-In (' || ind || ' direct callers)' END,
   CASE WHEN is_spof THEN 'Single Point of Failure' END,

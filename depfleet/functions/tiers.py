@@ -14,6 +14,14 @@ NODE_BOUNDS = (0.65, 0.45, 0.25)
 SYSTEM_BOUNDS = (70.0, 50.0, 30.0)
 
 
+def fair_round(value: Column, digits: int) -> Column:
+    """Round half up; what lies within 1e-10 of a tie counts as the tie.
+
+    Sums over rows come in any order, so their last bits must not decide a digit.
+    """
+    return F.round(F.round(value, 10), digits)
+
+
 def tier(score: Column, bounds: tuple[float, float, float]) -> Column:
     """Name of the first bound the score reaches, else LOW."""
     out = F

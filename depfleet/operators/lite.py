@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tiers import CRITICALITY_BOUNDS, EDGE_BOUNDS, SYSTEM_BOUNDS, tier
+from ..functions.tiers import CRITICALITY_BOUNDS, EDGE_BOUNDS, SYSTEM_BOUNDS, fair_round, tier
 from ..staging import stage
 from . import walks as w
 from .graph import G, links, strong_labels, vertices, weak_labels
@@ -39,8 +39,8 @@ def lite_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     depth = w.longest_paths(every, link).select(*NODE, "depth")
     return stage(nodes.select(G, "node_id", "pos", "name", "type", "technology")
                  .join(ins, NODE, "left").join(outs, NODE, "left")
-                 .join(between.select(*NODE, F.round("betweenness", 4).alias("betweenness")), NODE)
-                 .join(rank.select(*NODE, F.round("pagerank", 4).alias("pagerank")), NODE)
+                 .join(between.select(*NODE, fair_round(F.col("betweenness"), 4).alias("betweenness")), NODE)
+                 .join(rank.select(*NODE, fair_round(F.col("pagerank"), 4).alias("pagerank")), NODE)
                  .join(depth, NODE).join(cut, NODE, "left")
                  .na.fill(0, ["in_degree", "out_degree"]).na.fill(False, ["is_cut"])).df
 
@@ -72,7 +72,7 @@ def lite_complexity(metrics: DataFrame, edges: DataFrame, cycles: DataFrame) ->
 
 
 def lite_criticality(metrics: DataFrame) -> DataFrame:
-    score = F.round(F.least(F.lit(1.0), F.col("in_degree") * 0.25 + F.col("betweenness") * 0.35
+    score = fair_round(F.least(F.lit(1.0), F.col("in_degree") * 0.25 + F.col("betweenness") * 0.35
                             + F.col("pagerank") * 0.2 + F.when(F.col("is_cut"), 0.2).otherwise(0.0)), 2)
     row = metrics.withColumn("criticality", score).withColumn("tier", tier(F.col("criticality"), CRITICALITY_BOUNDS))
     return rank_desc(row, G, "criticality", "pos")
@@ -103,7 +103,7 @@ def lite_system_risk(complexity: DataFrame, metrics: DataFrame, edge: DataFrame)
              + F.least(F.lit(15.0), F.col("risky_edges") * 3.5)
              + F.least(F.lit(10.0), F.col("external_count") * 3.0
                        + F.greatest(F.lit(0), F.col("max_dependency_depth") - 3) * 1.5))
-    score = F.round(F.least(F.lit(100.0), F.greatest(F.lit(5.0), total)), 1)
+    score = fair_round(F.least(F.lit(100.0), F.greatest(F.lit(5.0), total)), 1)
     return row.select(G, score.alias("system_risk"), tier(score, SYSTEM_BOUNDS).alias("system_level"))
 
 

@@ -27,19 +27,20 @@ def weighted(link: DataFrame) -> DataFrame:
 
 
 def shortest_walks(link: DataFrame, sources: DataFrame | None = None, paths: bool = False,
-                   counts: bool = False) -> list[Staged]:
+                   counts: bool = False, toward: bool = False) -> list[Staged]:
     """Breadth-first levels: table k holds the pairs (src, dst) at distance k + 1.
 
     ``paths`` carries the smallest shortest path, ``counts`` the number of shortest
     paths (as double; a column ``n`` of ``link`` says how many parallel edges there
-    are).  ``sources`` (graph_id, node_id) restricts where walks start.
+    are).  ``sources`` (graph_id, node_id) restricts where walks start.  ``toward``
+    is for reversed links: paths then read, and are compared, from dst to src.
     """
     hop = stage(weighted(link)).df
     first = hop
     if sources is not None:
         first = hop.join(sources.select(G, F.col("node_id").alias("src")).distinct(), [G, "src"], "left_semi")
     if paths:
-        first = first.withColumn("path", F.array("src", "dst"))
+        first = first.withColumn("path", F.array("dst", "src") if toward else F.array("src", "dst"))
     if counts:
         first = first.withColumn("sigma", F.col("n"))
     first = first.drop("n")
@@ -50,7 +51,8 @@ def shortest_walks(link: DataFrame, sources: DataFrame | None = None, paths: boo
         keys = [G, "src", F.col("next").alias("dst")]
         aggregates = []
         if paths:
-            aggregates.append(F.min(F.concat("path", F.array("next"))).alias("path"))
+            longer = F.concat(F.array("next"), "path") if toward else F.concat("path", F.array("next"))
+            aggregates.append(F.min(longer).alias("path"))
         if counts:
             aggregates.append(F.sum(F.col("sigma") * F.col("n")).alias("sigma"))
         grouped = extended.groupBy(*keys).agg(*aggregates) if aggregates else extended.select(*keys).distinct()

@@ -101,6 +101,56 @@ WHERE NOT (sys % 5 = 0 AND k = 10)
   AND NOT (ver = 2 AND (sys * 3 + k) % 13 = 0) AND NOT (ver = 1 AND (sys + k) % 17 = 0)
 """)
 
+# --- proposed edits: four scenarios per system on its first version -------------------------
+
+relation("fleet_systems", ("fleet_common",), """
+SELECT DISTINCT sys, 's' || CAST(sys AS STRING) AS graph_id FROM fleet_common
+""")
+
+relation("fleet_changes", ("fleet_systems", "fleet_common"), """
+SELECT graph_id, 'grow' AS scenario_id, 0 AS seq, 'add_component' AS action, 'x1' AS node_id, 'Extra One' AS name,
+       CASE WHEN sys % 2 = 0 THEN 'External System' ELSE 'Service' END AS type, 'Go' AS technology,
+       CAST(NULL AS STRING) AS edge_id, CAST(NULL AS STRING) AS src, CAST(NULL AS STRING) AS dst,
+       CAST(NULL AS STRING) AS edge_type, CAST(NULL AS STRING) AS protocol
+FROM fleet_systems
+UNION ALL
+SELECT graph_id, 'grow', 1, 'add_dependency', NULL, NULL, NULL, NULL, 'n1', 'c' || CAST(10 + sys % 9 AS STRING), 'x1', 'CALLS', 'HTTP/REST'
+FROM fleet_systems
+UNION ALL
+SELECT graph_id, 'drop', 0, 'remove_component', 'c' || CAST(10 + sys % 12 AS STRING), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM fleet_systems
+UNION ALL
+SELECT graph_id, 'back', 0, 'remove_component', 'c' || CAST(11 + sys % 7 AS STRING), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM fleet_systems
+UNION ALL
+SELECT graph_id, 'back', 1, 'add_dependency', NULL, NULL, NULL, NULL, 'n2', 'c20', 'c' || CAST(11 + sys % 7 AS STRING), 'USES', NULL
+FROM fleet_systems
+UNION ALL
+SELECT 's' || CAST(sys AS STRING), 'cut', 0, 'remove_dependency', NULL, NULL, NULL, NULL,
+       CASE WHEN sys % 3 = 0 THEN 'e-' || CAST(s AS STRING) || '-' || CAST(d AS STRING) || '-0' END,
+       CASE WHEN sys % 3 <> 0 THEN 'c' || CAST(10 + s AS STRING) END, CASE WHEN sys % 3 <> 0 THEN 'c' || CAST(10 + d AS STRING) END, NULL, NULL
+FROM fleet_common WHERE s = sys % 8 AND rn = 1 AND back = 0
+""")
+
+# --- raw: blueprints with faults, for validation ----------------------------------------------
+
+relation("raw_nodes", ("fleet_nodes",), """
+SELECT split_part(graph_id, '-', 1) AS graph_id,
+       CASE WHEN length(graph_id) % 2 = 0 AND pos = 7 THEN '' ELSE ' ' || node_id || ' ' END AS node_id,
+       pos + 100 * CASE WHEN graph_id LIKE '%-v2' THEN 1 ELSE 0 END AS pos,
+       CASE WHEN pos = 5 THEN NULL ELSE name END AS name,
+       CASE WHEN pos = 4 THEN 'Gateway' ELSE type END AS type, technology, source, description
+FROM fleet_nodes WHERE graph_id LIKE '%-v1' OR pos IN (2, 9, 11)
+""")
+
+relation("raw_edges", ("fleet_edges",), """
+SELECT split_part(graph_id, '-', 1) AS graph_id, edge_id, pos,
+       CASE WHEN pos = 301 THEN '' ELSE src END AS src,
+       CASE WHEN pos = 402 THEN NULL WHEN pos = 602 THEN 'ghost' ELSE dst END AS dst,
+       CASE WHEN pos = 101 THEN 'LINKS' ELSE type END AS type, protocol, description
+FROM fleet_edges WHERE graph_id LIKE '%-v1'
+""")
+
 # --- supply: one large graph, order -> customer/supplier -> nation -> region ----------------
 
 relation("supply_edges", ("orders", "lineitem", "customer", "supplier", "nation"), """
