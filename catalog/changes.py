@@ -18,6 +18,7 @@ from depfleet.sources import tables as t
 from depfleet.staging import stage
 
 from .base import CTES, cte, memo, query
+from .graph_sql import fair
 from .graphs import text
 from .worlds import analysis, comparison, fleet, scenario_run, versions
 
@@ -51,7 +52,7 @@ ON x.g = c.g AND x.v = c.v WHERE c.err >= CAST(1e-5 AS DOUBLE) AND c.it < 50""")
 cte("cutv", """SELECT DISTINCT u.g, x.v FROM dclo u JOIN decl x ON x.g = u.g AND x.v <> u.a AND x.v <> u.b AND u.a <> u.b
 WHERE NOT EXISTS (SELECT 1 FROM uban b WHERE b.g = u.g AND b.v = x.v AND b.a = u.a AND b.b = u.b)""")
 cte("mdepth", "SELECT g, s AS v, max(len(path)) - 1 AS k FROM simple_path GROUP BY g, s")
-cte("lmet", """SELECT d.g, d.v, d.pos, d.name, d.type, CAST(q.ind AS BIGINT) AS ind, CAST(q.od AS BIGINT) AS outd, round(b.cb, 4) AS cb, round(r.r, 4) AS pr,
+cte("lmet", f"""SELECT d.g, d.v, d.pos, d.name, d.type, CAST(q.ind AS BIGINT) AS ind, CAST(q.od AS BIGINT) AS outd, {fair('b.cb', 4)} AS cb, {fair('r.r', 4)} AS pr,
  (c.v IS NOT NULL) AS cut, z.k AS depth
 FROM decl d JOIN mpr0 q ON q.g = d.g AND q.v = d.v JOIN mbtw b ON b.g = d.g AND b.v = d.v
 JOIN (SELECT g, v, max_by(r, it) AS r FROM mpr GROUP BY g, v) r ON r.g = d.g AND r.v = d.v

@@ -2,6 +2,12 @@
 
 from .base import cte
 
+
+def fair(x: str, digits: int) -> str:
+    """Half-up rounding that counts a near tie as a tie."""
+    return f"(floor(({x}) * 1e{digits} + 0.500001) / 1e{digits})"
+
+
 cte("lk", "SELECT DISTINCT graph_id AS g, src, dst FROM fleet_edges")
 cte("hop", "SELECT g, src, dst FROM lk WHERE src <> dst")
 cte("ends", "SELECT g, src AS v FROM lk UNION SELECT g, dst AS v FROM lk")
@@ -72,8 +78,8 @@ UNION
 SELECT b.g, b.v, b.s, h.dst FROM ban b JOIN hop h ON h.g = b.g AND h.src = b.t WHERE h.dst <> b.v""")
 cte("sev", """SELECT a.g, x.v, a.s, a.t FROM dist a JOIN vx x ON x.g = a.g WHERE x.v <> a.s AND x.v <> a.t
 AND NOT EXISTS (SELECT 1 FROM ban b WHERE b.g = a.g AND b.v = x.v AND b.s = a.s AND b.t = a.t)""")
-cte("met", """SELECT d.g, d.v, d.pos, d.name, d.type, d.technology, g2.ind, g2.outd, r.blast, r.foot,
-round(b.cb, 4) AS cb, round(p.r, 4) AS pr FROM decl d JOIN deg g2 ON g2.g = d.g AND g2.v = d.v
+cte("met", f"""SELECT d.g, d.v, d.pos, d.name, d.type, d.technology, g2.ind, g2.outd, r.blast, r.foot,
+{fair('b.cb', 4)} AS cb, {fair('p.r', 4)} AS pr FROM decl d JOIN deg g2 ON g2.g = d.g AND g2.v = d.v
 JOIN reach r ON r.g = d.g AND r.v = d.v JOIN btw b ON b.g = d.g AND b.v = d.v JOIN rank_of p ON p.g = d.g AND p.v = d.v""")
 cte("shared", "SELECT g, v FROM met WHERE (type IN ('Database', 'External System') OR outd = 0) AND ind >= 2")
 cte("aff", """SELECT x.g, x.v, x.a FROM (SELECT g, v, s AS a FROM sev UNION SELECT g, v, t FROM sev
@@ -109,8 +115,7 @@ def _norm(c: str) -> str:
 cte("crit", f"""SELECT *, CASE WHEN score >= 0.70 THEN 'CRITICAL' WHEN score >= 0.45 THEN 'HIGH'
 WHEN score >= 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS tier,
 CAST(row_number() OVER (PARTITION BY g ORDER BY score DESC, pos) AS INT) AS rk FROM (
-SELECT *, round(CAST(0.30 AS DOUBLE) * ncb + CAST(0.25 AS DOUBLE) * npr + CAST(0.20 AS DOUBLE) * nind
- + CAST(0.15 AS DOUBLE) * nbl + CAST(0.10 AS DOUBLE) * nsp, 4) AS score FROM (
+SELECT *, {fair('CAST(0.30 AS DOUBLE) * ncb + CAST(0.25 AS DOUBLE) * npr + CAST(0.20 AS DOUBLE) * nind + CAST(0.15 AS DOUBLE) * nbl + CAST(0.10 AS DOUBLE) * nsp', 4)} AS score FROM (
 SELECT m.*, s.is_spof, s.lost, CAST({_norm('m.cb')} AS DOUBLE) AS ncb, CAST({_norm('m.pr')} AS DOUBLE) AS npr,
  CAST({_norm('m.ind')} AS DOUBLE) AS nind, CAST({_norm('m.blast')} AS DOUBLE) AS nbl,
  CASE WHEN s.is_spof THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS nsp

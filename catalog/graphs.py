@@ -119,13 +119,13 @@ def transit_samples(spark, sf):
     return wk.transit_samples(analysis(spark, sf)["walks"]).withColumn("path", text(F.col("path")))
 
 
-@query("f10_betweenness", "SELECT g AS graph_id, v AS node_id, round(cb, 4) AS betweenness FROM btw")
+@query("f10_betweenness", f"SELECT g AS graph_id, v AS node_id, {graph_sql.fair('cb', 4)} AS betweenness FROM btw")
 def betweenness(spark, sf):
     n, e = fleet(spark, sf)
     return wk.betweenness(gr.vertices(n, e), gr.links(e)).withColumn("betweenness", fair_round(F.col("betweenness"), 4))
 
 
-@query("f11_pagerank", "SELECT g AS graph_id, v AS node_id, round(r, 6) AS pagerank FROM rank_of")
+@query("f11_pagerank", f"SELECT g AS graph_id, v AS node_id, {graph_sql.fair('r', 6)} AS pagerank FROM rank_of")
 def pagerank(spark, sf):
     n, e = fleet(spark, sf)
     return wk.pagerank(gr.vertices(n, e), gr.links(e)).withColumn("pagerank", fair_round(F.col("pagerank"), 6))
@@ -271,9 +271,9 @@ def criticality_rank(spark, sf):
     return analysis(spark, sf)["criticality"].select("graph_id", "node_id", "rank")
 
 
-@query("g03_criticality_parts", """SELECT g AS graph_id, v AS node_id, round(CAST(0.30 AS DOUBLE) * ncb, 4) AS betweenness_factor,
- round(CAST(0.25 AS DOUBLE) * npr, 4) AS pagerank_factor, round(CAST(0.20 AS DOUBLE) * nind, 4) AS in_degree_factor,
- round(CAST(0.15 AS DOUBLE) * nbl, 4) AS blast_radius_factor, round(CAST(0.10 AS DOUBLE) * nsp, 4) AS spof_factor,
+@query("g03_criticality_parts", f"""SELECT g AS graph_id, v AS node_id, {graph_sql.fair('CAST(0.30 AS DOUBLE) * ncb', 4)} AS betweenness_factor,
+ {graph_sql.fair('CAST(0.25 AS DOUBLE) * npr', 4)} AS pagerank_factor, {graph_sql.fair('CAST(0.20 AS DOUBLE) * nind', 4)} AS in_degree_factor,
+ {graph_sql.fair('CAST(0.15 AS DOUBLE) * nbl', 4)} AS blast_radius_factor, {graph_sql.fair('CAST(0.10 AS DOUBLE) * nsp', 4)} AS spof_factor,
  CAST((CASE WHEN ncb >= 0.60 THEN 1 ELSE 0 END + CASE WHEN nind >= 0.60 OR ind >= 3 THEN 1 ELSE 0 END + CASE WHEN is_spof THEN 1 ELSE 0 END
  + CASE WHEN blast >= 4 OR nbl >= 0.60 THEN 1 ELSE 0 END + CASE WHEN npr >= 0.60 THEN 1 ELSE 0 END) AS INT) AS reasons FROM crit""")
 def criticality_parts(spark, sf):

@@ -7,6 +7,8 @@ edges and files grows with the base tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,8 +190,7 @@ def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return read(spark, sf_dir, name)
     reads, sql = RELATIONS[name]
     frames = {r: derive(spark, sf_dir, r) for r in reads}
-    text = sql
-    import re
+    text = sql.replace("{", "{{").replace("}", "}}")
     for r in sorted(reads, key=len, reverse=True):
         text = re.sub(rf"\b(FROM|JOIN) {r}\b", rf"\1 {{{r}}}", text)
     return spark.sql(text, **frames)
