@@ -1,7 +1,7 @@
 """Registered queries and the SQL they are checked against."""
 
-from . import changes, graphs  # noqa: F401
-from .base import ORACLES, QUERIES
+from . import changes, code, graphs  # noqa: F401
+from .base import ORACLES, QUERIES, compose
 
 
 def all_queries():
@@ -9,4 +9,4 @@ def all_queries():
 
 
 def all_oracles():
-    return dict(ORACLES)
+    return {name: compose(sql) for name, sql in ORACLES.items()}

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = compose(sql)
+            ORACLES[name] = sql
         return fn
     return add
 
