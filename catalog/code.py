@@ -86,17 +86,11 @@ def guarded_files(spark, sf):
     return kept.select("graph_id", "path", k.line_count(F.col("content")).alias("lines_count"))
 
 
-@query("a06_decode_text", "SELECT doc_id, text AS plain, text AS wide, text AS latin FROM documents")
+@query("a06_decode_text", "SELECT doc_id, text AS plain, text AS wide FROM documents")
 def decoded(spark, sf):
     doc = t.read(spark, sf, "documents").select("doc_id", "text")
-    latin = F.encode(F.translate(F.lit(""), "", ""), "ISO-8859-1")
     wide = F.unhex(F.concat(F.lit("FFFE"), F.hex(F.encode("text", "UTF-16LE"))))
-    del latin
-    return doc.select("doc_id", k.decode_text(F.encode("text", "UTF-8")).alias("plain"), k.decode_text(wide).alias("wide"),
-                      k.decode_text(F.encode("text", "UTF-8")).alias("latin"))
-
-
-RUN_SQL = """SELECT CAST(o_custkey AS VARCHAR) AS project_id, max(o_orderdate) AS analyzed_at, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey"""
+    return doc.select("doc_id", k.decode_text(F.encode("text", "UTF-8")).alias("plain"), k.decode_text(wide).alias("wide"))
 
 
 @query("a08_latest_run", "SELECT CAST(o_custkey AS VARCHAR) AS project_id, max(o_orderdate) AS analyzed_at FROM orders GROUP BY o_custkey")
@@ -244,10 +238,8 @@ def flags(spark, sf):
     return files(spark, sf).select("graph_id", "path", k.is_test(F.col("path")).alias("is_test"), k.is_binary(F.col("path")).alias("is_binary"))
 
 
-@query("b18_path_distance", """SELECT a.g AS graph_id, a.path, b.path AS other, CAST((SELECT len(x) + len(y) - 2 * coalesce(max(i), 0) FROM (SELECT unnest(range(1, least(len(x), len(y)) + 1)) AS i) q WHERE x[1:i] = y[1:i]) AS INT) AS distance
-FROM (SELECT g, path, string_split(path, '/') AS x FROM cf) a JOIN (SELECT g, path, string_split(path, '/') AS y FROM cf WHERE name = '.env') b ON b.g = a.g""".replace(
-    "(SELECT len(x) + len(y) - 2 * coalesce(max(i), 0) FROM (SELECT unnest(range(1, least(len(x), len(y)) + 1)) AS i) q WHERE x[1:i] = y[1:i])",
-    "len(x) + len(y) - 2 * len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i]))"))
+@query("b18_path_distance", """SELECT a.g AS graph_id, a.path, b.path AS other, CAST(len(x) + len(y) - 2 * len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i])) AS INT) AS distance
+FROM (SELECT g, path, string_split(path, '/') AS x FROM cf) a JOIN (SELECT g, path, string_split(path, '/') AS y FROM cf WHERE name = '.env') b ON b.g = a.g""")
 def path_distance(spark, sf):
     f = files(spark, sf).select("graph_id", "path")
     env = f.filter(p.base_name(F.col("path")) == ".env").withColumnRenamed("path", "other")
@@ -489,7 +481,7 @@ def indent_blocks(spark, sf):
     return x.indent_blocks(lines(spark, sf).filter(F.col("extension") == ".py"), F.col("trimmed").startswith("def f_"))
 
 
-@query("c27_window_blocks", "SELECT l.g AS graph_id, l.path, l.line, greatest(1, l.line - 1) AS first_line, least(c.n, l.line + 3) AS last_line FROM src_lines l JOIN cf c ON c.g = l.g AND c.path = l.path WHERE contains(l.t, 'jdbc') OR starts_with(l.t, 'import ')")
+@query("c27_window_blocks", "SELECT l.g AS graph_id, l.path, greatest(1, l.line - 1) AS first_line, least(c.n, l.line + 3) AS last_line FROM src_lines l JOIN cf c ON c.g = l.g AND c.path = l.path WHERE contains(l.t, 'jdbc') OR starts_with(l.t, 'import ')")
 def window_blocks(spark, sf):
     hit = F.col("trimmed").contains("jdbc") | F.col("trimmed").startswith("import ")
     return x.window_blocks(lines(spark, sf), hit)
@@ -501,11 +493,11 @@ cte("guess", r"""SELECT g, path, line, kind, spec, CASE WHEN kind = 'js' THEN 's
  WHEN kind = 'java' THEN 'services/java/com/acme/' || regexp_extract(spec, '(Class\d+)', 1) || '.java' WHEN kind = 'go' THEN 'pkg/' || regexp_extract(spec, '(p\d+)$', 1) || '/main.go' WHEN kind = 'cpp' THEN 'native/' || regexp_extract(spec, '(unit_\d+)', 1) || '.cpp'
  WHEN kind = 'cs' THEN 'dotnet/' || regexp_extract(spec, '(Svc\d+)', 1) || '.cs' WHEN kind = 'rb' THEN 'ruby/' || regexp_extract(spec, '(task_\d+)', 1) || '.rb' WHEN kind IN ('php', 'php_use') THEN 'php/' || regexp_extract(spec, '(Page\d+)', 1) || '.php'
  WHEN kind = 'rust' THEN 'rust/' || spec || '.rs' ELSE 'mobile/lib/' || regexp_extract(spec, '(screen_\d+)', 1) || '.dart' END AS dst FROM imp""")
-cte("near_csv", r"""SELECT g, path, line, 'data' AS kind, spec, CASE WHEN f IN ('1', '2') THEN 'data/set_' || f || '.csv' ELSE spec END AS dst FROM (SELECT g, path, line, regexp_extract(t, '(data/set_\d\.csv)', 1) AS spec, regexp_extract(t, 'set_(\d)', 1) AS f FROM src_lines WHERE ext = '.py' AND contains(t, 'read_csv')) x""")
+cte("near_csv", r"""SELECT g, path, line, 'data' AS kind, spec, CASE WHEN f IN ('1', '2') THEN 'backend/data/set_' || f || '.csv' ELSE spec END AS dst FROM (SELECT g, path, line, regexp_extract(t, '(data/set_\d\.csv)', 1) AS spec, regexp_extract(t, 'set_(\d)', 1) AS f FROM src_lines WHERE ext = '.py' AND contains(t, 'read_csv')) x""")
 cte("target", r"""SELECT i.* FROM guess i JOIN cf c ON c.g = i.g AND c.path = i.dst
 UNION ALL SELECT n.* FROM near_csv n JOIN cf c ON c.g = n.g AND c.path = n.dst
 UNION ALL SELECT l.g, l.path, l.line, 'model', regexp_extract(l.t, '(models/m_\d\.pkl)', 1), c.path FROM src_lines l JOIN cf c ON c.g = l.g AND c.path = regexp_extract(l.t, '(models/m_\d\.pkl)', 1) WHERE l.ext = '.py'
-UNION ALL SELECT g, path, line, 'env', '', '.env' FROM src_lines WHERE ext = '.py' AND contains(t, 'dotenv')""")
+UNION ALL SELECT g, path, line, 'env', '', 'backend/.env' FROM src_lines WHERE ext = '.py' AND contains(t, 'dotenv')""")
 cte("dep0", """SELECT g, path AS src, dst, CASE WHEN kind IN ('cs', 'php_use') THEN 'USES' WHEN kind = 'rb' THEN 'REQUIRES' WHEN kind = 'php' THEN 'INCLUDES' WHEN kind = 'data' THEN 'QUERIES' WHEN kind = 'model' THEN 'PUBLISHES' WHEN kind = 'env' THEN 'USES' ELSE 'IMPORTS' END AS type, line FROM target WHERE path <> dst
 UNION ALL SELECT g, src, dst, 'CALLS', line FROM ecall""")
 cte("deps", "SELECT g, src, dst, type, min(line) AS line FROM dep0 GROUP BY g, src, dst, type")
@@ -546,10 +538,8 @@ cte("owner", """SELECT c.g, c.path, CASE WHEN c.path IN ('docker-compose.yml') T
  WHEN c.path = 'k8s/deploy.yaml' THEN 'checkout' WHEN ends_with(c.path, 'application.properties') THEN 'mysql-database-shop' WHEN c.ext = '.dart' THEN 'app-mobile' WHEN c.ext = '.pkl' THEN 'ml-model-artifacts' WHEN c.ext = '.csv' THEN 'training-datasets'
  WHEN contains(c.name, 'train') THEN 'model-training-pipeline' WHEN starts_with(c.path, 'extension/') THEN 'ext-helper-tool' WHEN starts_with(c.path, 'backend/') THEN 'backend' ELSE 'api-gateway' END AS node_id
 FROM cf c JOIN repo_variant v ON v.g = c.g""")
-BUILD_ROOTS = "('api-gateway', 'backend', 'java', 'billing', 'rust-core', 'app-mobile', 'ui_kit')"
-
 
-@query("d06_owning_node", f"SELECT g AS graph_id, path, node_id FROM owner WHERE regexp_matches(path, '^(src/web|backend/app|services/java/com|dotnet/Svc|rust/m|mobile/lib|pkg|native|php|ruby)')")
+@query("d06_owning_node", "SELECT g AS graph_id, path, node_id FROM owner WHERE regexp_matches(path, '^(src/web|backend/app|services/java/com|dotnet/Svc|rust/m|mobile/lib|pkg|native|php|ruby)')")
 def owning_node(spark, sf):
     return graph(spark, sf)["owner"].filter(F.col("path").rlike("^(src/web|backend/app|services/java/com|dotnet/Svc|rust/m|mobile/lib|pkg|native|php|ruby)"))
 
@@ -563,10 +553,10 @@ def owning_module(spark, sf):
 
 
 @query("d08_lifted_edges", """SELECT d.g AS graph_id, a.node_id AS src, b.node_id AS dst, CASE WHEN d.type IN ('IMPORTS', 'REQUIRES', 'INCLUDES') THEN 'USES' ELSE d.type END AS type, min(d.src) AS ev_file
-FROM deps d JOIN owner a ON a.g = d.g AND a.path = d.src JOIN owner b ON b.g = d.g AND b.path = d.dst WHERE a.node_id <> b.node_id AND d.dst <> '.env' GROUP BY 1, 2, 3, 4""")
+FROM deps d JOIN owner a ON a.g = d.g AND a.path = d.src JOIN owner b ON b.g = d.g AND b.path = d.dst WHERE a.node_id <> b.node_id AND d.dst <> 'backend/.env' GROUP BY 1, 2, 3, 4""")
 def lifted_edges(spark, sf):
     g = graph(spark, sf)
-    return rs.lift_to_nodes(g["deps"].filter("dst_path <> '.env'"), g["owner"]).drop("ev_line")
+    return rs.lift_to_nodes(g["deps"].filter("dst_path <> 'backend/.env'"), g["owner"]).drop("ev_line")
 
 
 cte("mdep", "SELECT d.g, a.module_id AS src_module, b.module_id AS dst_module, count(*) AS n, min(d.src) AS ev_file FROM deps d JOIN fmod a ON a.g = d.g AND a.path = d.src JOIN fmod b ON b.g = d.g AND b.path = d.dst WHERE a.module_id <> b.module_id GROUP BY 1, 2, 3")
@@ -723,11 +713,13 @@ def file_lookup(spark, sf):
     return fi.file_lookup(files(spark, sf), "App/mod_11.py").select("graph_id", "path")
 
 
-@query("k16_evidence_validity", """SELECT graph_id, count(*) AS edge_count, count(*) FILTER (ev_file IS NOT NULL AND ev_line % 2 = 0 AND length(ev_snippet) > 0 AND length(ev_method) > 0 AND ev_line > 0) AS valid,
- floor(count(*) FILTER (ev_file IS NOT NULL AND ev_line % 2 = 0 AND length(ev_snippet) > 0 AND length(ev_method) > 0 AND ev_line > 0) * 100.0 / count(*) * 1e4 + 0.500001) / 1e4 AS validity_pct FROM fleet_edges GROUP BY graph_id""")
+VALID = "regexp_matches(ev_file, '[02468][.]ts$') AND ev_line > 0 AND length(ev_snippet) > 0 AND length(ev_method) > 0"
+
+
+@query("k16_evidence_validity", f"""SELECT graph_id, count(*) AS edge_count, count(*) FILTER ({VALID}) AS valid, floor(count(*) FILTER ({VALID}) * 100.0 / count(*) * 1e4 + 0.500001) / 1e4 AS validity_pct
+FROM fleet_edges GROUP BY graph_id""")
 def evidence_validity(spark, sf):
+    # files of even orders stand for the files that exist
     e = fleet(spark, sf)[1]
-    # evidence files of even line numbers stand for the files that exist
-    known = e.filter("ev_file IS NOT NULL AND ev_line % 2 = 0").select("graph_id", F.col("ev_file").alias("path")).distinct()
-    mixed = e.filter("ev_file IS NOT NULL AND ev_line % 2 <> 0").select("graph_id", F.col("ev_file").alias("path"))
-    return fi.evidence_validity(e, known.join(mixed, ["graph_id", "path"], "left_anti"))
+    known = e.filter(F.col("ev_file").rlike("[02468][.]ts$")).select("graph_id", F.col("ev_file").alias("path")).distinct()
+    return fi.evidence_validity(e, known)

@@ -23,7 +23,7 @@ def multi_links(edges: DataFrame) -> DataFrame:
     return edges.groupBy(G, "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lite_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def lite_metrics(nodes: DataFrame, edges: DataFrame, strong: DataFrame | None = None) -> DataFrame:
     """Degrees, betweenness, PageRank, depth and cut flag of declared nodes."""
     nodes, link = stage(nodes).df, stage(multi_links(edges)).df
     known = nodes.select(*NODE)
@@ -36,7 +36,7 @@ def lite_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     weak = stage(weak_labels(known, inner)).df
     cut = w.cut_vertices(known, inner, weak).withColumn("is_cut", F.lit(True))
     every = vertices(nodes, edges).select(*NODE)
-    depth = w.longest_paths(every, link).select(*NODE, "depth")
+    depth = w.longest_paths(every, link, labels=strong).select(*NODE, "depth")
     return stage(nodes.select(G, "node_id", "pos", "name", "type", "technology")
                  .join(ins, NODE, "left").join(outs, NODE, "left")
                  .join(between.select(*NODE, fair_round(F.col("betweenness"), 4).alias("betweenness")), NODE)
@@ -127,9 +127,9 @@ def model_score(metrics: DataFrame, edges: DataFrame) -> DataFrame:
 def lite_analysis(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """All tables of the profile."""
     nodes, edges = stage(nodes).df, stage(edges).df
-    metrics = lite_metrics(nodes, edges)
     every, link = vertices(nodes, edges), links(edges)
     strong = stage(strong_labels(every, link)).df
+    metrics = lite_metrics(nodes, edges, strong)
     cycles = stage(w.simple_cycles(link, strong)).df
     crit = stage(lite_criticality(metrics)).df
     edge = stage(lite_edge_risk(edges, crit)).df

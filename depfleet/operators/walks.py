@@ -314,30 +314,29 @@ def pagerank(vertex: DataFrame, link: DataFrame, alpha: float = 0.85, tol: float
     n = vertex.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
     start = (vertex.select(G, "node_id").join(n, G).join(out, [G, "node_id"], "left")
              .na.fill(0, ["out_degree"]).withColumn("rank", 1.0 / F.col("n")))
-    state = stage(start)
+    state = stage(start.withColumn("change", F.col("rank") + F.col("n"))).df
     finished: list[DataFrame] = []
-    live = state.df
+    # a round first tells which graphs the last one settled, then moves the others on
     for _ in range(max_rounds):
+        limit = F.col("n") * tol if per_node else F.lit(tol)
+        total = state.groupBy(G).agg(F.sum("change").alias("total"))
+        told = state.join(total, G).withColumn("settled", F.col("total") < limit)
+        live = told.filter("NOT settled")
         given = (live.filter("out_degree > 0")
                  .select(G, F.col("node_id").alias("src"), (F.col("rank") / F.col("out_degree")).alias("share"))
                  .join(hop, [G, "src"])
                  .groupBy(G, F.col("dst").alias("node_id")).agg(F.sum(F.col("share") * F.col("many")).alias("got")))
         loose = live.filter("out_degree = 0").groupBy(G).agg(F.sum("rank").alias("loose"))
-        moved = (live.join(given, [G, "node_id"], "left").join(loose, G, "left")
-                 .na.fill(0.0, ["got", "loose"])
-                 .withColumn("new", (1 - alpha) / F.col("n") + alpha * (F.col("got") + F.col("loose") / F.col("n"))))
-        moved = stage(moved.select(G, "node_id", "n", "out_degree", F.col("new").alias("rank"),
-                                   F.abs(F.col("new") - F.col("rank")).alias("change")))
-        still = moved.df.groupBy(G).agg(F.sum("change").alias("c"), F.first("n").alias("n")).filter(
-            F.col("c") >= (F.col("n") * tol if per_node else F.lit(tol))).select(G)
-        still = stage(still)
-        keep = moved.df.drop("change")
-        if still.rows == 0:
-            finished.append(keep)
-            live = None
+        moved = (told.join(given, [G, "node_id"], "left").join(loose, G, "left").na.fill(0.0, ["got", "loose"])
+                 .withColumn("new", F.when(F.col("settled"), F.col("rank")).otherwise(
+                     (1 - alpha) / F.col("n") + alpha * (F.col("got") + F.col("loose") / F.col("n")))))
+        after = stage(moved.select(G, "node_id", "n", "out_degree", F.col("new").alias("rank"),
+                                   F.abs(F.col("new") - F.col("rank")).alias("change"), "settled"),
+                      live=F.count_if(~F.col("settled")))
+        finished.append(after.df.filter("settled").drop("settled"))
+        state = after.df.filter("NOT settled").drop("settled")
+        if not after.facts["live"]:
             break
-        finished.append(keep.join(still.df, G, "left_anti"))
-        live = keep.join(still.df, G, "left_semi")
-    if live is not None:
-        finished.append(live)
+    else:
+        finished.append(state)
     return union_all(finished).select(G, "node_id", F.col("rank").alias("pagerank"))

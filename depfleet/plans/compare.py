@@ -13,6 +13,15 @@ from ..staging import stage
 from .analysis import analyse
 
 
+def _tagged(df: DataFrame, tag: str) -> DataFrame:
+    return df.withColumn(G, F.concat(G, F.lit(tag)))
+
+
+def _world(tables: dict[str, DataFrame], tag: str) -> dict[str, DataFrame]:
+    """The tables of one tag, keyed as before."""
+    return {k: df.filter(F.col(G).endswith(tag)).withColumn(G, F.substring_index(G, "@", 1)) for k, df in tables.items()}
+
+
 def compare(n1: DataFrame, e1: DataFrame, n2: DataFrame, e2: DataFrame) -> dict[str, DataFrame]:
     """Diff, impact, ledger and risk delta of all systems present in either version."""
     n1, e1, n2, e2 = (stage(t).df for t in (n1, e1, n2, e2))
@@ -20,7 +29,9 @@ def compare(n1: DataFrame, e1: DataFrame, n2: DataFrame, e2: DataFrame) -> dict[
     changed = stage(d.directly_changed(nodes, edges)).df
     paths = stage(d.impact_paths(changed, n1.select(G, "node_id").unionByName(n2.select(G, "node_id")),
                                  d.active_edges(e1, e2))).df
-    before, after = lite_analysis(n1, e1), lite_analysis(n2, e2)
+    # one analysis over both versions: half the rounds of two
+    both = lite_analysis(_tagged(n1, "@1").unionByName(_tagged(n2, "@2")), _tagged(e1, "@1").unionByName(_tagged(e2, "@2")))
+    before, after = _world(both, "@1"), _world(both, "@2")
     cut = lambda a: a["metrics"].filter("is_cut").select(G, "node_id")
     broken = stage(d.broken_dependencies(nodes, e1, n2)).df
     pruned = stage(d.pruned_edges(edges, nodes, n2)).df
@@ -37,14 +48,11 @@ def compare(n1: DataFrame, e1: DataFrame, n2: DataFrame, e2: DataFrame) -> dict[
 def what_if(nodes: DataFrame, edges: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
     """Apply every scenario and analyse the current and the hypothetical graphs in one run."""
     change = x.apply_changes(nodes, edges, changes)
-    # one analysis over both worlds: half the rounds of two
-    tag = lambda df, t: df.withColumn(G, F.concat(G, F.lit(t)))
-    both = analyse(tag(change["base_nodes"], "@0").unionByName(tag(change["nodes"], "@1")),
-                   tag(change["base_edges"], "@0").unionByName(tag(change["edges"], "@1")).withColumn(
+    # one analysis over both worlds
+    both = analyse(_tagged(change["base_nodes"], "@0").unionByName(_tagged(change["nodes"], "@1")),
+                   _tagged(change["base_edges"], "@0").unionByName(_tagged(change["edges"], "@1")).withColumn(
                        "description", F.lit(None).cast("string")))
-    world = lambda t: {k: df.filter(F.col(G).endswith(t)).withColumn(G, F.substring_index(G, "@", 1))
-                       for k, df in both.items() if k in ("spof", "cycles", "system")}
-    before, after = world("@0"), world("@1")
+    before, after = _world(both, "@0"), _world(both, "@1")
     lost = stage(x.broken(change["removed"], change["base_edges"], change["nodes"])).df
     shift = stage(x.shifts(change["graphs"], change, lost, before, after)).df
     book = stage(x.whatif_ledger(shift)).df
