@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tiers import CRITICALITY_BOUNDS, EDGE_BOUNDS, SYSTEM_BOUNDS, fair_round, tier
-from ..staging import stage
+from ..staging import stage, together
 from . import walks as w
 from .graph import G, links, strong_labels, vertices, weak_labels
 from .ranking import rank_desc
@@ -31,12 +31,15 @@ def lite_metrics(nodes: DataFrame, edges: DataFrame, strong: DataFrame | None =
     outs = link.groupBy(G, F.col("src").alias("node_id")).agg(F.sum("n").alias("out_degree"))
     inner = stage(link.join(known.withColumnRenamed("node_id", "src"), [G, "src"], "left_semi")
                   .join(known.withColumnRenamed("node_id", "dst"), [G, "dst"], "left_semi")).df
-    between = w.betweenness(known, inner)
-    rank = w.pagerank(known, link, tol=1e-5, max_rounds=50, per_node=False)
-    weak = stage(weak_labels(known, inner)).df
-    cut = w.cut_vertices(known, inner, weak).withColumn("is_cut", F.lit(True))
     every = vertices(nodes, edges).select(*NODE)
-    depth = w.longest_paths(every, link, labels=strong).select(*NODE, "depth")
+
+    def cuts():
+        weak = stage(weak_labels(known, inner)).df
+        return stage(w.cut_vertices(known, inner, weak).withColumn("is_cut", F.lit(True))).df
+    between, rank, cut, depth = together(
+        lambda: stage(w.betweenness(known, inner)).df,
+        lambda: stage(w.pagerank(known, link, tol=1e-5, max_rounds=50, per_node=False)).df,
+        cuts, lambda: stage(w.longest_paths(every, link, labels=strong).select(*NODE, "depth")).df)
     return stage(nodes.select(G, "node_id", "pos", "name", "type", "technology")
                  .join(ins, NODE, "left").join(outs, NODE, "left")
                  .join(between.select(*NODE, fair_round(F.col("betweenness"), 4).alias("betweenness")), NODE)
@@ -129,8 +132,8 @@ def lite_analysis(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     nodes, edges = stage(nodes).df, stage(edges).df
     every, link = vertices(nodes, edges), links(edges)
     strong = stage(strong_labels(every, link)).df
-    metrics = lite_metrics(nodes, edges, strong)
-    cycles = stage(w.simple_cycles(link, strong)).df
+    metrics, cycles = together(lambda: lite_metrics(nodes, edges, strong),
+                               lambda: stage(w.simple_cycles(link, strong)).df)
     crit = stage(lite_criticality(metrics)).df
     edge = stage(lite_edge_risk(edges, crit)).df
     complexity = stage(lite_complexity(metrics, edges, cycles)).df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import union_all
+from ..staging import stage, union_all
 from .graph import G
 
 # fixed values
@@ -27,7 +27,7 @@ def validate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
     e = edges.withColumn("src", F.trim("src")).withColumn("dst", F.trim("dst"))
     named = n.filter(~blank("node_id"))
     first = named.groupBy(G, "node_id").agg(F.min("pos").alias("first_pos"))
-    marked = named.join(first, [G, "node_id"])
+    marked = stage(named.join(first, [G, "node_id"])).df
     clean_nodes = marked.filter("pos = first_pos").drop("first_pos")
     odd_type = ~F.coalesce(F.col("type").isin(*NODE_TYPES), F.lit(False))
     ids = clean_nodes.select(G, "node_id")
@@ -35,6 +35,7 @@ def validate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
              .join(ids.withColumnRenamed("node_id", "dst").withColumn("dst_known", F.lit(True)), [G, "dst"], "left"))
     ended = (ended.withColumn("no_end", blank("src") | blank("dst"))
              .withColumn("dangling", ~F.col("no_end") & (F.col("src_known").isNull() | F.col("dst_known").isNull())))
+    ended = stage(ended).df
     odd_edge = ~F.coalesce(F.col("type").isin(*EDGE_TYPES), F.lit(False))
 
     def issues(df, level, code, subject):

@@ -7,27 +7,34 @@ from pyspark.sql import DataFrame
 from ..operators import graph as g
 from ..operators import score as s
 from ..operators import walks as w
-from ..staging import stage
+from ..staging import stage, together
 
 
 def analyse(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """Every table of the canonical profile, keyed by graph."""
     nodes, edges = stage(nodes).df, stage(edges).df
-    vertex, link = stage(g.vertices(nodes, edges)).df, stage(g.links(edges)).df
+    vertex, link = (t.df for t in together(lambda: stage(g.vertices(nodes, edges)), lambda: stage(g.links(edges))))
     size = g.graph_size(vertex, link)
-    levels = w.shortest_walks(link, paths=True, counts=True)
-    walks = stage(w.as_table(levels)).df
-    degree = stage(g.degrees(vertex, link)).df
+
+    def reach_side():
+        levels = w.shortest_walks(link, paths=True, counts=True)
+        walks = stage(w.as_table(levels)).df
+        strong = stage(g.strong_labels_from_reach(vertex, walks)).df
+        between, severed, (cycles, depth) = together(
+            lambda: stage(w.betweenness(vertex, link, levels)).df,
+            lambda: stage(w.severed_pairs(link, walks)).df,
+            lambda: together(lambda: stage(w.simple_cycles(link, strong)).df,
+                             lambda: stage(g.condensation_depth(link, strong)).df))
+        return walks, strong, between, severed, cycles, depth
+
+    (walks, strong, between, severed, cycles, depth), rank, weak, degree = together(
+        reach_side, lambda: stage(w.pagerank(vertex, link)).df, lambda: stage(g.weak_labels(vertex, link)).df,
+        lambda: stage(g.degrees(vertex, link)).df)
     reach = stage(w.reach_counts(vertex, walks)).df
-    metrics = stage(s.node_metrics(nodes, degree, reach, w.betweenness(vertex, link, levels),
-                                   w.pagerank(vertex, link))).df
-    severed = stage(w.severed_pairs(link, walks)).df
+    metrics = stage(s.node_metrics(nodes, degree, reach, between, rank)).df
     affected = stage(s.spof_affected(metrics, severed, walks)).df
     spof = stage(s.spofs(metrics, severed, affected, size)).df
-    weak = stage(g.weak_labels(vertex, link)).df
-    strong = stage(g.strong_labels_from_reach(vertex, walks)).df
-    cycles = stage(w.simple_cycles(link, strong)).df
-    complexity = stage(g.complexity(size, weak, strong, g.condensation_depth(link, strong), cycles)).df
+    complexity = stage(g.complexity(size, weak, strong, depth, cycles)).df
     crit = stage(s.criticality(metrics, spof)).df
     edge = stage(s.edge_risk(edges, crit, spof, w.cycle_edges(cycles), degree, nodes)).df
     return {

@@ -10,25 +10,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
+_roots: dict[str, str] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only under a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for this application's tables, below the session's shared folder.
+
+    A machine-local folder is taken only under a local master.  The folder goes when
+    the application ends.
+    """
     app = spark.sparkContext.applicationId
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if app not in _own_dirs:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="depfleet-")
-        root = _own_dirs[app]
-    return f"{root.rstrip('/')}/depfleet-{app}"
+    if app not in _roots:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            shared = tempfile.mkdtemp(prefix="depfleet-")
+        root = f"{shared.rstrip('/')}/depfleet-{app}"
+        fs, path = _file_system(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots[app] = root
+    return _roots[app]
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -57,10 +67,7 @@ class Staged:
 def stage(df: DataFrame, **facts: Column) -> Staged:
     """Write ``df`` and read it back; row count and ``facts`` come from the same job."""
     spark = df.sparkSession
-    root = staging_root(spark)
-    fs, root_path = _file_system(spark, root)
-    fs.deleteOnExit(root_path)
-    path = f"{root}/{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
     watched = df.observe(
         seen,
@@ -78,3 +85,9 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
+
+
+def together(*tasks: Callable[[], object]) -> list:
+    """Run independent operators side by side: the short rounds of one fill the gaps of another."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
