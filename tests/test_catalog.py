@@ -9,8 +9,11 @@ from depfleet.sources.tables import BASE_TABLES
 from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
-QUICK = [n for n in entry.queries() if n[0] in "bcde" or n.startswith(("a", "f01", "f03", "f04", "h01", "h02", "h03", "h04", "k01", "k02"))]
-QUICK = [n for n in QUICK if n not in ("a07_run_rows", "a09_run_view", "b25_evidence_texts", "e20_top_risky_edges")]
+# those that need no whole analysis; tools/check.py runs them all
+QUICK = ("f01_simple_digraph", "f01_vertices", "f03_degrees", "f04_adjacency", "f05_closure", "h01_node_diff", "h02_edge_diff",
+         "h03_file_diff", "a03_validation_issues", "a04_file_table", "b05_b06_names", "b08_category", "b14_common_root",
+         "c01_to_c10_imports", "c12_routes", "c14_spring_routes", "c17_compose", "c18_kubernetes", "c27_brace_blocks",
+         "e01_merge_nodes", "e02_dedupe_edges", "e06_inventory", "k01_edge_filter", "k02_evidence_list", "k15_edge_accuracy")
 
 
 @pytest.fixture(scope="module")
