@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +33,18 @@ def cte(name: str, sql: str) -> None:
     CTES[name] = sql.strip()
 
 
+_REFERENCE = re.compile(r"\b(?:FROM|JOIN|IN)\s+\(?(\w+)", re.I)
+
+
+@cache
+def _references(sql: str) -> frozenset[str]:
+    return frozenset(_REFERENCE.findall(sql))
+
+
 def _needs(sql: str) -> list[str]:
-    return [n for n in CTES if re.search(rf"\b(FROM|JOIN|IN)\s+\(?{n}\b", sql, re.I)]
+    """Common table expressions a text reads, in order of definition."""
+    named = _references(sql)
+    return [n for n in CTES if n in named]
 
 
 def compose(body: str) -> str:

@@ -27,14 +27,17 @@ def db():
     return con
 
 
+SQL = entry.oracle_sql()
+
+
 def test_every_check_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(SQL) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", QUICK)
 def test_query_equals_sql(spark, db, name):
     df = entry.queries()[name](spark, SF)
-    cur = db.execute(entry.oracle_sql()[name])
+    cur = db.execute(SQL[name])
     cols = [c[0] for c in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(cols, cur.fetchall())
