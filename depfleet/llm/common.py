@@ -81,3 +81,38 @@ def map_texts(df: DataFrame, per_text: Callable[[], Callable[[list[str]], dict]]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     return source.mapInArrow(run, schema)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (bytes), kept up to a bound."""
+
+    BOUND = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.BOUND:
+            self.clear()
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+    def of(self, words: list[bytes]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Words between white space, A-Z in lower case (both are what the methods of bytes know)."""
+    return text.encode().lower().split()
+
+
+def mixed(x):
+    """Spreads 64-bit values so that every bit depends on all (numpy, in wrapping arithmetic)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
