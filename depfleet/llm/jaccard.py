@@ -214,8 +214,8 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def sets_of(docs: DataFrame, told: DataFrame, wanted: DataFrame, rule: Rule) -> Staged:
-    """(cls, n, shingles, bits) of the wanted classes, from one document each.
+def read_classes(docs: DataFrame, told: DataFrame, wanted: DataFrame, rule: Rule, what: str) -> DataFrame:
+    """(cls, n, what) of the wanted classes, ``what`` being "bits" or "shingles", from one document each.
 
     Only documents that a bounded Bloom filter of the chosen ids lets pass are read as text again; an exact join by
     class drops what passed by chance.
@@ -228,29 +228,47 @@ def sets_of(docs: DataFrame, told: DataFrame, wanted: DataFrame, rule: Rule) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("shingles", pa.binary()), ("bits", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), (what, pa.binary())])
         for batch in batches:
-            rows = [(set_key(s), len(s), s.tobytes(), bitmap(s)) for _, s in _sets(batch, 1, hashes, rule)]
+            rows = [(set_key(s), len(s), bitmap(s) if what == "bits" else s.tobytes()) for _, s in _sets(batch, 1, hashes, rule)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(schema)[1:]))], schema=schema)
 
-    read = likely.mapInArrow(run, "doc_id long, cls long, n int, shingles binary, bits binary")
-    return stage(read.join(chosen.df, ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"]).drop("doc_id"))
+    read = likely.mapInArrow(run, f"doc_id long, cls long, n int, {what} binary")
+    return stage(read.join(chosen.df, ["cls", "doc_id"], "left_semi").dropDuplicates(["cls", "doc_id"]).drop("doc_id")).df
 
 
-def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) that link, by their whole sets."""
+def compared(pairs: DataFrame, classes: DataFrame, what: str, holds) -> DataFrame:
+    """Pairs (a, b) for whose ``what`` ``holds`` is true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok.append(bool(rule.enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = [bool(holds(*row)) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one, two = (sets.select(F.col("cls").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    one, two = (classes.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col(what).alias(f"w{k}")) for k in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
+def may_link(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs that the suffix filter leaves: the parity bitmaps of linked sets differ in few places."""
+
+    def holds(na: int, nb: int, x: bytes, y: bytes) -> bool:
+        x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+        apart = int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
+        return rule.enough((na + nb - apart) // 2, na, nb)
+
+    return compared(pairs, classes, "bits", holds)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, told: DataFrame, rule: Rule) -> Staged:
+    """Pairs (a, b) that link, by the whole sets of the classes in them; each pair once."""
+    pairs = stage(pairs).df
+    sets = read_classes(docs, told, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))), rule, "shingles")
+
+    def holds(na: int, nb: int, x: bytes, y: bytes) -> bool:
+        return rule.enough(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)), na, nb)
+
+    return stage(compared(pairs, sets, "shingles", holds))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -272,7 +290,7 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def crossing(posts: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def crossing(posts: DataFrame, labels: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of classes in different components that share a list and pass the filters."""
     named = posts.join(labels, "cls", "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
     mixed_lists = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
@@ -280,7 +298,7 @@ def crossing(posts: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -
     parts = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     block = F.pmod(F.xxhash64("cls"), parts).cast("int")
     dealt = (open_rows.withColumn("parts", parts).withColumn("block", block)
-             .join(sets.select("cls", "bits"), "cls")
+             .join(classes.select("cls", "bits"), "cls")
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "n", "pos", "label", "bits"))
 
@@ -331,12 +349,12 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
     told, levels = describe(docs, rule)
     posts = post(docs, levels, rule)
-    sets = sets_of(docs, told, posts.df, rule).df
+    classes = read_classes(docs, told, posts.df, rule, "bits")
     pairs = F.least("cls", "first").alias("a"), F.greatest("cls", "first").alias("b")
     stars = posts.df.where("cls <> first").where(rule.enough(F.least("n", "first_n"), F.col("n"), F.col("first_n"))).select(*pairs).distinct()
-    links = stage(verify(stars, sets, rule))
+    links = verify(may_link(stars, classes, rule), docs, told, rule)
     labels = components(links.df)
-    more = stage(verify(crossing(posts.df, labels, sets, rule), sets, rule))
+    more = verify(crossing(posts.df, labels, classes, rule), docs, told, rule)
     if more.rows:
         labels = components(links.df.unionByName(more.df))
     least = told.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
