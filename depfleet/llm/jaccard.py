@@ -293,7 +293,8 @@ def components(links: DataFrame) -> DataFrame:
 def crossing(posts: DataFrame, labels: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of classes in different components that share a list and pass the filters."""
     named = posts.join(labels, "cls", "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
-    mixed_lists = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
+    mixed_lists = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
+    mixed_lists = mixed_lists.where("lo <> hi AND members > 2")  # the two of a short list have been compared already
     open_rows = named.join(mixed_lists.select("token", "members"), "token")
     parts = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     block = F.pmod(F.xxhash64("cls"), parts).cast("int")
