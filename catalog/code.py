@@ -212,7 +212,7 @@ def line_count(spark, sf):
 
 @query("b12_fingerprint", "SELECT doc_id, sha256(text) AS mark FROM documents")
 def fingerprint(spark, sf):
-    return t.read(spark, sf, "documents").select("doc_id", k.fingerprint(F.col("text"), F.octet_length("text")).alias("mark"))
+    return t.read(spark, sf, "documents").select("doc_id", k.fingerprint(F.col("text")).alias("mark"))
 
 
 @query("b13_folders", "SELECT g AS graph_id, folder FROM code_folders")

@@ -131,12 +131,9 @@ def line_count(content: Column, profile: str = "full") -> Column:
     return F.when(content.isNull(), None).when((content == "") & F.lit(profile == "full"), 0).otherwise(n)
 
 
-LARGE = 5 * 1024 * 1024
-
-
-def fingerprint(content: Column, size: Column) -> Column:
-    """Mark by which a change shows; files over 5 MB go by their size."""
-    return F.when(size > LARGE, F.concat(F.lit("large-"), size.cast("string"))).otherwise(F.sha2(content, 256))
+def fingerprint(content: Column) -> Column:
+    """Mark by which a change shows: a digest of the whole content."""
+    return F.sha2(content, 256)
 
 
 def decode_text(data: Column) -> Column:

@@ -172,7 +172,7 @@ def describe(files: DataFrame) -> DataFrame:
         "graph_id", "path", p.base_name(path).alias("name"), k.category(path).alias("category"),
         F.when(ext == "", "no-ext").otherwise(ext).alias("extension"), "size_bytes",
         k.line_count(content).alias("lines_count"), k.language(path).alias("language"),
-        k.fingerprint(content, F.col("size_bytes")).alias("content_hash"), "content")
+        k.fingerprint(content).alias("content_hash"), "content")
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
