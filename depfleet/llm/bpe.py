@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 from dataclasses import dataclass
 from itertools import chain
 
@@ -26,7 +27,7 @@ from pyspark.sql.types import StringType
 
 from .common import map_texts
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CHUNK_SYMBOLS = 400_000
 
 # fixed value: how the byte-level pre-tokenizer cuts text
@@ -133,7 +134,7 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.cut = regex.compile(WORDS)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
 
@@ -144,21 +145,23 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self.words(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = {w for words in cut for w in words}.difference(self.known)
-        found = {w: [i] for w, i in self.v.special.items()}
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        known.update((w, struct.pack("<I", i)) for w, i in self.v.special.items())
+        new = {w for words in cut for w in words}.difference(known)
         held, size = [], 0
-        for w in chain(new.difference(found), [None]):
+        for w in chain(new, [None]):
             if w is None or size > CHUNK_SYMBOLS:
-                found.update(zip(held, encode_words(held, self.v), strict=True))
+                known.update((x, struct.pack(f"<{len(ids)}I", *ids)) for x, ids in zip(held, encode_words(held, self.v), strict=True))
                 held, size = [], 0
             if w is not None:
                 held.append(w)
                 size += len(w)
-        lookup = self.known | found if len(found) > len(self.known) else {**self.known, **found}
-        out = [np.fromiter(chain.from_iterable(map(lookup.__getitem__, words)), "<u4").tobytes() for words in cut]
-        self.known.update((w, ids) for w, ids in found.items() if len(w) <= 64)
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for w in new:
+            if len(w) > 64:
+                del known[w]
         return out
 
 
