@@ -580,7 +580,7 @@ WHERE d.type = 'Service' AND (contains(lower(d.name), 'component') OR contains(l
 def node_slice(spark, sf):
     a = analysis(spark, sf)
     from depfleet.operators.walks import cycle_nodes
-    return fi.node_slice(a["nodes"], a["criticality"], a["spof"], cycle_nodes(a["cycles"]), a["edges"],
+    return fi.node_slice(a["nodes"], a["criticality"], a["spof"], cycle_nodes(a["link"], a["strong"]), a["edges"],
                          "Service", "component", "SPOF", "USES").select("graph_id", "node_id")
 
 

@@ -67,8 +67,7 @@ SELECT w.g, w.s, h.dst, list_append(w.path, h.dst) FROM cyc_walk w JOIN inner_ho
 WHERE h.dst > w.s AND NOT list_contains(w.path, h.dst)""")
 cte("cyc_all", """SELECT w.g, w.path FROM cyc_walk w JOIN inner_hop h ON h.g = w.g AND h.src = w.t AND h.dst = w.s
 UNION ALL SELECT g, [src] FROM lk WHERE src = dst""")
-cte("cyc", """SELECT g, path, k FROM (SELECT g, path, CAST(row_number() OVER (PARTITION BY g ORDER BY len(path), path) AS INT) AS k
-FROM cyc_all) x WHERE k <= 10""")
+cte("cyc", "SELECT g, path, CAST(row_number() OVER (PARTITION BY g ORDER BY len(path), path) AS INT) AS k FROM cyc_all")
 cte("cyc_n", "SELECT g, count(*) AS n FROM cyc GROUP BY g")
 cte("cyc_edge", """SELECT DISTINCT g, path[i] AS src, CASE WHEN i = len(path) THEN path[1] ELSE path[i + 1] END AS dst
 FROM (SELECT g, path, unnest(range(1, len(path) + 1)) AS i FROM cyc) x""")

@@ -163,12 +163,14 @@ def simple_cycles(spark, sf):
 
 @query("f16_cycle_edges", "SELECT g AS graph_id, src, dst FROM cyc_edge")
 def cycle_edges(spark, sf):
-    return wk.cycle_edges(analysis(spark, sf)["cycles"])
+    a = analysis(spark, sf)
+    return wk.cycle_edges(a["link"], a["strong"])
 
 
 @query("f16_cycle_nodes", "SELECT g AS graph_id, v AS node_id FROM cyc_node")
 def cycle_nodes(spark, sf):
-    return wk.cycle_nodes(analysis(spark, sf)["cycles"])
+    a = analysis(spark, sf)
+    return wk.cycle_nodes(a["link"], a["strong"])
 
 
 @query("f17_severed_pairs", "SELECT g AS graph_id, s AS src, t AS dst, v AS via FROM sev")

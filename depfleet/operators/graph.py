@@ -31,10 +31,11 @@ def links(edges: DataFrame) -> DataFrame:
 
 
 def vertices(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Declared nodes plus endpoints that no node row declares."""
+    """Declared nodes plus endpoints that no node row declares; of a repeated id the last by ``pos`` counts."""
     ends = edges.select(G, F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    declared = nodes.select(
-        G, "node_id", "name", "type", "technology", F.lit(True).alias("declared"))
+    last = F.max_by(F.struct("name", "type", "technology"), "pos").alias("a")
+    declared = nodes.groupBy(G, "node_id").agg(last).select(
+        G, "node_id", "a.name", "a.type", "a.technology", F.lit(True).alias("declared"))
     implicit = ends.join(nodes.select(G, "node_id"), [G, "node_id"], "left_anti").select(
         G, "node_id", F.col("node_id").alias("name"), F.lit("Service").alias("type"),
         F.lit("Generic").alias("technology"), F.lit(False).alias("declared"))

@@ -179,9 +179,9 @@ def _cyclic_upstream(link: DataFrame, labels: DataFrame | None = None) -> DataFr
     return union_all([s.df for s in seen])
 
 
-def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int = 15, upstream: bool = False,
+def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int | None = None, upstream: bool = False,
                   labels: DataFrame | None = None) -> DataFrame:
-    """Longest simple path from each vertex (or into it), at most ``max_nodes`` nodes.
+    """Longest simple path from each vertex (or into it); at most ``max_nodes`` nodes if that is given.
 
     Of equally long paths the smallest is given.  Where no cycle can be reached the
     best path is built backwards from the successors, one pass per length; only
@@ -199,7 +199,7 @@ def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int = 15, upstr
     plain = vertex.select(G, "node_id").join(knotted, [G, "node_id"], "left_anti")
     best = [stage(plain.withColumn("path", F.array("node_id")))]
     from_plain = hop.join(knotted.withColumnRenamed("node_id", "src"), [G, "src"], "left_anti")
-    while best[-1].rows and len(best) < max_nodes:
+    while best[-1].rows and (max_nodes is None or len(best) < max_nodes):
         step = (from_plain.join(best[-1].df.withColumnRenamed("node_id", "dst"), [G, "dst"])
                 .groupBy(G, F.col("src").alias("node_id"))
                 .agg(F.min(grow(F.array("src"), F.col("path"))).alias("path")))
@@ -216,12 +216,13 @@ def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int = 15, upstr
     tails = union_all([b.df.withColumnRenamed("node_id", "dst") for b in best])
     exits = leaving.join(tails, [G, "dst"]).select(
         G, F.col("src").alias("last"), F.size("path").alias("extra"), F.col("path").alias("tail"))
-    # of the tails behind one exit only the longest that still fits can win
+    # of the tails of one length behind an exit only the smallest can win
     exits = stage(exits.groupBy(G, "last", "extra").agg(F.min("tail").alias("tail"))).df
     length = 1
-    while open_paths.rows and length <= max_nodes:
+    while open_paths.rows and (max_nodes is None or length <= max_nodes):
         parts.append(open_paths.df.groupBy(G, F.col("start").alias("node_id")).agg(F.min("path").alias("path")))
-        ended = (open_paths.df.join(exits.filter(F.col("extra") <= max_nodes - length), [G, "last"])
+        fitting = exits if max_nodes is None else exits.filter(F.col("extra") <= max_nodes - length)
+        ended = (open_paths.df.join(fitting, [G, "last"])
                  .withColumn("path", grow(F.col("path"), F.col("tail"))))
         longest = ended.groupBy(G, F.col("start").alias("node_id")).agg(
             F.min(F.struct(-F.size("path"), F.col("path"))).alias("p"))
@@ -239,11 +240,13 @@ def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int = 15, upstr
     return ranked.select(G, "node_id", (F.size("p.path") - 1).alias("depth"), F.col("p.path").alias("path"))
 
 
-def simple_cycles(link: DataFrame, labels: DataFrame, keep: int = 10) -> DataFrame:
-    """Elementary cycles from their smallest node, the first ``keep`` by (length, path).
+def simple_cycles(link: DataFrame, labels: DataFrame, keep: int | None = None) -> DataFrame:
+    """Elementary cycles from their smallest node, numbered by (length, path).
 
-    The search runs inside strong components and by length; a graph leaves it as soon
-    as a finished length has given ``keep`` cycles, as longer ones cannot rank before.
+    All of them, or the first ``keep`` with a flag ``truncated`` that tells of more.  The
+    search runs inside strong components and by length; with ``keep`` a graph leaves it once
+    a finished length has given more than that, as longer ones cannot rank before.  The
+    number of cycles may be exponential; ``cycle_edges`` and ``cycle_nodes`` do not need it.
     """
     loops = link.filter("src = dst").select(G, F.array("src").alias("path"))
     a = labels.select(G, F.col("node_id").alias("src"), F.col("component").alias("cs"))
@@ -258,9 +261,11 @@ def simple_cycles(link: DataFrame, labels: DataFrame, keep: int = 10) -> DataFra
         closing = partial.df.join(
             onward.withColumnRenamed("next", "start"), [G, "last", "start"], "left_semi").select(G, "path")
         found.append(stage(closing))
-        tally = union_all([f.df for f in found]).groupBy(G).agg(F.count(F.lit(1)).alias("n"))
-        full = tally.filter(F.col("n") >= keep)
-        step = (partial.df.join(full, G, "left_anti").join(onward, [G, "last"])
+        open_ends = partial.df
+        if keep is not None:
+            tally = union_all([f.df for f in found]).groupBy(G).agg(F.count(F.lit(1)).alias("n"))
+            open_ends = open_ends.join(tally.filter(F.col("n") > keep), G, "left_anti")
+        step = (open_ends.join(onward, [G, "last"])
                 .filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")))
                 .select(G, "start", F.col("next").alias("last"),
                         F.concat("path", F.array("next")).alias("path")))
@@ -270,18 +275,23 @@ def simple_cycles(link: DataFrame, labels: DataFrame, keep: int = 10) -> DataFra
     from pyspark.sql import Window
     order = Window.partitionBy(G).orderBy(F.size("path"), "path")
     ranked = union_all([f.df for f in found]).withColumn("cycle_no", F.row_number().over(order))
-    return ranked.filter(F.col("cycle_no") <= keep)
+    if keep is None:
+        return ranked
+    found_n = union_all([f.df for f in found]).groupBy(G).agg((F.count(F.lit(1)) > keep).alias("truncated"))
+    return ranked.filter(F.col("cycle_no") <= keep).join(found_n, G)
 
 
-def cycle_edges(cycles: DataFrame) -> DataFrame:
-    """(src, dst) pairs on the kept cycles."""
-    ring = F.concat(F.slice("path", 2, F.size("path")), F.slice("path", 1, 1))
-    return cycles.select(G, F.explode(F.arrays_zip("path", ring.alias("next"))).alias("e")).select(
-        G, F.col("e.path").alias("src"), F.col("e.next").alias("dst")).distinct()
+def cycle_edges(link: DataFrame, labels: DataFrame) -> DataFrame:
+    """(src, dst) pairs on any cycle: self loops, and edges inside a strong component."""
+    a = labels.select(G, F.col("node_id").alias("src"), F.col("component").alias("cs"))
+    b = labels.select(G, F.col("node_id").alias("dst"), F.col("component").alias("cd"))
+    return (link.select(G, "src", "dst").distinct().join(a, [G, "src"]).join(b, [G, "dst"])
+            .filter("cs = cd").select(G, "src", "dst"))
 
 
-def cycle_nodes(cycles: DataFrame) -> DataFrame:
-    return cycles.select(G, F.explode("path").alias("node_id")).distinct()
+def cycle_nodes(link: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes on any cycle; each has an edge inside its strong component."""
+    return cycle_edges(link, labels).select(G, F.col("src").alias("node_id")).distinct()
 
 
 def transit_samples(walks: DataFrame, ends: int = 10, keep: int = 3) -> DataFrame:

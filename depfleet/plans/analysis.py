@@ -36,12 +36,12 @@ def analyse(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     spof = stage(s.spofs(metrics, severed, affected, size)).df
     complexity = stage(g.complexity(size, weak, strong, depth, cycles)).df
     crit = stage(s.criticality(metrics, spof)).df
-    edge = stage(s.edge_risk(edges, crit, spof, w.cycle_edges(cycles), degree, nodes)).df
+    edge = stage(s.edge_risk(edges, crit, spof, w.cycle_edges(link, strong), degree, nodes)).df
     return {
         "nodes": nodes, "edges": edges, "vertex": vertex, "link": link, "size": size, "walks": walks,
         "degree": degree, "reach": reach, "metrics": metrics, "severed": severed, "affected": affected,
         "spof": spof, "weak": weak, "strong": strong, "cycles": cycles, "complexity": complexity,
         "criticality": crit, "edge_risk": edge,
-        "node_risk": s.node_risk(nodes, crit, spof, w.cycle_nodes(cycles)),
+        "node_risk": s.node_risk(nodes, crit, spof, w.cycle_nodes(link, strong)),
         "system": s.system_risk(complexity, spof, edge, nodes),
     }

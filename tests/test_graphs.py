@@ -154,6 +154,8 @@ def test_random_against_brute_force(world, spark, what):
         found = wk.longest_paths(world["vertex"], world["link"], labels=world["strong"])
     if what == "cut":
         cut = wk.cut_vertices(world["vertex"], world["link"], world["weak"])
+    if what == "cycles":
+        ring_edges, ring_nodes = (f(world["link"], world["strong"]) for f in (wk.cycle_edges, wk.cycle_nodes))
     if what == "strong":
         strong = gr.strong_labels(world["vertex"], world["link"])
     for name, (ids, pairs) in RANDOM.items():
@@ -176,7 +178,10 @@ def test_random_against_brute_force(world, spark, what):
             rings = sorted(((len(p), p) for p in simple_paths(ids, pairs)
                             if len(p) > 1 and p[0] == min(p) and (p[-1], p[0]) in edges))
             assert [r["path"] for r in sorted(of_graph(world["cycles"], name), key=lambda r: r["cycle_no"])] == [
-                p for _, p in rings[:10]]
+                p for _, p in rings]
+            on_ring = {(p[i - 1], p[i]) for _, p in rings for i in range(len(p))}
+            assert rows(ring_edges, name, "src", "dst") == on_ring
+            assert rows(ring_nodes, name, "node_id") == {(a,) for a, _ in on_ring}
         elif what == "betweenness":
             score = dict.fromkeys(ids, 0.0)
             for s, t in base:
@@ -199,6 +204,26 @@ def test_random_against_brute_force(world, spark, what):
             assert rows(cut, name, "node_id") == {(v,) for v in want}
 
 
+def test_no_hidden_limits(spark):
+    """Every cycle of a complete digraph, a long chain, and a node id given twice."""
+    full = [f"{a}>{b}" for a in "ABCD" for b in "ABCD" if a != b]
+    chain = [f"c{i:02d}" for i in range(21)]
+    edges = edge_rows("full", full) + edge_rows("chain", [f"{a}>{b}" for a, b in itertools.pairwise(chain)])
+    nodes = node_rows("full", "AABCD") + node_rows("chain", chain)
+    n, e = spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA)
+    vertex, link = gr.vertices(n, e), gr.links(e)
+    assert vertex.filter("graph_id = 'full'").count() == 4
+    strong = gr.strong_labels(vertex, link)
+    assert wk.simple_cycles(link, strong).count() == 20  # 6 of two nodes, 8 of three, 6 of four
+    assert wk.cycle_edges(link, strong).count() == 12 and wk.cycle_nodes(link, strong).count() == 4
+    few = wk.simple_cycles(link, strong, keep=5).collect()
+    assert [r["cycle_no"] for r in few] == [1, 2, 3, 4, 5] and all(r["truncated"] for r in few)
+    assert not any(r["truncated"] for r in wk.simple_cycles(link, strong, keep=20).collect())
+    depth = {r["node_id"]: r["depth"] for r in wk.longest_paths(vertex, link, labels=strong).collect()}
+    assert depth["c00"] == 20 and depth["A"] == 3
+    assert max(r["depth"] for r in wk.longest_paths(vertex, link, max_nodes=15, labels=strong).collect()) == 14
+
+
 def test_pagerank_sums_to_one(world):
     for name in ("demo", "chain", "hub", *RANDOM):
         assert abs(sum(v for v, in by_node(world["metrics"], name, "pagerank").values()) - 1) < 1e-3

@@ -1,5 +1,7 @@
 """Two-version comparison and what-if scenarios."""
 
+import random
+
 import pytest
 from conftest import EDGE_SCHEMA, NODE_SCHEMA, edge_rows, node_rows
 from pyspark.sql import functions as F
@@ -114,6 +116,45 @@ def test_what_if_shapes(simulated):
     assert {r["source"] for r in of(simulated["paths"], "add")} == {"order-svc", "api-gw"}
 
 
+def replay(edges, steps):
+    """Edge ids left after changes one by one; edges are (id, src, dst) in order."""
+    live = list(edges)
+    for s in steps:
+        if s["action"] == "add_dependency":
+            live.append((s["edge_id"], s["src"], s["dst"]))
+        elif s["action"] == "remove_component":
+            live = [e for e in live if s["node_id"] not in e[1:]]
+        else:
+            fit = [e for e in live if (e[0] == s["edge_id"] if s["edge_id"] else e[1:] == (s["src"], s["dst"]))]
+            live = [e for e in live if not fit or e[0] != fit[0][0]]
+    return sorted(e[0] for e in live)
+
+
+def test_removals_one_by_one(spark):
+    """Several removals of one pair, by pair and by id, between additions and lost ends, against a replay."""
+    pairs = ["A>B", "A>B USES", "A>B", "B>C", "A>B"]
+    nodes = spark.createDataFrame(node_rows("W", "ABC"), NODE_SCHEMA)
+    edges = spark.createDataFrame(edge_rows("W", pairs), EDGE_SCHEMA)
+    base = [(f"r{i}", *p.split(" ")[0].split(">")) for i, p in enumerate(pairs)]
+    fields = [f.split(" ")[0] for f in CHANGE_SCHEMA.split(", ")]
+    every, want = [], {}
+    for seed in range(25):
+        rng, steps = random.Random(seed), []
+        for k in range(rng.randint(1, 7)):
+            step = rng.choice([
+                {"action": "remove_dependency", "src": "A", "dst": "B"}, {"action": "remove_dependency", "src": "A", "dst": "B"},
+                {"action": "remove_dependency", "edge_id": f"r{rng.randrange(5)}"}, {"action": "remove_dependency", "src": "B", "dst": "C"},
+                {"action": "add_dependency", "edge_id": f"x{k}", "src": "A", "dst": "B", "edge_type": "CALLS"},
+                {"action": "remove_component", "node_id": "C"}])
+            steps.append(dict.fromkeys(fields) | {"graph_id": "W", "scenario_id": f"s{seed}", "seq": k} | step)
+        every += [tuple(s[f] for f in fields) for s in steps]
+        want[f"W#s{seed}"] = replay(base, steps)
+    got = {g: [] for g in want}
+    for r in x.apply_changes(nodes, edges, spark.createDataFrame(every, CHANGE_SCHEMA))["edges"].collect():
+        got[r["graph_id"]].append(r["edge_id"])
+    assert {g: sorted(ids) for g, ids in got.items()} == want
+
+
 def test_what_if_ledger(simulated):
     factors = {s: {r["factor"] for r in of(simulated["ledger"], s)} for s in ("add", "cut", "drop", "none")}
     assert any("Coupling" in f for f in factors["add"])
