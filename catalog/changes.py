@@ -331,11 +331,14 @@ def touched(spark, sf):
     return scenario_run(spark, sf)["touched"]
 
 
-@query("h16_propagation", """SELECT graph_id, source, target, min_by(path, o) AS path, min_by(topology, o) AS topology FROM (
+cte("wprop", """SELECT graph_id, source, target, min_by(path, o) AS path, min_by(topology, o) AS topology FROM (
 SELECT p.g AS graph_id, p.s AS source, p.t AS target, array_to_string(p.path, ' > ') AS path, 'hypothetical' AS topology, 0 AS o FROM sp_wh p JOIN wtouch c ON c.h = p.g AND c.v = p.t
  WHERE p.s <> p.t AND NOT EXISTS (SELECT 1 FROM wtouch q WHERE q.h = p.g AND q.v = p.s)
 UNION ALL SELECT p.g, p.s, p.t, array_to_string(p.path, ' > '), 'current', 1 FROM sp_wb p JOIN wtouch c ON c.h = p.g AND c.v = p.t
  WHERE p.s <> p.t AND NOT EXISTS (SELECT 1 FROM wtouch q WHERE q.h = p.g AND q.v = p.s)) x GROUP BY graph_id, source, target, x.path""")
+
+
+@query("h16_propagation", "SELECT * FROM wprop")
 def propagation(spark, sf):
     return scenario_run(spark, sf)["paths"].withColumn("path", text(F.col("path")))
 
@@ -361,11 +364,13 @@ def recommended_checks(spark, sf):
 
 @query("h20_whatif_story", """SELECT h AS graph_id, 2 AS line_no, 'Modelled structural risk score transitioned from ' || printf('%.1f', current_score) || ' to ' || printf('%.1f', new_score) || ' (Net Delta: ' || printf('%+.1f', delta) || ').' AS line FROM wscore
 UNION ALL SELECT h, 3, 'Primary risk driver: ' || min_by(factor, line_no) || ' (' || printf('%+.1f', min_by(points, line_no)) || ' pts)' FROM wbook GROUP BY h
+UNION ALL SELECT x.h, 1, CASE WHEN p.i > 0 THEN 'Identified ' || p.i || ' upstream dependent component(s) across ' || p.n || ' transitive propagation path(s).'
+ ELSE 'No upstream dependent services are indirectly impacted by this modification.' END
+ FROM wscore x LEFT JOIN (SELECT graph_id, count(DISTINCT source) AS i, count(*) AS n FROM wprop GROUP BY graph_id) p ON p.graph_id = x.h
 UNION ALL SELECT c.h, 0, 'Applied ' || count(*) || ' modification(s) touching ' || (SELECT count(*) FROM wtouch t WHERE t.h = c.h) || ' component(s).' FROM chg c GROUP BY c.h""")
 def whatif_story(spark, sf):
     r = scenario_run(spark, sf)
-    story = wi.whatif_story(t.derive(spark, sf, "fleet_changes"), r["touched"], r["paths"], r["score"], r["ledger"])
-    return story.filter("line_no <> 1")
+    return wi.whatif_story(t.derive(spark, sf, "fleet_changes"), r["touched"], r["paths"], r["score"], r["ledger"])
 
 
 # --- registering --------------------------------------------------------------------------------

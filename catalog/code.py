@@ -567,12 +567,12 @@ def module_dependencies(spark, sf):
     return graph(spark, sf)["module_deps"].drop("ev_line")
 
 
-@query("d09_lifted_modules", "SELECT m.g AS graph_id, m.src_module AS src, m.dst_module AS dst, m.n FROM mdep m WHERE m.src_module < m.dst_module")
+@query("d09_lifted_modules", "SELECT m.g AS graph_id, m.src_module AS src, m.dst_module AS dst, m.n FROM mdep m")
 def lifted_modules(spark, sf):
-    # modules whose id sorts before the other stand for the graph's nodes
+    # modules stand for the graph's nodes
     g = graph(spark, sf)
     as_nodes = g["modules"].select("graph_id", F.col("module_id").alias("node_id"))
-    return rs.lift_module_dependencies(g["module_deps"], as_nodes).filter("src < dst").select("graph_id", "src", "dst", "n")
+    return rs.lift_module_dependencies(g["module_deps"], as_nodes).select("graph_id", "src", "dst", "n")
 
 
 # --- e: roll-ups ----------------------------------------------------------------------------------
@@ -697,15 +697,15 @@ def code_slice(spark, sf):
     return fi.code_slice(owned, g["deps"], kind="source", dep_type="IMPORTS", query="1")[1].select("graph_id", "src_path", "dst_path")
 
 
-@query("k07_global_search", """SELECT graph_id, item_id, place FROM (SELECT graph_id, item_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY o, length(pos), pos, item_id) AS INT) AS place FROM (
+@query("k07_global_search", """SELECT graph_id, item_id, o AS kind_no FROM (
 SELECT graph_id, 1 AS o, 'entity-' || node_id AS item_id, CAST(pos AS VARCHAR) AS pos, name || '|' || type || ' • ' || coalesce(technology, '') || ' ' || coalesce('• ' || description, '') || '|' || upper(type) AS txt FROM fleet_nodes
 UNION ALL SELECT graph_id, 2, 'rel-' || edge_id, CAST(pos AS VARCHAR), src || ' → ' || dst || '|' || type || ' via ' || coalesce(protocol, 'Default') || ' (Confidence: ' || coalesce(ev_confidence, 'MEDIUM') || ')|DEPENDENCY' FROM fleet_edges
-UNION ALL SELECT graph_id, 4, 'evidence-' || edge_id, CAST(pos AS VARCHAR), 'Citation in ' || ev_file || '|' || description || '|EVIDENCE' FROM fleet_edges WHERE ev_file IS NOT NULL) x WHERE contains(lower(txt), 'c1')) y WHERE place <= 25""")
+UNION ALL SELECT g, 3, 'file-' || path, path, path || '|' || 'Size: ' || printf('%.1f', size / 1024.0) || ' KB • Status: Retained|FILE' FROM cf
+UNION ALL SELECT graph_id, 4, 'evidence-' || edge_id, CAST(pos AS VARCHAR), 'Citation in ' || ev_file || '|' || description || '|EVIDENCE' FROM fleet_edges WHERE ev_file IS NOT NULL) x WHERE contains(lower(txt), 'c1')""")
 def global_search(spark, sf):
     n, e = fleet(spark, sf)
     f = files(spark, sf).withColumn("analysis_status", F.lit(None).cast("string"))
-    index = fi.search_index(n, e, f).filter("graph_id LIKE 's%'")
-    return fi.global_search(index, "c1").select("graph_id", "item_id", "place")
+    return fi.global_search(fi.search_index(n, e, f), "c1").select("graph_id", "item_id", "kind_no")
 
 
 @query("k13_file_lookup", "SELECT g AS graph_id, path FROM cf WHERE ends_with(lower(path), 'app/mod_11.py') OR lower(name) = 'app/mod_11.py'")

@@ -117,11 +117,11 @@ def search_index(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFr
                               F.lit("EVIDENCE"), F.col("pos").cast("string"))))
 
 
-def global_search(index: DataFrame, query: str = "", category: str = "all") -> DataFrame:
-    """The first 25 hits per graph (15 without a query)."""
+def global_search(index: DataFrame, query: str = "", category: str = "all", k: int | None = None) -> DataFrame:
+    """All hits, or the first ``k`` per graph by kind and position with their ``place``."""
     hits = index if category == "all" else index.filter(F.col("category") == category)
     hits = hits.filter(_has(query, "title", "subtitle", "badge"))
-    return top_k(hits, [G], ["kind_no", F.length("pos"), "pos", "item_id"], 25 if query.strip() else 15)
+    return hits if k is None else top_k(hits, [G], ["kind_no", F.length("pos"), "pos", "item_id"], k)
 
 
 def node_match(nodes: DataFrame, asked: str) -> DataFrame:
