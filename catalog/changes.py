@@ -257,9 +257,9 @@ def risk_delta(spark, sf):
 
 
 @query("h20_compare_story", f"""SELECT x.g AS graph_id, l.n AS line_no, CASE l.n
- WHEN 0 THEN 'Architecture Delta: ' || a.added_nodes || ' component(s) added, ' || a.removed_nodes || ' removed, ' || a.modified_nodes || ' modified. Dependencies: ' || coalesce(e.added_edges, 0) || ' added, ' || coalesce(e.removed_edges, 0) || ' decommissioned.'
- WHEN 1 THEN 'Impact Footprint: ' || coalesce(c.n, 0) || ' component(s) directly altered. Graph propagation identified ' || coalesce(i.n, 0) || ' potentially impacted upstream callers.'
- ELSE 'Risk Ledger Assessment: base risk transitioned from ' || printf('%.1f', x.s1) || '/100 to ' || printf('%.1f', x.s2) || '/100 (net delta: ' || CASE WHEN x.delta >= 0 THEN '+' ELSE '' END || printf('%.1f', x.delta) || ').' END AS line
+ WHEN 0 THEN 'Components: ' || a.added_nodes || ' new, ' || a.removed_nodes || ' gone, ' || a.modified_nodes || ' changed; links: ' || coalesce(e.added_edges, 0) || ' new, ' || coalesce(e.removed_edges, 0) || ' gone.'
+ WHEN 1 THEN coalesce(c.n, 0) || ' component(s) differ; ' || coalesce(i.n, 0) || ' reach them.'
+ ELSE 'Risk: ' || printf('%.1f', x.s1) || ', then ' || printf('%.1f', x.s2) || ' (' || CASE WHEN x.delta >= 0 THEN '+' ELSE '' END || printf('%.1f', x.delta) || ').' END AS line
 FROM rdelta x JOIN (SELECT g, {FILTERS('nodes')} FROM ndiff GROUP BY g) a ON a.g = x.g LEFT JOIN (SELECT g, {FILTERS('edges')} FROM ediff GROUP BY g) e ON e.g = x.g
 LEFT JOIN (SELECT g, count(*) AS n FROM changed GROUP BY g) c ON c.g = x.g LEFT JOIN (SELECT g, count(DISTINCT t) AS n FROM ipath GROUP BY g) i ON i.g = x.g, (SELECT unnest([0, 1, 2]) AS n) l""")
 def compare_story(spark, sf):
@@ -362,12 +362,12 @@ def recommended_checks(spark, sf):
     return wi.recommended_checks(scenario_run(spark, sf)["ledger"])
 
 
-@query("h20_whatif_story", """SELECT h AS graph_id, 2 AS line_no, 'Modelled structural risk score transitioned from ' || printf('%.1f', current_score) || ' to ' || printf('%.1f', new_score) || ' (Net Delta: ' || printf('%+.1f', delta) || ').' AS line FROM wscore
-UNION ALL SELECT h, 3, 'Primary risk driver: ' || min_by(factor, line_no) || ' (' || printf('%+.1f', min_by(points, line_no)) || ' pts)' FROM wbook GROUP BY h
-UNION ALL SELECT x.h, 1, CASE WHEN p.i > 0 THEN 'Identified ' || p.i || ' upstream dependent component(s) across ' || p.n || ' transitive propagation path(s).'
- ELSE 'No upstream dependent services are indirectly impacted by this modification.' END
+@query("h20_whatif_story", """SELECT h AS graph_id, 2 AS line_no, 'Risk: ' || printf('%.1f', current_score) || ', then ' || printf('%.1f', new_score) || ' (' || printf('%+.1f', delta) || ').' AS line FROM wscore
+UNION ALL SELECT h, 3, 'First factor: ' || min_by(factor, line_no) || ' (' || printf('%+.1f', min_by(points, line_no)) || ')' FROM wbook GROUP BY h
+UNION ALL SELECT x.h, 1, CASE WHEN p.i > 0 THEN p.i || ' component(s) reach them, by ' || p.n || ' path(s).'
+ ELSE 'No other component reaches them.' END
  FROM wscore x LEFT JOIN (SELECT graph_id, count(DISTINCT source) AS i, count(*) AS n FROM wprop GROUP BY graph_id) p ON p.graph_id = x.h
-UNION ALL SELECT c.h, 0, 'Applied ' || count(*) || ' modification(s) touching ' || (SELECT count(*) FROM wtouch t WHERE t.h = c.h) || ' component(s).' FROM chg c GROUP BY c.h""")
+UNION ALL SELECT c.h, 0, count(*) || ' change(s) to ' || (SELECT count(*) FROM wtouch t WHERE t.h = c.h) || ' component(s).' FROM chg c GROUP BY c.h""")
 def whatif_story(spark, sf):
     r = scenario_run(spark, sf)
     return wi.whatif_story(t.derive(spark, sf, "fleet_changes"), r["touched"], r["paths"], r["score"], r["ledger"])
@@ -470,9 +470,9 @@ def top_risky_edges(spark, sf):
 # --- looking things up --------------------------------------------------------------------------
 
 cte("evid", """SELECT graph_id, 'rel-' || edge_id AS item_id, src AS source_name, dst AS target_name, type, ev_file AS file,
- CASE WHEN ev_line_end <> ev_line THEN ev_line || '–' || ev_line_end ELSE CAST(ev_line AS VARCHAR) END AS line_range, coalesce(ev_snippet, 'Exact source block unavailable.') AS snippet,
+ CASE WHEN ev_line_end <> ev_line THEN ev_line || '–' || ev_line_end ELSE CAST(ev_line AS VARCHAR) END AS line_range, coalesce(ev_snippet, 'No source lines stored.') AS snippet,
  coalesce(ev_confidence, 'HIGH') AS confidence, coalesce(ev_method, 'AST Dependency Scanner') AS method, description FROM fleet_edges WHERE ev_file IS NOT NULL
-UNION ALL SELECT graph_id, 'ent-' || node_id, name, NULL, type, ev_file, NULL, 'Exact source block unavailable.', 'HIGH', 'AST Module Parser', description FROM fleet_nodes WHERE ev_file IS NOT NULL""")
+UNION ALL SELECT graph_id, 'ent-' || node_id, name, NULL, type, ev_file, NULL, 'No source lines stored.', 'HIGH', 'AST Module Parser', description FROM fleet_nodes WHERE ev_file IS NOT NULL""")
 
 
 @query("d10_edge_labels", "SELECT e.graph_id, e.edge_id, coalesce(a.name, e.src) AS src_name, coalesce(b.name, e.dst) AS dst_name FROM fleet_edges e LEFT JOIN decl a ON a.g = e.graph_id AND a.v = e.src LEFT JOIN decl b ON b.g = e.graph_id AND b.v = e.dst")

@@ -272,9 +272,11 @@ def scores(spark, sf):
         ti.fair_round(ti.min_max(F.col("l_quantity"), F.col("lo"), F.col("hi")), 4).alias("scaled"))
 
 
-@query("b25_evidence_texts", "SELECT g AS graph_id, v AS node_id, CASE WHEN tier = 'CRITICAL' AND is_spof AND in_cycle THEN 3 WHEN tier = 'CRITICAL' AND (is_spof OR in_cycle) THEN 2 WHEN is_spof AND in_cycle THEN 2 ELSE 1 END AS texts FROM nrisk")
+@query("b25_evidence_texts", """SELECT n.g AS graph_id, n.v AS node_id, coalesce(nullif(concat_ws(' | ', CASE WHEN n.tier = 'CRITICAL' THEN 'criticality ' || CAST(c.score AS VARCHAR) END,
+ CASE WHEN n.is_spof THEN 'single point of failure' END, CASE WHEN n.in_cycle THEN 'on a cycle' END), ''), 'no factor stands out') AS texts
+FROM nrisk n LEFT JOIN crit c ON c.g = n.g AND c.v = n.v""")
 def evidence_texts(spark, sf):
-    return analysis(spark, sf)["node_risk"].select("graph_id", "node_id", F.size("evidence").alias("texts"))
+    return analysis(spark, sf)["node_risk"].select("graph_id", "node_id", F.array_join("evidence", " | ").alias("texts"))
 
 
 # --- c: extraction --------------------------------------------------------------------------------

@@ -199,9 +199,9 @@ def spof(spark, sf):
 
 
 @query("f19_spof_explained", """SELECT s.g AS graph_id, s.v AS node_id, CASE
- WHEN NOT s.is_spof THEN 'Component ''' || s.name || ''' has redundant alternative paths or is an edge leaf; removal does not sever critical inter-service dependency workflows.'
- WHEN s.spof_type = 'SHARED_DATASTORE' THEN 'Shared Datastore SPOF: ''' || s.name || ''' is an un-replicated terminal resource; outage directly disables ' || s.ind || ' caller service(s): ' || f.t || CASE WHEN s.aff_n > 3 THEN ' and more' ELSE '' END || '.'
- ELSE 'Architectural Transit SPOF: Removal of ''' || s.name || ''' permanently severs ' || s.lost || ' dependency path(s), disrupting ' || s.aff_n || ' dependent component(s): ' || f.t || CASE WHEN s.aff_n > 3 THEN ' and more' ELSE '' END || '.' END AS explanation
+ WHEN NOT s.is_spof THEN 'Without ''' || s.name || ''' all others still reach what they reached before.'
+ WHEN s.spof_type = 'SHARED_DATASTORE' THEN s.ind || ' component(s) call ''' || s.name || ''' directly and stop with it: ' || f.t || CASE WHEN s.aff_n > 3 THEN ' and more' ELSE '' END || '.'
+ ELSE '''' || s.name || ''' is on every route of ' || s.lost || ' pair(s); without it ' || s.aff_n || ' component(s) lose a connection: ' || f.t || CASE WHEN s.aff_n > 3 THEN ' and more' ELSE '' END || '.' END AS explanation
 FROM spof s LEFT JOIN (SELECT g, v, string_agg(nm, ', ' ORDER BY a) AS t FROM (
  SELECT x.g, x.v, x.a, coalesce(d.name, x.a) AS nm, row_number() OVER (PARTITION BY x.g, x.v ORDER BY x.a) AS r
  FROM aff x LEFT JOIN decl d ON d.g = x.g AND d.v = x.a) y WHERE r <= 3 GROUP BY g, v) f ON f.g = s.g AND f.v = s.v""")
@@ -240,10 +240,9 @@ def complexity(spark, sf):
     return a["complexity"]
 
 
-@query("f22_complexity_summary", """SELECT g AS graph_id, 'Architecture exhibits ' || rating || ' structural complexity (Density: ' || printf('%.2f', density * 100) || '%, Cyclomatic: ' || cyclo || ').'
- || CASE WHEN cycles > 0 THEN ' ALERT: ' || cycles || ' circular dependency chain(s) detected, introducing tight coupling and deadlock risks.' ELSE '' END
- || CASE WHEN depth >= 4 THEN ' Deep dependency chains present (Maximum chain depth: ' || depth || ' tiers), increasing end-to-end latency and failure propagation.'
-    ELSE ' Dependency depth is well-contained (' || depth || ' tiers), allowing clean service isolation.' END AS summary FROM cx""")
+@query("f22_complexity_summary", """SELECT g AS graph_id, 'Complexity ' || rating || ': density ' || printf('%.2f', density * 100) || '%, cyclomatic number ' || cyclo || '.'
+ || CASE WHEN cycles > 0 THEN ' ' || cycles || ' cycle(s).' ELSE '' END
+ || ' Depth ' || depth || CASE WHEN depth >= 4 THEN ', which is deep.' ELSE '.' END AS summary FROM cx""")
 def complexity_summary(spark, sf):
     return gr.complexity_summary(analysis(spark, sf)["complexity"]).select("graph_id", "summary")
 
@@ -276,13 +275,15 @@ def criticality_rank(spark, sf):
 @query("g03_criticality_parts", f"""SELECT g AS graph_id, v AS node_id, {graph_sql.fair('CAST(0.30 AS DOUBLE) * ncb', 4)} AS betweenness_factor,
  {graph_sql.fair('CAST(0.25 AS DOUBLE) * npr', 4)} AS pagerank_factor, {graph_sql.fair('CAST(0.20 AS DOUBLE) * nind', 4)} AS in_degree_factor,
  {graph_sql.fair('CAST(0.15 AS DOUBLE) * nbl', 4)} AS blast_radius_factor, {graph_sql.fair('CAST(0.10 AS DOUBLE) * nsp', 4)} AS spof_factor,
- CAST((CASE WHEN ncb >= 0.60 THEN 1 ELSE 0 END + CASE WHEN nind >= 0.60 OR ind >= 3 THEN 1 ELSE 0 END + CASE WHEN is_spof THEN 1 ELSE 0 END
- + CASE WHEN blast >= 4 OR nbl >= 0.60 THEN 1 ELSE 0 END + CASE WHEN npr >= 0.60 THEN 1 ELSE 0 END) AS INT) AS reasons FROM crit""")
+ coalesce(nullif(concat_ws(' | ', CASE WHEN ncb >= 0.60 THEN 'betweenness ' || printf('%.4f', cb) || ': many shortest paths run through it' END,
+  CASE WHEN nind >= 0.60 OR ind >= 3 THEN 'fan-in ' || ind || ': so many call it directly' END,
+  CASE WHEN is_spof THEN 'only route: ' || lost || ' pair(s) are cut apart without it' END,
+  CASE WHEN blast >= 4 OR nbl >= 0.60 THEN 'blast radius ' || blast || ': so many reach it on some way' END,
+  CASE WHEN npr >= 0.60 THEN 'rank ' || printf('%.4f', pr) || ': those that call it are called much themselves' END), ''), 'no signal stands out') AS reasons FROM crit""")
 def criticality_parts(spark, sf):
     row = sc.criticality_evidence(analysis(spark, sf)["criticality"])
-    calm = F.element_at("evidence", 1).startswith("Normal peripheral")
     return row.select("graph_id", "node_id", "betweenness_factor", "pagerank_factor", "in_degree_factor",
-                      "blast_radius_factor", "spof_factor", F.when(calm, 0).otherwise(F.size("evidence")).alias("reasons"))
+                      "blast_radius_factor", "spof_factor", F.array_join("evidence", " | ").alias("reasons"))
 
 
 @query("g04_edge_risk", """SELECT g AS graph_id, edge_id, src_name, dst_name, score AS risk_score, lvl AS risk_level, on_cycle, tspof AS target_spof,
@@ -313,32 +314,32 @@ def system_risk(spark, sf):
     return analysis(spark, sf)["system"]
 
 
-@query("g08_insights", """SELECT c.g AS graph_id, 2 AS line_no, CASE WHEN s.n IS NULL THEN 'SPOF Check: No single points of failure detected; redundant routing exists.'
- ELSE 'SPOF Alert: ' || s.n || ' component(s) act as structural Single Points of Failure, most severely ''' || s.nm || ''' whose loss severs ' || s.lost || ' path(s).' END AS insight
+@query("g08_insights", """SELECT c.g AS graph_id, 2 AS line_no, CASE WHEN s.n IS NULL THEN 'Single points of failure: none.'
+ ELSE 'Single points of failure: ' || s.n || '; the worst is ''' || s.nm || ''', which cuts ' || s.lost || ' pair(s).' END AS insight
 FROM cx c LEFT JOIN (SELECT g, count(*) AS n, min_by(name, (-lost, pos)) AS nm, max(lost) AS lost FROM spof WHERE is_spof GROUP BY g) s ON s.g = c.g
-UNION ALL SELECT g, 3, 'Circular Dependency: Detected cycle (' || array_to_string(list_append(path, path[1]), ' -> ') || '), creating tight coupling.' FROM cyc WHERE k = 1
-UNION ALL SELECT g, 4, 'High-Risk Links: ' || count(*) || ' relationship(s) exhibit elevated risk, headed by ''' || min_by(src_name || ' -> ' || dst_name, rk) || '''.' FROM erisk WHERE lvl IN ('CRITICAL', 'HIGH') GROUP BY g
-UNION ALL SELECT g, 5, 'Overall Architectural Complexity: ' || rating || ' (Density: ' || printf('%.1f', density * 100) || '%, Max Chain Depth: ' || depth || ' tiers).' FROM cx
-UNION ALL SELECT g, 1, 'Most Critical Service: ''' || name || ''' (Score: ' || printf('%.2f', floor(score * 100 + 0.5000001) / 100) || ') due to ' || array_to_string(list_filter([
-  CASE WHEN ncb >= 0.60 THEN 'High Betweenness Centrality (' || printf('%.4f', cb) || ')' END,
-  CASE WHEN nind >= 0.60 OR ind >= 3 THEN 'Elevated Fan-In (' || ind || ' direct callers)' END,
-  CASE WHEN is_spof THEN 'Single Point of Failure' END,
-  CASE WHEN blast >= 4 OR nbl >= 0.60 THEN 'Wide Failure Impact (' || blast || ' callers in blast radius)' END,
-  CASE WHEN npr >= 0.60 THEN 'High PageRank (' || printf('%.4f', pr) || ')' END], lambda x: x IS NOT NULL)[1:2], ', ') || '.' FROM crit WHERE rk = 1""")
+UNION ALL SELECT g, 3, 'First cycle: ' || array_to_string(list_append(path, path[1]), ' -> ') || '.' FROM cyc WHERE k = 1
+UNION ALL SELECT g, 4, 'Links at risk: ' || count(*) || '; the first is ''' || min_by(src_name || ' -> ' || dst_name, rk) || '''.' FROM erisk WHERE lvl IN ('CRITICAL', 'HIGH') GROUP BY g
+UNION ALL SELECT g, 5, 'Complexity: ' || rating || '; density ' || printf('%.1f', density * 100) || '%, depth ' || depth || '.' FROM cx
+UNION ALL SELECT g, 1, 'Highest criticality: ''' || name || ''' with ' || printf('%.2f', floor(score * 100 + 0.5000001) / 100) || ' (' || coalesce(nullif(array_to_string(list_filter([
+  CASE WHEN ncb >= 0.60 THEN 'betweenness ' || printf('%.4f', cb) END,
+  CASE WHEN nind >= 0.60 OR ind >= 3 THEN 'fan-in ' || ind END,
+  CASE WHEN is_spof THEN 'only route' END,
+  CASE WHEN blast >= 4 OR nbl >= 0.60 THEN 'blast radius ' || blast END,
+  CASE WHEN npr >= 0.60 THEN 'rank ' || printf('%.4f', pr) END], lambda x: x IS NOT NULL)[1:2], ', '), ''), 'no signal stands out') || ').' FROM crit WHERE rk = 1""")
 def insights(spark, sf):
     a = analysis(spark, sf)
     return sc.insights(a["criticality"], a["spof"], a["cycles"], a["edge_risk"], a["complexity"])
 
 
-FINDINGS = """SELECT g AS graph_id, 'spof-' || v AS finding_id, CASE WHEN severity = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS severity, 'SPOF' AS category, v AS component_id, aff_n AS blast_radius FROM spof WHERE is_spof
-UNION ALL SELECT c.g, 'crit-' || c.v, 'HIGH', 'Coupling', c.v, greatest(c.blast, c.ind) FROM crit c LEFT JOIN spof s ON s.g = c.g AND s.v = c.v AND s.is_spof WHERE c.tier = 'CRITICAL' AND s.v IS NULL
-UNION ALL SELECT g, 'cycle-' || (k - 1), 'HIGH', 'Cycles', path[1], len(path) FROM cyc
-UNION ALL SELECT e.graph_id, 'db-share-' || e.dst, 'HIGH', 'Data Isolation', e.dst, count(DISTINCT e.src) FROM fleet_edges e JOIN decl d ON d.g = e.graph_id AND d.v = e.dst AND lower(d.type) = 'database'
+FINDINGS = """SELECT g AS graph_id, 'spof-' || v AS finding_id, CASE WHEN severity = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS severity, 'SPOF' AS category, v AS component_id, aff_n AS blast_radius, 'Single point of failure: ' || name AS title FROM spof WHERE is_spof
+UNION ALL SELECT c.g, 'crit-' || c.v, 'HIGH', 'Coupling', c.v, greatest(c.blast, c.ind), 'Critical component: ' || c.name FROM crit c LEFT JOIN spof s ON s.g = c.g AND s.v = c.v AND s.is_spof WHERE c.tier = 'CRITICAL' AND s.v IS NULL
+UNION ALL SELECT g, 'cycle-' || (k - 1), 'HIGH', 'Cycles', path[1], len(path), 'Cycle of ' || len(path) || ' component(s)' FROM cyc
+UNION ALL SELECT e.graph_id, 'db-share-' || e.dst, 'HIGH', 'Data Isolation', e.dst, count(DISTINCT e.src), 'Shared database: ' || min(d.name) FROM fleet_edges e JOIN decl d ON d.g = e.graph_id AND d.v = e.dst AND lower(d.type) = 'database'
   WHERE e.type IN ('QUERIES', 'USES', 'CONNECTS_TO') GROUP BY e.graph_id, e.dst HAVING count(DISTINCT e.src) > 1
-UNION ALL SELECT g, 'dep-' || edge_id, CASE WHEN lvl = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END, 'Coupling', src, 2 FROM erisk WHERE lvl IN ('CRITICAL', 'HIGH') AND rk <= 3"""
+UNION ALL SELECT g, 'dep-' || edge_id, CASE WHEN lvl = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END, 'Coupling', src, 2, 'Link at risk: ' || src_name || ' → ' || dst_name FROM erisk WHERE lvl IN ('CRITICAL', 'HIGH') AND rk <= 3"""
 graph_sql.cte("found", FINDINGS)
 graph_sql.cte("all_found", """SELECT * FROM found UNION ALL
-SELECT d.g, 'clean-arch', 'LOW', 'Coupling', min_by(d.v, d.pos), 0 FROM decl d WHERE d.g NOT IN (SELECT graph_id FROM found) GROUP BY d.g""")
+SELECT d.g, 'clean-arch', 'LOW', 'Coupling', min_by(d.v, d.pos), 0, 'Nothing found' FROM decl d WHERE d.g NOT IN (SELECT graph_id FROM found) GROUP BY d.g""")
 
 
 def _findings(spark, sf):
@@ -349,9 +350,9 @@ def _findings(spark, sf):
     return memo(spark, sf, "findings", build)
 
 
-@query("g09_findings", "SELECT graph_id, finding_id, severity, category, component_id, CAST(blast_radius AS BIGINT) AS blast_radius FROM all_found")
+@query("g09_findings", "SELECT graph_id, finding_id, title, severity, category, component_id, CAST(blast_radius AS BIGINT) AS blast_radius FROM all_found")
 def findings(spark, sf):
-    return _findings(spark, sf).drop("title")
+    return _findings(spark, sf)
 
 
 @query("g10_severity_counts", """SELECT graph_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,

@@ -250,12 +250,10 @@ def compare_story(summary: DataFrame, delta: DataFrame, changed: DataFrame, impa
     i = impacted.select(G, "impacted_id").distinct().groupBy(G).agg(F.count(F.lit(1)).alias("impacted"))
     row = summary.join(delta, G).join(c, G, "left").join(i, G, "left").na.fill(0, ["changed", "impacted"])
     lines = F.array(
-        F.format_string("Architecture Delta: %d component(s) added, %d removed, %d modified. "
-                        "Dependencies: %d added, %d decommissioned.",
+        F.format_string("Components: %d new, %d gone, %d changed; links: %d new, %d gone.",
                         "added_nodes", "removed_nodes", "modified_nodes", "added_edges", "removed_edges"),
-        F.format_string("Impact Footprint: %d component(s) directly altered. Graph propagation identified "
-                        "%d potentially impacted upstream callers.", "changed", "impacted"),
-        F.format_string("Risk Ledger Assessment: base risk transitioned from %.1f/100 to %.1f/100 (net delta: %s%.1f).",
+        F.format_string("%d component(s) differ; %d reach them.", "changed", "impacted"),
+        F.format_string("Risk: %.1f, then %.1f (%s%.1f).",
                         "original_score", "changed_score",
                         F.when(F.col("delta") >= 0, "+").otherwise(""), "delta"))
     return row.select(G, F.posexplode(lines).alias("line_no", "line"))

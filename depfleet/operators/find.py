@@ -11,7 +11,7 @@ from .ranking import top_k
 
 ALL = "ALL"
 MANIFEST_SUFFIXES = ("package.json", "pom.xml", "requirements.txt", "go.mod", "build.gradle", "Cargo.toml")  # fixed values
-NO_SNIPPET = "Exact source block unavailable."
+NO_SNIPPET = "No source lines stored."
 
 
 def _has(query: str, *fields: str) -> Column:
