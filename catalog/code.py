@@ -42,6 +42,11 @@ def docs(spark, sf, version):
     return memo(spark, sf, f"docs{version}", lambda: stage(cs.doc_version(spark, sf, version)).df)
 
 
+def all_docs(spark, sf):
+    table = lambda: cs.describe(t.derive(spark, sf, "doc_files").select("graph_id", "path", F.col("text").alias("content")))
+    return memo(spark, sf, "all_docs", lambda: stage(table()).df)
+
+
 def sql_list(values):
     return "(" + ", ".join("'" + v + "'" for v in values) + ")"
 
@@ -75,9 +80,9 @@ def file_table(spark, sf):
     return cs.code_files(spark, sf).drop("content_hash", "content")
 
 
-@query("a05_guard_issues", "SELECT graph_id, 'too_many_files' AS issue FROM doc_v1 GROUP BY graph_id HAVING count(*) > 100 UNION ALL SELECT graph_id, 'too_large' FROM doc_v1 GROUP BY graph_id HAVING sum(octet_length(encode(content))) > 500000")
+@query("a05_guard_issues", "SELECT graph_id, 'too_many_files' AS issue FROM doc_files GROUP BY graph_id HAVING count(*) > 100 UNION ALL SELECT graph_id, 'too_large' FROM doc_files GROUP BY graph_id HAVING sum(octet_length(encode(text))) > 500000")
 def guard_issues(spark, sf):
-    return inv.guard_files(docs(spark, sf, 1), max_files=100, max_bytes=500_000)[0]
+    return inv.guard_files(all_docs(spark, sf), max_files=100, max_bytes=500_000)[0]
 
 
 @query("a05_guarded_files", "SELECT g AS graph_id, path, CASE WHEN nt > 0 AND ext <> '.png' THEN n END AS lines_count FROM cf")
@@ -113,9 +118,11 @@ def run_view(spark, sf):
     return rn.run_view(rows, "node_count BIGINT, edge_count BIGINT, density DOUBLE").drop("analyzed_at")
 
 
-@query("a10_model_documents", "SELECT graph_id, 'entity' AS kind, count(*) AS n FROM fleet_nodes GROUP BY graph_id UNION ALL SELECT graph_id, 'relationship', count(*) FROM fleet_edges GROUP BY graph_id")
+@query("a10_model_documents", "SELECT graph_id, 'entity' AS kind, node_id AS id, type, technology AS detail FROM fleet_nodes UNION ALL SELECT graph_id, 'relationship', edge_id, type, protocol FROM fleet_edges")
 def model_documents(spark, sf):
-    return bp.model_documents(*fleet(spark, sf)).filter(F.get_json_object("doc", "$.id").isNotNull()).groupBy("graph_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    field = lambda name: F.get_json_object("doc", f"$.{name}")
+    return bp.model_documents(*fleet(spark, sf)).select(
+        "graph_id", "kind", field("id").alias("id"), field("type").alias("type"), F.coalesce(field("technology"), field("protocol")).alias("detail"))
 
 
 @query("a01_blueprint_load", """SELECT 'c' || o_custkey AS graph_id, 'rel-o' || o_orderkey || '-s' || o_orderstatus || '-0' AS edge_id, 'o' || o_orderkey AS src, 's' || o_orderstatus AS dst,
@@ -220,9 +227,9 @@ def folders(spark, sf):
     return inv.folders(files(spark, sf))
 
 
-@query("b14_common_root", r"SELECT graph_id, path, regexp_replace(lower(path), '^\./repo/', '') AS key FROM doc_v1")
+@query("b14_common_root", r"SELECT graph_id, path, regexp_replace(lower(path), '^\./repo/', '') AS key FROM doc_files")
 def common_root(spark, sf):
-    keyed = t.derive(spark, sf, "doc_v1").select("graph_id", "path", p.file_key(F.col("path")).alias("full"))
+    keyed = t.derive(spark, sf, "doc_files").select("graph_id", "path", p.file_key(F.col("path")).alias("full"))
     return p.strip_common_root(keyed, "full", "key").drop("full")
 
 
@@ -635,18 +642,18 @@ def analysis_status(spark, sf):
     return inv.analysis_status(f, mapped, graph(spark, sf)["deps"])
 
 
-@query("e18_limited_flags", "SELECT DISTINCT graph_id, false AS limited, count(*) FILTER (regexp_matches(path, '\\.(py|ts)$')) OVER (PARTITION BY graph_id) <= 1 OR false AS limited_lite, false AS partial FROM doc_v1")
+@query("e18_limited_flags", "SELECT DISTINCT graph_id, false AS limited, count(*) FILTER (regexp_matches(path, '\\.(py|ts)$')) OVER (PARTITION BY graph_id) <= 1 OR false AS limited_lite, false AS partial FROM doc_files")
 def limited_flags(spark, sf):
-    f = docs(spark, sf, 1)
+    f = all_docs(spark, sf)
     two = f.select("graph_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("node_id")).distinct()
     no_edges = two.filter("false")
     return inv.limited_flags(f, two, no_edges)
 
 
 @query("e19_fallback_nodes", r"""SELECT graph_id, 'application-core' AS node_id, 'Docs Src' || substr(graph_id, 9) AS name, min_by(lang, (-n, lang)) || ' Application' AS technology, 'Standalone application (' || CAST(max(total) AS BIGINT) || ' total files cataloged in inventory).' AS description FROM (
-SELECT graph_id, CASE regexp_extract(path, '\.([a-z]+)$', 1) WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' WHEN 'yaml' THEN 'YAML' END AS lang, count(*) AS n, sum(count(*)) OVER (PARTITION BY graph_id) AS total FROM doc_v1 GROUP BY 1, 2) x WHERE lang IS NOT NULL GROUP BY graph_id""")
+SELECT graph_id, CASE regexp_extract(path, '\.([a-z]+)$', 1) WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' WHEN 'yaml' THEN 'YAML' END AS lang, count(*) AS n, sum(count(*)) OVER (PARTITION BY graph_id) AS total FROM doc_files GROUP BY 1, 2) x WHERE lang IS NOT NULL GROUP BY graph_id""")
 def fallback_nodes(spark, sf):
-    f = docs(spark, sf, 1)
+    f = all_docs(spark, sf)
     archives = f.select("graph_id", F.concat("graph_id", F.lit(".zip")).alias("archive")).distinct()
     none = archives.filter("false").select("graph_id")
     return inv.fallback_nodes(f, none, archives).drop("type")
