@@ -2,10 +2,11 @@
 
 A document is the set of its hashed words.  Its score is the logistic of a bias, a weight per term, and for each pair of
 terms the product of their factor vectors, so that a term can count more beside another.  Weights are learned with a
-proximal rule that leaves uninformative terms at zero; only terms with a weight have factors in use.
+proximal rule that leaves uninformative terms at zero.  Every term in ``MIN_ROWS`` rows or more of the sample has factors,
+with a weight or without; a row moves its own pairs' sum by at most ``REACH`` times its error.
 
-Training takes a bounded sample of labelled rows, ``max_fit`` (documented, chosen by a hash of the key), dealt to a task for
-every ``TASK_ROWS``; each learns alone and the models are averaged by term.  The model is bounded by the number of slots.
+Training takes a bounded sample of labelled rows, ``max_fit`` (documented, chosen by a hash of the key), and learns one table
+of weights and factors from it in one task.  The model is bounded by the number of slots.
 
 Defined results: a null or empty text scores the bias alone; unlabelled rows and null labels are not learned from; without
 any labelled row every score is 0; a document labelled more than once is learned once, as toxic if any label says so.
@@ -28,11 +29,12 @@ from .common import fold, map_texts, whole_text
 SLOTS = 1 << 20
 FACTORS = 4
 MAX_FIT = 24_000
-TASK_ROWS = 6_000
 EPOCHS = 10
 EDGES = b".,;:!?\"'()[]{}<>*#$%&-_|/\\~"
 RATE, SMOOTH, L1, L2 = 4.0, 1.0, 3.0, 0.01
 FACTOR_RATE, FACTOR_L2 = 0.02, 0.05
+START, REACH = 0.02, 0.5
+MIN_ROWS = 5             # rows of the sample a term must stand in to have factors
 
 
 class Slots(dict):
@@ -63,28 +65,31 @@ class Model:
     factors: np.ndarray
 
 
+EMPTY = Model(-35.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+
+
 def logistic(x: float) -> float:
     return 1.0 / (1.0 + float(np.exp(-np.clip(x, -35, 35))))
 
 
 def train(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Bias, and slots with weight and factors, learned from one task's rows."""
+    """Bias, and slots with weight and factors, learned from all rows."""
     rng = np.random.default_rng(seed)
     slots, back = np.unique(np.concatenate([s for s, _ in rows] or [np.zeros(0, np.int32)]), return_inverse=True)
     cuts = np.cumsum([len(s) for s, _ in rows])[:-1]
     terms = np.split(back, cuts) if rows else []
     n = len(slots)
     z, g2, w = np.zeros(n), np.zeros(n), np.zeros(n)
-    v = rng.normal(0, 0.02, (n, FACTORS))
+    known = np.bincount(back, minlength=n) >= MIN_ROWS
+    v = rng.normal(0, START, (n, FACTORS)) * known[:, None]
     v2 = np.zeros((n, FACTORS))
+    pairs = [x[known[x]] for x in terms]
     share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1.0)
     bias, bias_g2 = float(np.log(share / (1 - share))), 1.0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(rows)):
-            x, y = terms[k], rows[k][1]
-            wx = w[x]
-            on = x[wx != 0]
-            vx = v[on]
+            x, on, y = terms[k], pairs[k], rows[k][1]
+            wx, vx = w[x], v[on]
             total = vx.sum(0)
             pair = 0.5 * float((total**2).sum() - (vx**2).sum())
             g = logistic(bias + float(wx.sum()) + pair) - y
@@ -97,19 +102,21 @@ def train(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> tuple[float, np.
             z[x] = zx = z[x] + g - (np.sqrt(now) - np.sqrt(old)) / RATE * wx
             w[x] = np.where(np.abs(zx) > L1, -(zx - np.sign(zx) * L1) / ((SMOOTH + np.sqrt(now)) / RATE + L2), 0.0)
             if len(on) > 1:
-                gv = g * (total - vx) + FACTOR_L2 * abs(g) * vx
+                away = total - vx
+                gv = g * away + FACTOR_L2 * abs(g) * vx
                 v2[on] += gv * gv
-                v[on] = vx - FACTOR_RATE * gv / np.sqrt(1e-2 + v2[on])
-    held = w != 0
+                move = FACTOR_RATE * gv / np.sqrt(1e-2 + v2[on])
+                change = abs(float((move * away).sum()))
+                v[on] = vx - move * min(1.0, abs(g) * REACH / max(change, 1e-12))
+    held = (w != 0) | known
     return bias, slots[held], w[held], v[held]
 
 
 def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> Model:
     """Learns from rows of (key, text, toxic), at most about ``max_fit`` of them."""
     n = labelled.count()
-    tasks = max(1, -(-min(n, max_fit) // TASK_ROWS))
     if n == 0:
-        return Model(-35.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+        return EMPTY
     spread = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(spread < min(1.0, max_fit / n)).select("key", "text", "toxic")
 
@@ -120,23 +127,18 @@ def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> Model:
     rows = stage(map_texts(sample, featured, "slots binary").select("key", "slots", "toxic")).df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((k, s, y) for b in batches for k, s, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))  # TASK_ROWS or so
+        rows = sorted((k, s, y) for b in batches for k, s, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))  # MAX_FIT or so
         if rows:
-            bias, slots, w, v = train([(np.frombuffer(s, np.int32), y) for _, s, y in rows])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1, *slots.tolist()], pa.int64()), pa.array([bias, *w.tolist()], pa.float64()), pa.array([[0.0] * FACTORS, *v.tolist()], pa.list_(pa.float64()))],
-                names=["slot", "weight", "factors"])
-
-    parts = rows.repartition(tasks, F.xxhash64("key", F.lit(12))).mapInArrow(run, "slot long, weight double, factors array<double>")
-    tasks_with_rows = stage(parts)
-    model = tasks_with_rows.df.groupBy("slot").agg(
-        F.sum("weight").alias("weight"), *[F.avg(F.col("factors")[k]).alias(f"f{k}") for k in range(FACTORS)],
-        F.count(F.lit(1)).alias("parts")).collect()  # at most a row per slot
-    many = next((r["parts"] for r in model if r["slot"] == -1), 1)
-    terms = sorted((r for r in model if r["slot"] >= 0), key=lambda r: r["slot"])
-    bias = next(r["weight"] for r in model if r["slot"] == -1) / many
-    return Model(bias, np.array([r["slot"] for r in terms], np.int64), np.array([r["weight"] / many for r in terms]),
-                 np.array([[r[f"f{k}"] for k in range(FACTORS)] for r in terms]).reshape(-1, FACTORS))
+            bias, *arrays = train([(np.frombuffer(s, np.int32), y) for _, s, y in rows])
+            packed = [x.astype(t).tobytes() for x, t in zip(arrays, ("<i8", "<f8", "<f8"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([bias], pa.float64()), *(pa.array([x], pa.binary()) for x in packed)],
+                                             names=["bias", "slots", "weights", "factors"])
+
+    model = rows.repartition(1).mapInArrow(run, "bias double, slots binary, weights binary, factors binary").collect()  # one row, bounded by SLOTS
+    if not model:
+        return EMPTY
+    bias, slots, weights, factors = model[0]
+    return Model(bias, np.frombuffer(bytes(slots), "<i8"), np.frombuffer(bytes(weights), "<f8"), np.frombuffer(bytes(factors), "<f8").reshape(-1, FACTORS))
 
 
 def score(docs: DataFrame, model: Model, col: str = "text") -> DataFrame:

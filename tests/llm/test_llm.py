@@ -281,6 +281,18 @@ def test_toxicity_learns_held_out(spark):
     assert toxicity.learn_and_score(table(spark, []), labels).count() == 0
 
 
+def test_toxicity_learns_pairs_of_words_without_weight(spark):
+    rng = np.random.default_rng(3)
+    texts, marks = [], []
+    for i in range(8500):  # "group" and "insult" alone say nothing: toxic only as both or neither
+        words = [f"w{n}" for n in rng.integers(400, size=20)] + ["group"] * (i % 2) + ["insult"] * (i // 2 % 2)
+        texts.append(" ".join(words))
+        marks.append(int(i % 4 in (0, 3)))
+    labels = spark.createDataFrame([(i, 1, m) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+    rows = [r for r in toxicity.learn_and_score(table(spark, texts), labels).collect() if r.held_out]
+    assert np.mean([r.predicted == marks[r.doc_id] for r in rows]) > 0.97
+
+
 PAGE = ("<!DOCTYPE html><html><head><title>T &amp; x</title><script>var a = '<p>no</p>';</script></head><body><header>Site</header><nav><a href=/>Home</a></nav>"
         "<div class='cookie-notice'>We use cookies</div>{}<aside>More</aside><div id=comments><p>nice post</p></div><form>mail <input></form><footer>&copy; me</footer></body></html>")
 
