@@ -215,6 +215,20 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(table(spark, []), items).count() == 0
 
 
+@pytest.mark.parametrize("size", [100, 4000])
+def test_decontamination_recall_at_two_sizes(spark, size):
+    rng = np.random.default_rng(4)
+    words = [f"common{i}" for i in range(120)]
+    items = [" ".join(rng.choice(words, 24)) for _ in range(10)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(size)]
+    for i, item in enumerate(items):  # every fourth word is another
+        changed = [f"other{i}x{k}" if k % 4 == 2 else w for k, w in enumerate(item.split())]
+        texts[7 * i] = " ".join([*rng.choice(words, 20), *changed, *rng.choice(words, 20)])
+    brute = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if decontaminate.common_length(item.split(), t.split()) >= 0.75 * 24}
+    got = decontaminate.find_leaks(table(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert len(brute) >= 10 and {(r.doc_id, r.item_id) for r in got.collect()} == brute
+
+
 def test_common_length_equals_dynamic_programme():
     rng = np.random.default_rng(1)
     for _ in range(50):
