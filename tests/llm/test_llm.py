@@ -215,6 +215,16 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(table(spark, []), items).count() == 0
 
 
+def test_decontamination_tries_every_place(spark):
+    item = " ".join(f"stem{i}" for i in range(16)) + ". " + " ".join(f"rest{i}" for i in range(20)) + "."
+    changed = " ".join(f"new{k}" if k % 5 == 2 else w for k, w in enumerate(item.split()))
+    stem, filler = " ".join(item.split()[:16] + item.split()[:15:-1]), " ".join(f"plain{i % 61} filler{i % 47}" for i in range(200))
+    texts = [f"{stem} {filler} {item}", f"{filler} {stem} {filler} {stem} {filler} {changed} {filler}", f"{stem} {filler} {stem}", filler]
+    others = [" ".join(np.random.default_rng(k).choice(decontaminate.terms_of(item), 20, False).astype(str)) for k in range(60)]  # terms differ in the space
+    got = decontaminate.find_leaks(table(spark, texts), spark.createDataFrame(list(enumerate([item, *others])), "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect() if r.item_id == 0) == [0, 1]
+
+
 @pytest.mark.parametrize("size", [100, 4000])
 def test_decontamination_recall_at_two_sizes(spark, size):
     rng = np.random.default_rng(4)
