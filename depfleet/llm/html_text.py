@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree; nodes that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts or comments of readers are cut off.  Every other node gets its link-adjusted characters per tag; each node sums
+scripts or comments of readers are cut off, unless they hold the main part, the only articles or, where only a class, an id
+or a form says so, most of the text.  Formulas stay.  Every other node gets its link-adjusted characters per tag; each node sums
 its children's densities, and the node of the largest sum is the content.  The smallest density on its way up to the body
 is the threshold that other parts must reach to count as content; a declared article or main part around the content
 is taken whole.
@@ -23,9 +24,11 @@ from .common import map_texts
 
 # fixed values: how HTML elements behave
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
-                    "strike strong sub sup time tt u var wbr").split())
+                    "strike strong sub sup time tt u var wbr math").split())
+FORMULA = frozenset(("semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover "
+                     "munderover mmultiscripts mprescripts none mtable mtr mtd maction annotation annotation-xml").split())
 CLOSES_P = frozenset(("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form "
                       "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul").split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -34,11 +37,14 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
           "tbody": {"table"}}
 
 # which parts of a page are not its article
-CUT_TAGS = frozenset("head nav footer aside form button select menu dialog object embed audio video canvas".split()) | RAW
+CUT_TAGS = frozenset("head nav footer aside form button select menu dialog object embed audio video canvas annotation annotation-xml".split()) | RAW
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-CUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notice|alert|popup|modal|"
-                       r"newsletter|subscribe|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|comments?|replies|disqus|"
-                       r"share|sharing|social|related|recommended|pagination|pager|toolbar|login|signup)(?=$|[\s_-])", re.I)
+CUT_NAMES = frozenset(("ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal "
+                       "newsletter subscribe sidebar side widget nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments replies "
+                       "disqus share sharing social related recommended pagination pager toolbar login signup").split())
+READERS = frozenset("comment comments replies disqus".split())
+BOXES = frozenset("area bar block box buttons container form holder inner items links list outer panel section slot unit widget wrap wrapper".split())
+STATES = frozenset("has no not non with without is in on off show hide open close closed after before".split())
 HOLDERS = frozenset(("article", "main"))
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -47,46 +53,84 @@ ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=
 SPACE = re.compile(r"\s+")
 
 
-def is_cut(tag: str, attributes: str, in_holder: bool) -> bool:
-    """Whether an element is no part of an article."""
+def cut_name(value: str) -> str | None:
+    """The name by which a class or id, one of its words as a whole, marks a part that is no article: "site-footer" and "ad-slot" do, but
+    not "has-sidebar" or "share-page"."""
+    for word in value.lower().split():
+        parts = [p for p in re.split(r"[_-]+", word) if p and not p.isdigit()]
+        while len(parts) > 1 and parts[-1] in BOXES:
+            parts.pop()
+        if parts and parts[-1] in CUT_NAMES and not STATES.intersection(parts):
+            return parts[-1]
+    return None
+
+
+def is_cut(tag: str, attributes: str, in_holder: bool) -> int:
+    """Whether an element is no part of an article: 0, or 1, or 2 if only a guess by name says so."""
     if tag in CUT_TAGS or tag == "header" and not in_holder:
-        return True
+        return 2 if tag == "form" else 1
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
+    named = 0
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 1
         if name == "role" and value.lower() in CUT_ROLES:
-            return True
-        if name in ("class", "id") and tag not in HOLDERS and CUT_NAMES.search(value):
-            return True
-    return False
+            return 1
+        if name in ("class", "id") and tag not in HOLDERS and (found := cut_name(value)):
+            named = 1 if found in READERS else named or 2
+    return named
 
 
 class Page:
     """The tree of one page, in lists by node; node 0 is the root."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.cut = [-1], ["html"], [False]
+        self.parent, self.tag = [-1], ["html"]
         self.pieces: list[tuple[int, str]] = []  # node and text, in page order; "" ends a block
         self.open, self.count = [0], {}
+        self.own = [0]
         self.parse(html)
+        self.settle()
 
-    def push(self, tag: str, cut: bool) -> None:
+    def settle(self) -> None:
+        """Cuts parts off, but none that holds the main part, the only articles or, if just guessed by name, most of the text."""
+        n = len(self.tag)
+        if not any(self.own):
+            self.cut = [False] * n
+            return
+        size, main, article, within = [0] * n, [False] * n, [False] * n, [False] * n
+        for node, text in self.pieces:
+            size[node] += len("".join(text.split()))
+        for i in range(1, n):
+            within[i] = within[self.parent[i]] or self.own[i] > 0
+        outside = any(t in HOLDERS and not w for t, w in zip(self.tag, within, strict=True))
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            size[up] += size[i]
+            main[up] |= main[i] or self.tag[i] == "main"
+            article[up] |= article[i] or self.tag[i] == "article"
+        body = next((i for i in range(n) if self.tag[i] == "body"), 0)
+        self.cut = [False] * n
+        for i in range(1, n):
+            holds = main[i] or article[i] and not outside or self.own[i] == 2 and 2 * size[i] > size[body]
+            self.cut[i] = self.cut[self.parent[i]] or self.own[i] > 0 and not holds
+
+    def push(self, tag: str, cut: int) -> None:
         self.parent.append(self.open[-1])
-        self.cut.append(cut or self.cut[self.open[-1]])
+        self.own.append(cut)
         self.tag.append(tag)
         self.open.append(len(self.tag) - 1)
         self.count[tag] = self.count.get(tag, 0) + 1
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in FORMULA:
             self.pieces.append((self.open[-1], ""))
 
     def pop(self) -> str:
         node = self.open.pop()
         tag = self.tag[node]
         self.count[tag] -= 1
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in FORMULA:
             self.pieces.append((node, ""))
         return tag
 
@@ -148,12 +192,14 @@ class Page:
                 self.pieces.append((self.open[-1], " " if tag in INLINE else ""))
                 continue
             if tag in RAW:
+                if tag == "svg" and m[3].endswith("/"):
+                    continue
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I | re.A).search(html, at)
                 stop = html.find(">", end.start()) if end else -1
-                at = stop + 1 if stop >= 0 else size
+                at = stop + 1 if stop >= 0 else at if tag == "svg" else size
                 continue
             self.push(tag, is_cut(tag, m[3], bool(self.count.get("article") or self.count.get("main"))))
-            if m[3].endswith("/") and tag not in INLINE and tag not in CLOSES_P:
+            if m[3].endswith("/") and (tag == "math" or tag not in INLINE and tag not in CLOSES_P):
                 self.pop()
         self.text(html[at:])
 

@@ -337,6 +337,21 @@ def test_html_text(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_text_keeps_articles_in_named_parts_and_formulas():
+    body = "<p>" + "Plain words of the article, long enough to count as text. " * 5 + "</p>"
+    for name in ("class='layout has-sidebar'", "class=no-ads", "class=with-nav", "id='share-page'", "class='sidebar'"):
+        assert "Plain words" in html_text.main_text(f"<body><div {name}><article>{body}</article></div></body>")
+        assert "Plain words" in html_text.main_text(f"<body><div {name}>{body}</div><footer>end</footer></body>")
+    assert "Plain words" in html_text.main_text(f"<body><form><main>{body}</main></form></body>")
+    for name in ("ad-slot", "site-footer", "cookie-notice", "sidebar", "comments"):
+        assert "Buy" not in html_text.main_text(f"<body><article>{body}</article><div class='{name}'><p>Buy now</p></div></body>")
+        assert "Buy" not in html_text.main_text(f"<body><article>{body}<div class='{name}'><p>Buy now</p></div></article></body>")
+    for sign in ("<svg/>", "<svg width='1' />", "<math/>", "<svg><path d='x'>"):
+        assert "Plain words" in html_text.main_text(f"<body><article>{sign}{body}</article></body>"), sign
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m</annotation></semantics></math>"
+    assert "so E=m holds" in html_text.main_text(f"<body><article>{body}<p>so {formula} holds</p></article></body>")
+
+
 def test_pipeline_stages(spark):
     near = near_copies(6, seed=4)[:6]
     secret = PROSE.replace("alpha1 ", "qq ") + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
