@@ -1,7 +1,7 @@
 """Secret scans with structural confirmation.
 
-Three pattern kinds are reported as they match (assignments, access keys, long hex).  Further candidates, runs of base64
-or hex and armoured blocks, are decoded and reported only if what they hold parses: nested lengths of a DER private or
+Three pattern kinds are reported as they match (assignments, access keys, long hex).  Further candidates, runs of base64 (of either alphabet, also over
+lines) or hex and armoured blocks (also with escaped line ends or headers), are decoded and reported only if what they hold parses: nested lengths of a DER private or
 public key, the length-prefixed fields of an OpenSSH key, or the JSON header and claims of a signed token.
 
 Spans are ``(kind, start, end)`` in code points, end exclusive.  Defined results: a null or empty text has no spans; equal
@@ -27,8 +27,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[A-Za-z0-9_-]{9,})\.(e[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]*)")
-BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----([^-]+)-----END \1-----")
+BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----((?:(?!-----BEGIN ).)+?)-----END \1-----", re.S)
 PACKED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+URL_SAFE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
+# runs over lines, real or escaped: lines of 40 signs or more, and a last one of any length
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}(?:\r?\n[ \t]*|(?:\\r)?\\n))+[A-Za-z0-9+/_-]+={0,2}")
+LINE_END = re.compile(r"\r?\n[ \t]*|(?:\\r)?\\n")
+HEADERS = re.compile(r"^[\w-]+:.*(?:\n[ \t]+.*)*$", re.M)
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 
 
@@ -95,6 +100,45 @@ def unpack(text: str, alphabet: bytes | None = None) -> bytes | None:
         return None
 
 
+def is_key(text: str) -> bool:
+    """Whether base64 of either alphabet holds a key."""
+    body = unpack(text, b"-_" if "-" in text or "_" in text else None)
+    return bool(body) and (is_der_key(body) or is_ssh_key(body))
+
+
+def is_locked(body: str) -> bool:
+    """An armoured key encrypted as a whole: its headers name a cipher, and the rest is whole base64 blocks."""
+    if "DEK-Info:" not in body or "ENCRYPTED" not in body:
+        return False
+    data = unpack(re.sub(r"\s", "", HEADERS.sub("", body)))
+    return data is not None and len(data) >= 32 and len(data) % 8 == 0
+
+
+def wrapped_key(run: str) -> int:
+    """Where the key ends that a run of base64 lines starts with, or 0.  The length its first bytes tell says how many signs belong to it."""
+    signs = LINE_END.sub("", run)
+    head = unpack(signs[:8], b"-_" if "-" in signs or "_" in signs else None) or b""
+    if head[:1] == b"\x30" and len(head) > 5 and head[1] in (0x81, 0x82, 0x83):
+        width = head[1] & 0x7F
+        size = 2 + width + int.from_bytes(head[2 : 2 + width], "big")
+    elif head[:1] == b"\x30" and len(head) > 1 and head[1] < 0x80:
+        size = 2 + head[1]
+    else:
+        return len(run) if is_key(signs) else 0
+    need = -(-size * 4 // 3)
+    if len(signs.rstrip("=")) < need or not is_key(signs[:need]):
+        return 0
+    at = left = 0
+    for m in re.finditer(r"[^\r\n\\ \t]+", LINE_END.sub(lambda e: " " * len(e[0]), run)):
+        if left + len(m[0]) >= need:
+            at = m.start() + need - left
+            break
+        left += len(m[0])
+    while run[at : at + 1] == "=":
+        at += 1
+    return at
+
+
 def is_signed_token(head: str, claims: str) -> bool:
     """Header and claims decode to JSON objects and the header names its algorithm."""
     parts = []
@@ -119,13 +163,16 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         found += [("token", *m.span()) for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
     if "-----BEGIN " in text:
         for m in BLOCK.finditer(text):
-            body = unpack(re.sub(r"\s|(?m:^[\w-]+:.*$)", "", m[2]))
-            if body and (is_der_key(body) or is_ssh_key(body)):
+            lines = re.sub(r"\\[rn]", "\n", m[2]).replace("\r\n", "\n")
+            if is_locked(lines) or is_key(re.sub(r"\s", "", HEADERS.sub("", lines))):
                 found.append(("block", *m.span()))
-    for m in PACKED.finditer(text):
-        body = unpack(m[0])
-        if body and (is_der_key(body) or is_ssh_key(body)):
-            found.append(("key", *m.span()))
+    wrapped = []
+    for m in WRAPPED.finditer(text):
+        if end := wrapped_key(m[0]):
+            wrapped.append((m.start(), m.start() + end))
+    for pattern in (PACKED, URL_SAFE):
+        found += [("key", *m.span()) for m in pattern.finditer(text) if is_key(m[0])]
+    found += [("key", *x) for x in wrapped]
     for m in LONG_HEX.finditer(text):
         body = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else b""
         if body and (is_der_key(body) or is_ssh_key(body)):

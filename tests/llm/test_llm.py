@@ -89,6 +89,31 @@ def test_secrets(spark):
     assert secret_scan.summarise(table(spark, [])).count() == 0
 
 
+def test_secrets_in_other_forms():
+    import base64
+    numbers = der(0x02, b"\x00") + b"".join(der(0x02, bytes([k + 1]) + bytes((k * j * 7 + 251) % 256 for j in range(64))) for k in range(8))
+    raw = der(0x30, numbers)
+    key, url = base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode()
+    assert {"-", "_"} & set(url) and {"+", "/"} & set(key)
+    lines = [key[k : k + 64] for k in range(0, len(key), 64)]
+    armour = "-----BEGIN RSA PRIVATE KEY-----{0}{1}{0}-----END RSA PRIVATE KEY-----"
+
+    def kinds(text, kind, span):
+        return (kind, text.index(span), text.index(span) + len(span)) in secret_scan.find_spans(text)
+
+    for gap in ("\n", "\r\n", "\\n", "\\r\\n"):
+        block = armour.format(gap, gap.join(lines))
+        assert kinds(f'"private_key": "{block}{gap}"', "block", block), gap
+        assert kinds(f"see {gap.join(lines)} there", "key", gap.join(lines)), gap
+        assert not kinds(f"see {gap.join(lines[:-1])} there", "key", gap.join(lines[:-1])), gap
+    assert kinds(f"x = {url};", "key", url)
+    headed = armour.format("\n", "Proc-Type: 4,CLEAR\nX-Note: a-b\n\n" + "\n".join(lines))
+    assert kinds(f"a {headed} b", "block", headed)
+    locked = armour.format("\n", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + base64.b64encode(bytes(range(64))).decode())
+    assert kinds(f"a {locked} b", "block", locked)
+    assert kinds(f"{chr(10).join(lines)}\nplain words follow", "key", "\n".join(lines))
+
+
 def test_url_filter(spark):
     urls = ["http://A.b.NET/x", "https://example.net/en/1", "http://notnet/x", "x", None, "http://deep.example.com/de/z?q=/en/", "http://a.org/fr", "http://a.org/fr/1#x",
             "http://www.bad.example.org/p.html", "http://bad.example.org/p/", "http://good.example.org/p", "http://a.b.net", "http:///en/"]
