@@ -14,6 +14,8 @@ from depfleet.operators import ranking as rk
 from depfleet.operators import register as rg
 from depfleet.operators import score as sc
 from depfleet.operators import whatif as wi
+from depfleet.operators.cycles import simple_cycles
+from depfleet.operators.graph import cycle_counts
 from depfleet.sources import tables as t
 from depfleet.staging import stage
 
@@ -115,7 +117,8 @@ def lite_spof(spark, sf):
 @query("g11_lite_complexity", """SELECT g AS graph_id, n AS node_count, e AS edge_count, avgdeg AS average_degree, density, CAST(depth AS INT) AS max_dependency_depth,
  cycles AS cycles_count, cyclo AS cyclomatic_complexity, rating AS complexity_rating FROM lcx""")
 def lite_complexity(spark, sf):
-    return _lite(spark, sf)["complexity"]
+    a = _lite(spark, sf)
+    return cycle_counts(a["complexity"], simple_cycles(a["link"], a["strong"])).drop("cycles_least")
 
 
 @query("g11_lite_criticality", """SELECT g AS graph_id, v AS node_id, score AS criticality, tier, CAST(row_number() OVER (PARTITION BY g ORDER BY score DESC, pos) AS INT) AS rank FROM lcrit""")

@@ -13,7 +13,7 @@ from depfleet.staging import stage
 
 from . import graph_sql  # noqa: F401
 from .base import memo, query
-from .worlds import analysis, fleet, supply
+from .worlds import analysis, cycle_list, fleet, supply
 
 
 def text(column):
@@ -122,13 +122,13 @@ def transit_samples(spark, sf):
 @query("f10_betweenness", f"SELECT g AS graph_id, v AS node_id, {graph_sql.fair('cb', 4)} AS betweenness FROM btw")
 def betweenness(spark, sf):
     n, e = fleet(spark, sf)
-    return wk.betweenness(gr.vertices(n, e), gr.links(e)).withColumn("betweenness", fair_round(F.col("betweenness"), 4))
+    return wk.betweenness(gr.vertices(n, e), gr.links(e)).select("graph_id", "node_id", fair_round(F.col("betweenness"), 4).alias("betweenness"))
 
 
 @query("f11_pagerank", f"SELECT g AS graph_id, v AS node_id, {graph_sql.fair('r', 6)} AS pagerank FROM rank_of")
 def pagerank(spark, sf):
     n, e = fleet(spark, sf)
-    return wk.pagerank(gr.vertices(n, e), gr.links(e)).withColumn("pagerank", fair_round(F.col("pagerank"), 6))
+    return wk.pagerank(gr.vertices(n, e), gr.links(e)).select("graph_id", "node_id", fair_round(F.col("pagerank"), 6).alias("pagerank"))
 
 
 @query("f12_weak_components", "SELECT g AS graph_id, v AS node_id, c AS component FROM weak")
@@ -157,8 +157,7 @@ def condensation_depth(spark, sf):
 
 @query("f15_simple_cycles", "SELECT g AS graph_id, k AS cycle_no, array_to_string(path, ' > ') AS path FROM cyc")
 def simple_cycles(spark, sf):
-    a = analysis(spark, sf)
-    return wk.simple_cycles(a["link"], a["strong"]).withColumn("path", text(F.col("path")))
+    return cycle_list(spark, sf).withColumn("path", text(F.col("path")))
 
 
 @query("f16_cycle_edges", "SELECT g AS graph_id, src, dst FROM cyc_edge")
@@ -236,15 +235,14 @@ def cut_vertices(spark, sf):
  cyclo AS cyclomatic_complexity, depth AS max_dependency_depth, cycles AS cycles_count, sccs AS scc_count,
  p AS weak_components, points, rating AS complexity_rating FROM cx""")
 def complexity(spark, sf):
-    a = analysis(spark, sf)
-    return a["complexity"]
+    return gr.cycle_counts(analysis(spark, sf)["complexity"], cycle_list(spark, sf)).drop("cycles_least")
 
 
 @query("f22_complexity_summary", """SELECT g AS graph_id, 'Complexity ' || rating || ': density ' || printf('%.2f', density * 100) || '%, cyclomatic number ' || cyclo || '.'
  || CASE WHEN cycles > 0 THEN ' ' || cycles || ' cycle(s).' ELSE '' END
  || ' Depth ' || depth || CASE WHEN depth >= 4 THEN ', which is deep.' ELSE '.' END AS summary FROM cx""")
 def complexity_summary(spark, sf):
-    return gr.complexity_summary(analysis(spark, sf)["complexity"]).select("graph_id", "summary")
+    return gr.complexity_summary(gr.cycle_counts(analysis(spark, sf)["complexity"], cycle_list(spark, sf))).select("graph_id", "summary")
 
 
 @query("f23_tier_levels", """SELECT d.g AS graph_id, d.v AS node_id, CAST(CASE WHEN d.type IN ('Database', 'External System') THEN coalesce(m.k, 0) + 1
@@ -328,7 +326,7 @@ UNION ALL SELECT g, 1, 'Highest criticality: ''' || name || ''' with ' || printf
   CASE WHEN npr >= 0.60 THEN 'rank ' || printf('%.4f', pr) END], lambda x: x IS NOT NULL)[1:2], ', '), ''), 'no signal stands out') || ').' FROM crit WHERE rk = 1""")
 def insights(spark, sf):
     a = analysis(spark, sf)
-    return sc.insights(a["criticality"], a["spof"], a["cycles"], a["edge_risk"], a["complexity"])
+    return sc.insights(a["criticality"], a["spof"], cycle_list(spark, sf), a["edge_risk"], a["complexity"])
 
 
 FINDINGS = """SELECT g AS graph_id, 'spof-' || v AS finding_id, CASE WHEN severity = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS severity, 'SPOF' AS category, v AS component_id, aff_n AS blast_radius, 'Single point of failure: ' || name AS title FROM spof WHERE is_spof
@@ -346,7 +344,7 @@ def _findings(spark, sf):
     def build():
         a = analysis(spark, sf)
         stores = sc.shared_datastores(a["nodes"], a["edges"])
-        return stage(sc.findings(a["nodes"], a["spof"], a["criticality"], a["cycles"], stores, a["edge_risk"])).df
+        return stage(sc.findings(a["nodes"], a["spof"], a["criticality"], cycle_list(spark, sf), stores, a["edge_risk"])).df
     return memo(spark, sf, "findings", build)
 
 
@@ -372,7 +370,7 @@ def finding_filter(spark, sf):
  (SELECT count(*) FROM erisk e WHERE e.g = c.g AND e.lvl IN ('CRITICAL', 'HIGH')) AS risky_edges FROM crit c GROUP BY c.g""")
 def health(spark, sf):
     a = analysis(spark, sf)
-    return sc.health(a["criticality"], a["spof"], a["cycles"], a["edge_risk"])
+    return sc.health(a["criticality"], a["spof"], cycle_list(spark, sf), a["edge_risk"])
 
 
 @query("e16_shared_datastores", """SELECT e.graph_id, e.dst AS node_id, d.name, count(DISTINCT e.src) AS callers FROM fleet_edges e JOIN decl d ON d.g = e.graph_id AND d.v = e.dst AND d.type = 'Database'

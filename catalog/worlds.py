@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from depfleet.operators.cycles import simple_cycles
 from depfleet.plans.analysis import analyse
 from depfleet.plans.compare import compare, what_if
 from depfleet.sources import tables as t
@@ -19,6 +20,12 @@ def analysis(spark, sf):
     return memo(spark, sf, "analysis", lambda: analyse(*fleet(spark, sf)))
 
 
+def cycle_list(spark, sf):
+    """All cycles of the fleet: a step of its own, which no score needs."""
+    a = analysis(spark, sf)
+    return memo(spark, sf, "cycles", lambda: stage(simple_cycles(a["link"], a["strong"])).df)
+
+
 def versions(spark, sf):
     return memo(spark, sf, "versions", lambda: tuple(
         stage(x).df for v in (1, 2) for x in t.fleet_version(spark, sf, v)))

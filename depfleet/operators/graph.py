@@ -30,6 +30,12 @@ def links(edges: DataFrame) -> DataFrame:
     return edges.select(G, "src", "dst").distinct()
 
 
+def last_declared(nodes: DataFrame) -> DataFrame:
+    """One row per node id; of a repeated id the last by ``pos`` counts."""
+    rest = [c for c in nodes.columns if c not in (G, "node_id")]
+    return nodes.groupBy(G, "node_id").agg(F.max_by(F.struct(*rest), "pos").alias("a")).select(G, "node_id", "a.*")
+
+
 def vertices(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Declared nodes plus endpoints that no node row declares; of a repeated id the last by ``pos`` counts."""
     ends = edges.select(G, F.explode(F.array("src", "dst")).alias("node_id")).distinct()
@@ -199,21 +205,38 @@ def condense(link: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def walk_levels(start: DataFrame, dag: DataFrame) -> DataFrame:
-    """Longest distance from any start node in an acyclic (src, dst) table."""
+    """Longest distance from any start node in an acyclic (src, dst) table; a column ``level`` of ``start`` is a head start."""
     dag = stage(dag).df
-    rounds = [stage(start.select(G, "node_id").distinct())]
-    while rounds[-1].rows:
-        step = rounds[-1].df.join(dag.withColumnRenamed("src", "node_id"), [G, "node_id"])
-        rounds.append(stage(step.select(G, F.col("dst").alias("node_id")).distinct()))
+    first = stage(start.select(G, "node_id", (F.col("level") if "level" in start.columns else F.lit(0)).cast("int").alias("level")).distinct(),
+                  last=F.max("level"))
+    last = first.facts["last"] or 0
+    rounds = [stage(first.df.filter("level = 0").select(G, "node_id"))]
+    while rounds[-1].rows or len(rounds) <= last:
+        step = rounds[-1].df.join(dag.withColumnRenamed("src", "node_id"), [G, "node_id"]).select(G, F.col("dst").alias("node_id"))
+        if len(rounds) <= last:
+            step = step.unionByName(first.df.filter(F.col("level") == len(rounds)).select(G, "node_id"))
+        rounds.append(stage(step.distinct()))
     rows = union_all([r.df.withColumn("level", F.lit(k)) for k, r in enumerate(rounds)])
     return rows.groupBy(G, "node_id").agg(F.max("level").alias("level"))
 
 
+def heights(link: DataFrame, labels: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+    """(node_id, height): edges on the longest path of components below each node's own.
+
+    ``floors`` (node_id, height) are heights that nodes have at least by links that ``link`` does not hold.
+    """
+    part = labels.select(G, "node_id", "component")
+    dag = condense(link, labels).select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    start = part.select(G, F.col("component").alias("node_id"), F.lit(0).alias("level")).distinct()
+    if floors is not None:
+        start = start.unionByName(floors.join(part, [G, "node_id"]).select(G, F.col("component").alias("node_id"), F.col("height").cast("int").alias("level")))
+    level = walk_levels(start, dag).select(G, F.col("node_id").alias("component"), F.col("level").alias("height"))
+    return part.join(level, [G, "component"]).select(G, "node_id", "height")
+
+
 def condensation_depth(link: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges on the longest path of the component DAG, per graph."""
-    dag = stage(condense(link, labels)).df
-    levels = walk_levels(labels.select(G, F.col("component").alias("node_id")), dag)
-    return levels.groupBy(G).agg(F.max("level").alias("max_dependency_depth"))
+    return heights(link, labels).groupBy(G).agg(F.max("height").alias("max_dependency_depth"))
 
 
 CLIENT_ID_WORDS = ("frontend", "client", "extension", "ui")     # fixed values
@@ -267,25 +290,37 @@ def complexity_points(density, cyclomatic, cycles, depth):
     return by_density + by_paths + by_cycles + by_depth
 
 
-def complexity(size: DataFrame, weak: DataFrame, strong: DataFrame, depth: DataFrame,
-               cycles: DataFrame) -> DataFrame:
-    """One row per graph: degree, density, cyclomatic number, components, depth, rating."""
+def with_density(size: DataFrame) -> DataFrame:
+    """Average degree and density from ``node_count`` and ``edge_count``."""
+    n, e = F.col("node_count"), F.col("edge_count")
+    return (size.withColumn("average_degree", F.round(2.0 * e / n, 2))
+            .withColumn("density", F.when(n > 1, F.round(e / (n * (n - 1)), 4)).otherwise(0.0)))
+
+
+def complexity(size: DataFrame, weak: DataFrame, strong: DataFrame, depth: DataFrame, few: DataFrame) -> DataFrame:
+    """One row per graph: degree, density, cyclomatic number, components, depth, rating.
+
+    ``few`` tells of cycles as far as ratings and scores ask (``cycles_least``); ``cycle_counts`` adds their number.
+    """
     weak_n = weak.filter("component = node_id").groupBy(G).agg(F.count(F.lit(1)).alias("weak_components"))
     strong_n = strong.filter("component = node_id").groupBy(G).agg(F.count(F.lit(1)).alias("scc_count"))
-    cycle_n = cycles.groupBy(G).agg(F.count(F.lit(1)).alias("cycles_count"))
     n, e = F.col("node_count"), F.col("edge_count")
-    row = (size.join(weak_n, G, "left").join(strong_n, G, "left").join(depth, G, "left")
-           .join(cycle_n, G, "left").na.fill(0, ["cycles_count", "max_dependency_depth"])
-           .withColumn("average_degree", F.round(2.0 * e / n, 2))
-           .withColumn("density", F.when(n > 1, F.round(e / (n * (n - 1)), 4)).otherwise(0.0))
+    row = (with_density(size).join(weak_n, G, "left").join(strong_n, G, "left").join(depth, G, "left")
+           .join(few, G, "left").na.fill(0, ["cycles_least", "max_dependency_depth"])
            .withColumn("cyclomatic_complexity", F.greatest(F.lit(1), e - n + 2 * F.col("weak_components"))))
     points = complexity_points(F.col("density"), F.col("cyclomatic_complexity"),
-                               F.col("cycles_count"), F.col("max_dependency_depth"))
+                               F.col("cycles_least"), F.col("max_dependency_depth"))
     return row.withColumn("points", points).withColumn(
         "complexity_rating",
         F.when(F.col("points") >= 7, "HIGH").when(F.col("points") >= 3.5, "MEDIUM").otherwise("LOW"))
 
 
+def cycle_counts(row: DataFrame, cycles: DataFrame) -> DataFrame:
+    """``row`` (one a graph) with ``cycles_count`` from the list of cycles."""
+    n = cycles.groupBy(G).agg(F.count(F.lit(1)).alias("cycles_count"))
+    return row.join(n, G, "left").na.fill(0, ["cycles_count"])
+
+
 def complexity_summary(row: DataFrame) -> DataFrame:
     """The rating in words."""
     head = F.format_string("Complexity %s: density %.2f%%, cyclomatic number %d.", "complexity_rating",

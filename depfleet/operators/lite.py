@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.tiers import CRITICALITY_BOUNDS, EDGE_BOUNDS, SYSTEM_BOUNDS, fair_round, tier
 from ..staging import stage, together
 from . import walks as w
+from .cycles import few_cycles
 from .graph import G, links, strong_labels, vertices, weak_labels
 from .ranking import rank_desc
 
@@ -58,19 +59,18 @@ def lite_spofs(metrics: DataFrame) -> DataFrame:
         F.when(~F.col("is_cut"), "NONE").when(callers >= 3, "CRITICAL").otherwise("HIGH").alias("severity"))
 
 
-def lite_complexity(metrics: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
+def lite_complexity(metrics: DataFrame, edges: DataFrame, few: DataFrame) -> DataFrame:
     n = metrics.groupBy(G).agg(F.count(F.lit(1)).alias("node_count"),
                                F.max("depth").alias("max_dependency_depth"))
     e = edges.groupBy(G).agg(F.count(F.lit(1)).alias("edge_count"))
-    c = cycles.groupBy(G).agg(F.count(F.lit(1)).alias("cycles_count"))
-    row = n.join(e, G, "left").join(c, G, "left").na.fill(0, ["edge_count", "cycles_count"])
+    row = n.join(e, G, "left").join(few, G, "left").na.fill(0, ["edge_count", "cycles_least"])
     v, m = F.col("node_count"), F.col("edge_count")
     row = (row.withColumn("average_degree", F.round(2.0 * m / v, 2))
            .withColumn("density", F.when(v > 1, F.round(m / (v * (v - 1)), 3)).otherwise(0.0))
            .withColumn("cyclomatic_complexity", F.greatest(F.lit(1), m - v + 2)))
     return row.withColumn(
         "complexity_rating",
-        F.when((F.col("cyclomatic_complexity") > 10) | (F.col("density") > 0.35) | (F.col("cycles_count") > 0), "HIGH")
+        F.when((F.col("cyclomatic_complexity") > 10) | (F.col("density") > 0.35) | (F.col("cycles_least") > 0), "HIGH")
         .when(F.col("cyclomatic_complexity") > 4, "MEDIUM").otherwise("LOW"))
 
 
@@ -102,7 +102,7 @@ def lite_system_risk(complexity: DataFrame, metrics: DataFrame, edge: DataFrame)
     row = complexity.join(m, G).join(e, G, "left").na.fill(0, ["risky_edges"])
     total = (F.least(F.lit(25.0), F.col("density") * 30.0 + F.col("average_degree") * 2.5)
              + F.least(F.lit(30.0), F.col("spof_count") * 12.0)
-             + F.least(F.lit(20.0), F.col("cycles_count") * 10.0)
+             + F.least(F.lit(20.0), F.col("cycles_least") * 10.0)
              + F.least(F.lit(15.0), F.col("risky_edges") * 3.5)
              + F.least(F.lit(10.0), F.col("external_count") * 3.0
                        + F.greatest(F.lit(0), F.col("max_dependency_depth") - 3) * 1.5))
@@ -128,15 +128,14 @@ def model_score(metrics: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def lite_analysis(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the profile."""
+    """All tables of the profile; cycles are told apart as far as scores ask, and listed by ``simple_cycles`` alone."""
     nodes, edges = stage(nodes).df, stage(edges).df
     every, link = vertices(nodes, edges), links(edges)
     strong = stage(strong_labels(every, link)).df
-    metrics, cycles = together(lambda: lite_metrics(nodes, edges, strong),
-                               lambda: stage(w.simple_cycles(link, strong)).df)
+    metrics, few = together(lambda: lite_metrics(nodes, edges, strong), lambda: stage(few_cycles(link, strong)).df)
     crit = stage(lite_criticality(metrics)).df
     edge = stage(lite_edge_risk(edges, crit)).df
-    complexity = stage(lite_complexity(metrics, edges, cycles)).df
-    return {"nodes": nodes, "edges": edges, "metrics": metrics, "cycles": cycles, "spof": lite_spofs(metrics),
+    complexity = stage(lite_complexity(metrics, edges, few)).df
+    return {"nodes": nodes, "edges": edges, "link": link, "strong": strong, "metrics": metrics, "spof": lite_spofs(metrics),
             "criticality": crit, "edge_risk": edge, "complexity": complexity,
             "system": lite_system_risk(complexity, metrics, edge), "model": model_score(metrics, edges)}

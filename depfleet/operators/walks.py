@@ -1,4 +1,4 @@
-"""Reachability, shortest walks, betweenness, dominators, longest paths, cycles.
+"""Reachability, shortest walks, betweenness, dominators, longest paths, cycle flags, PageRank.
 
 All operators advance level by level for every (graph, source) at once and cut
 lineage after each level.  Their state is what the answer itself needs: closure
@@ -7,11 +7,14 @@ rows for reach, candidate rows on one shortest path for single points of failure
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import Staged, stage, union_all
-from .graph import G, links, strong_labels
+from .cycles import simple_cycles  # noqa: F401
+from .graph import G, strong_labels
 
 PAIR = [G, "src", "dst"]
 
@@ -82,14 +85,13 @@ def reach_counts(vertex: DataFrame, reach: DataFrame) -> DataFrame:
         0, ["blast_radius", "footprint"])
 
 
-def betweenness(vertex: DataFrame, link: DataFrame, levels: list[Staged] | None = None) -> DataFrame:
-    """Directed, unweighted betweenness without endpoints, scaled by 1/((n-1)(n-2)).
+def dependencies(link: DataFrame, levels: list[Staged]) -> DataFrame:
+    """(src, dst, delta): how much of the shortest walks from src to other nodes runs through dst.
 
     Backward accumulation over the levels, from the farthest: every level is a join
     on (graph, source, node), so the work is sources x edges, never node triples.
     """
     hop = stage(weighted(link)).df
-    levels = levels or shortest_walks(hop, counts=True)
     back = hop.select(G, F.col("src").alias("prev"), "dst", "n")
     parts: list[DataFrame] = []
     below: DataFrame | None = None
@@ -105,14 +107,25 @@ def betweenness(vertex: DataFrame, link: DataFrame, levels: list[Staged] | None
         below = stage(levels[k - 1].df.select(G, "src", "dst", "sigma").join(pushed, PAIR)
                       .select(G, "src", "dst", (F.col("sigma") * F.col("share")).alias("delta"))).df
         parts.append(below)
+    return union_all(parts) if parts else levels[0].df.select(*PAIR, F.lit(0.0).alias("delta")).filter("false")
+
+
+def betweenness_scale(n):
+    """What a sum of dependencies is multiplied with in a graph of ``n`` nodes."""
+    return F.when(n > 2, 1.0 / ((n - 1) * (n - 2))).otherwise(1.0)
+
+
+def betweenness(vertex: DataFrame, link: DataFrame, levels: list[Staged] | None = None,
+                depend: DataFrame | None = None) -> DataFrame:
+    """Directed, unweighted betweenness without endpoints, scaled by 1/((n-1)(n-2)); ``raw`` is the sum unscaled."""
+    if depend is None:
+        hop = stage(weighted(link)).df
+        depend = dependencies(hop, levels or shortest_walks(hop, counts=True))
     n = vertex.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
-    base = vertex.select(G, "node_id").join(n, G)
-    scale = F.when(F.col("n") > 2, 1.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(1.0)
-    if not parts:
-        return base.select(G, "node_id", F.lit(0.0).alias("betweenness"))
-    total = union_all(parts).groupBy(G, F.col("dst").alias("node_id")).agg(F.sum("delta").alias("d"))
-    return base.join(total, [G, "node_id"], "left").select(
-        G, "node_id", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
+    total = depend.groupBy(G, F.col("dst").alias("node_id")).agg(F.sum("delta").alias("d"))
+    raw = F.coalesce("d", F.lit(0.0))
+    return (vertex.select(G, "node_id").join(n, G).join(total, [G, "node_id"], "left")
+            .select(G, "node_id", (raw * betweenness_scale(F.col("n"))).alias("betweenness"), raw.alias("raw")))
 
 
 def severed_pairs(link: DataFrame, walks: DataFrame) -> DataFrame:
@@ -240,47 +253,6 @@ def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int | None = No
     return ranked.select(G, "node_id", (F.size("p.path") - 1).alias("depth"), F.col("p.path").alias("path"))
 
 
-def simple_cycles(link: DataFrame, labels: DataFrame, keep: int | None = None) -> DataFrame:
-    """Elementary cycles from their smallest node, numbered by (length, path).
-
-    All of them, or the first ``keep`` with a flag ``truncated`` that tells of more.  The
-    search runs inside strong components and by length; with ``keep`` a graph leaves it once
-    a finished length has given more than that, as longer ones cannot rank before.  The
-    number of cycles may be exponential; ``cycle_edges`` and ``cycle_nodes`` do not need it.
-    """
-    loops = link.filter("src = dst").select(G, F.array("src").alias("path"))
-    a = labels.select(G, F.col("node_id").alias("src"), F.col("component").alias("cs"))
-    b = labels.select(G, F.col("node_id").alias("dst"), F.col("component").alias("cd"))
-    hop = stage(no_loops(link).join(a, [G, "src"]).join(b, [G, "dst"]).filter("cs = cd")
-                .select(G, "src", "dst")).df
-    found = [stage(loops)]
-    onward = hop.select(G, F.col("src").alias("last"), F.col("dst").alias("next"))
-    partial = stage(hop.filter("src < dst").select(
-        G, F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")))
-    while partial.rows:
-        closing = partial.df.join(
-            onward.withColumnRenamed("next", "start"), [G, "last", "start"], "left_semi").select(G, "path")
-        found.append(stage(closing))
-        open_ends = partial.df
-        if keep is not None:
-            tally = union_all([f.df for f in found]).groupBy(G).agg(F.count(F.lit(1)).alias("n"))
-            open_ends = open_ends.join(tally.filter(F.col("n") > keep), G, "left_anti")
-        step = (open_ends.join(onward, [G, "last"])
-                .filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")))
-                .select(G, "start", F.col("next").alias("last"),
-                        F.concat("path", F.array("next")).alias("path")))
-        after = stage(step)
-        partial.drop()
-        partial = after
-    from pyspark.sql import Window
-    order = Window.partitionBy(G).orderBy(F.size("path"), "path")
-    ranked = union_all([f.df for f in found]).withColumn("cycle_no", F.row_number().over(order))
-    if keep is None:
-        return ranked
-    found_n = union_all([f.df for f in found]).groupBy(G).agg((F.count(F.lit(1)) > keep).alias("truncated"))
-    return ranked.filter(F.col("cycle_no") <= keep).join(found_n, G)
-
-
 def cycle_edges(link: DataFrame, labels: DataFrame) -> DataFrame:
     """(src, dst) pairs on any cycle: self loops, and edges inside a strong component."""
     a = labels.select(G, F.col("node_id").alias("src"), F.col("component").alias("cs"))
@@ -314,39 +286,52 @@ def transit_samples(walks: DataFrame, ends: int = 10, keep: int = 3) -> DataFram
 
 
 def pagerank(vertex: DataFrame, link: DataFrame, alpha: float = 0.85, tol: float = 1e-6,
-             max_rounds: int = 200, per_node: bool = True) -> DataFrame:
+             max_rounds: int | None = None, per_node: bool = True) -> DataFrame:
     """Power iteration with uniform dangling mass; a graph stops when its L1 change is
     below n * tol (``tol`` itself if ``per_node`` is off).  Stopped graphs are left
-    out of later rounds.  A column ``n`` of ``link`` counts parallel edges."""
+    out of later rounds.  A column ``n`` of ``link`` counts parallel edges.
+
+    A round shrinks the change by ``alpha``, so every graph settles; with ``max_rounds`` those that have not are told
+    by ``converged``.
+    """
     many = F.col("n") if "n" in link.columns else F.lit(1)
     hop = stage(link.select(G, "src", "dst", many.cast("long").alias("many"))).df
     out = hop.groupBy(G, F.col("src").alias("node_id")).agg(F.sum("many").alias("out_degree"))
     n = vertex.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
-    start = (vertex.select(G, "node_id").join(n, G).join(out, [G, "node_id"], "left")
-             .na.fill(0, ["out_degree"]).withColumn("rank", 1.0 / F.col("n")))
-    state = stage(start.withColumn("change", F.col("rank") + F.col("n"))).df
+    start = vertex.select(G, "node_id").join(n, G).join(out, [G, "node_id"], "left").na.fill(0, ["out_degree"])
+    return rank_rounds(start, lambda shares: shares.join(hop, [G, "src"]).select(
+        G, "dst", (F.col("share") * F.col("many")).alias("share")), alpha, tol, max_rounds, per_node)
+
+
+def rank_rounds(start: DataFrame, give: Callable[[DataFrame], DataFrame], alpha: float = 0.85, tol: float = 1e-6,
+                max_rounds: int | None = None, per_node: bool = True) -> DataFrame:
+    """The iteration behind ``pagerank`` over ``start`` (node_id, n, out_degree and columns that ``give`` needs).
+
+    ``give`` sends each node's share (src, share) along its links: (dst, share).
+    """
+    carried = [c for c in start.columns if c not in (G, "node_id", "n", "out_degree")]
+    state = stage(start.withColumn("rank", 1.0 / F.col("n")).withColumn("change", F.col("rank") + F.col("n"))).df
     finished: list[DataFrame] = []
+    rounds = 0
     # a round first tells which graphs the last one settled, then moves the others on
-    for _ in range(max_rounds):
+    while max_rounds is None or rounds < max_rounds:
         limit = F.col("n") * tol if per_node else F.lit(tol)
-        total = state.groupBy(G).agg(F.sum("change").alias("total"))
+        total = state.groupBy(G).agg(F.sum("change").alias("total"), F.sum(F.when(F.col("out_degree") == 0, F.col("rank")).otherwise(0.0)).alias("loose"))
         told = state.join(total, G).withColumn("settled", F.col("total") < limit)
-        live = told.filter("NOT settled")
-        given = (live.filter("out_degree > 0")
-                 .select(G, F.col("node_id").alias("src"), (F.col("rank") / F.col("out_degree")).alias("share"))
-                 .join(hop, [G, "src"])
-                 .groupBy(G, F.col("dst").alias("node_id")).agg(F.sum(F.col("share") * F.col("many")).alias("got")))
-        loose = live.filter("out_degree = 0").groupBy(G).agg(F.sum("rank").alias("loose"))
-        moved = (told.join(given, [G, "node_id"], "left").join(loose, G, "left").na.fill(0.0, ["got", "loose"])
+        live = told.filter("NOT settled AND out_degree > 0")
+        given = give(live.select(G, *carried, F.col("node_id").alias("src"), (F.col("rank") / F.col("out_degree")).alias("share")))
+        given = given.groupBy(G, F.col("dst").alias("node_id")).agg(F.sum("share").alias("got"))
+        moved = (told.join(given, [G, "node_id"], "left").na.fill(0.0, ["got"])
                  .withColumn("new", F.when(F.col("settled"), F.col("rank")).otherwise(
                      (1 - alpha) / F.col("n") + alpha * (F.col("got") + F.col("loose") / F.col("n")))))
-        after = stage(moved.select(G, "node_id", "n", "out_degree", F.col("new").alias("rank"),
+        after = stage(moved.select(G, "node_id", *carried, "n", "out_degree", F.col("new").alias("rank"),
                                    F.abs(F.col("new") - F.col("rank")).alias("change"), "settled"),
                       live=F.count_if(~F.col("settled")))
-        finished.append(after.df.filter("settled").drop("settled"))
+        finished.append(after.df.filter("settled").withColumn("converged", F.lit(True)))
         state = after.df.filter("NOT settled").drop("settled")
+        rounds += 1
         if not after.facts["live"]:
             break
     else:
-        finished.append(state)
-    return union_all(finished).select(G, "node_id", F.col("rank").alias("pagerank"))
+        finished.append(state.withColumn("converged", F.lit(False)))
+    return union_all([f.select(G, "node_id", F.col("rank").alias("pagerank"), "converged") for f in finished])

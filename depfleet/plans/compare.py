@@ -9,7 +9,8 @@ from ..operators import diff as d
 from ..operators import whatif as x
 from ..operators.graph import G
 from ..operators.lite import lite_analysis
-from ..staging import stage
+from ..operators.rescore import rescore
+from ..staging import stage, together
 from .analysis import analyse
 
 
@@ -46,16 +47,17 @@ def compare(n1: DataFrame, e1: DataFrame, n2: DataFrame, e2: DataFrame) -> dict[
 
 
 def what_if(nodes: DataFrame, edges: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
-    """Apply every scenario and analyse the current and the hypothetical graphs in one run."""
-    change = x.apply_changes(nodes, edges, changes)
-    # one analysis over both worlds
-    both = analyse(_tagged(change["base_nodes"], "@0").unionByName(_tagged(change["nodes"], "@1")),
-                   _tagged(change["base_edges"], "@0").unionByName(_tagged(change["edges"], "@1")).withColumn(
-                       "description", F.lit(None).cast("string")))
-    before, after = _world(both, "@0"), _world(both, "@1")
-    lost = stage(x.broken(change["removed"], change["base_edges"], change["nodes"])).df
-    shift = stage(x.shifts(change["graphs"], change, lost, before, after)).df
+    """Apply every scenario and score the hypothetical graphs.
+
+    Each base graph is analysed once, however many scenarios change it.
+    """
+    change, base = together(lambda: x.apply_changes(nodes, edges, changes),
+                            lambda: analyse(nodes, edges.withColumn("description", F.lit(None).cast("string"))))
+    after = rescore(base, change)
+    lost = stage(x.broken(change)).df
+    shift = stage(x.shifts(change, lost, after["born"], after["dead"], after["spof"])).df
     book = stage(x.whatif_ledger(shift)).df
-    return {**change, "broken": lost, "shift": shift, "ledger": book,
-            "score": stage(x.whatif_score(book, before["system"], after["system"])).df,
-            "paths": stage(x.propagation(change["touched"], change["edges"], change["base_edges"])).df}
+    current = change["graphs"].join(x.on_base(base["system"]).select("base_id", F.col("system_risk").alias("current_score")), "base_id")
+    return {**change, "base": base, "after": after, "broken": lost, "shift": shift, "ledger": book,
+            "score": stage(x.whatif_score(book, current, after["system"])).df,
+            "paths": stage(x.propagation(change["touched"], change["graphs"], after["sources"], after["walks"], base["walks"])).df}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from depfleet.operators import diff as d
 from depfleet.operators import whatif as x
+from depfleet.plans.analysis import analyse
 from depfleet.plans.compare import compare, what_if
 
 CASES = {
@@ -155,6 +156,81 @@ def test_removals_one_by_one(spark):
     assert {g: sorted(ids) for g, ids in got.items()} == want
 
 
+def random_scenarios(seed):
+    """Random graphs with parallel edges, self edges and undeclared ends, and scenarios of a few changes each."""
+    rng = random.Random(seed)
+    nodes, edges, steps = [], [], []
+    fields = [f.split(" ")[0] for f in CHANGE_SCHEMA.split(", ")]
+    for k in range(6):
+        graph, ids = f"R{k}", [f"n{i}" for i in range(rng.randint(3, 8))]
+        kinds = {v: rng.choice(["Service", "Database", "External System", "Service"]) for v in ids}
+        nodes += node_rows(graph, ids, kinds)
+        ends = [*ids, "ghost"]
+        pairs = [f"{rng.choice(ends)}>{rng.choice(ends)}" for _ in range(rng.randint(2, 14))]
+        edges += edge_rows(graph, pairs + pairs[:2])
+        for j in range(7):
+            for n in range(rng.randint(1, 4)):
+                new = f"x{n}"
+                step = rng.choice([
+                    {"action": "add_component", "node_id": rng.choice([new, rng.choice(ids)]), "name": "N", "type": rng.choice(["Service", "External System"]), "technology": "T"},
+                    {"action": "remove_component", "node_id": rng.choice([*ends, new])},
+                    {"action": "add_dependency", "edge_id": f"e{n}", "src": rng.choice([*ends, "x0"]), "dst": rng.choice([*ends, "x0"]), "edge_type": "CALLS"},
+                    {"action": "remove_dependency", "edge_id": f"r{rng.randrange(len(pairs))}"},
+                    {"action": "remove_dependency", **dict(zip(("src", "dst"), rng.choice(pairs).split(">")))}])
+                row = dict.fromkeys(fields) | {"graph_id": graph, "scenario_id": f"s{j}", "seq": n} | step
+                steps.append(tuple(row[f] for f in fields))
+    return nodes, edges, steps
+
+
+def test_rescoring_equals_whole_analyses(spark):
+    """Scores, verdicts, cycles and paths from changes alone against analyses of every hypothetical graph."""
+    nodes, edges, steps = random_scenarios(3)
+    got = what_if(spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA), spark.createDataFrame(steps, CHANGE_SCHEMA))
+    both = lambda part: part.unionByName(got["graphs"].join(got[f"base_{part_name[id(part)]}"].withColumnRenamed("graph_id", "base_id"), "base_id")
+                                         .withColumn("graph_id", F.concat("graph_id", F.lit("@"))).select(*part.columns))
+    part_name = {id(got["nodes"]): "nodes", id(got["edges"]): "edges"}
+    whole = analyse(both(got["nodes"]), both(got["edges"]).withColumn("description", F.lit(None).cast("string")), list_cycles=True)
+    table = lambda df, *cols: {tuple(r[c] for c in cols) for r in df.collect()}
+    system = {g: v for g, v in table(whole["system"], "graph_id", "system_risk")}
+    mine = {g: v for g, v in table(got["after"]["system"], "graph_id", "system_risk")}
+    assert mine == {g: v for g, v in system.items() if not g.endswith("@")} and len(mine) > 30
+    assert {(r["graph_id"], r["current_score"], r["modelled_score"]) for r in got["score"].collect()} == {
+        (g, system[g + "@"], system.get(g, 0.0)) for g in table(got["graphs"], "graph_id") for g in g if g + "@" in system}
+    hit = table(whole["spof"].filter("is_spof"), "graph_id", "node_id")
+    now, was = {x for x in hit if not x[0].endswith("@")}, {(g[:-1], v) for g, v in hit if g.endswith("@")}
+    assert table(got["after"]["spof"].filter("is_spof"), "graph_id", "node_id") == now - was
+    assert table(got["after"]["spof"].filter("was"), "graph_id", "node_id") == was - now
+    rings = {}
+    for g, path in [(r["graph_id"], r["path"]) for r in whole["cycles"].collect()]:
+        rings.setdefault(g, set()).add(tuple(path))
+    born = {r["graph_id"]: r["n"] for r in got["after"]["born"].groupBy("graph_id").agg(F.count("*").alias("n")).collect()}
+    dead = {r["graph_id"]: r["n"] for r in got["after"]["dead"].groupBy("graph_id").agg(F.count("*").alias("n")).collect()}
+    for (g,) in table(got["graphs"], "graph_id"):
+        new, old = rings.get(g, set()), rings.get(g + "@", set())
+        assert (born.get(g, 0), dead.get(g, 0)) == (len(new - old), len(old - new)), g
+    touched = table(got["touched"], "graph_id", "node_id")
+    want = {}
+    for r in whole["walks"].select("graph_id", "src", "dst", "path").collect():
+        g, now = r["graph_id"].rstrip("@"), not r["graph_id"].endswith("@")
+        if (g, r["dst"]) in touched and (g, r["src"]) not in touched:
+            key = (g, r["src"], r["dst"], tuple(r["path"]))
+            want[key] = "hypothetical" if now else want.get(key, "current")
+    assert {(r["graph_id"], r["source"], r["target"], tuple(r["path"])): r["topology"] for r in got["paths"].collect()} == want
+
+
+def test_many_cuts_of_one_pair_need_no_more_jobs(spark):
+    """A thousand removals of one pair in one scenario, some of them when nothing is left."""
+    edges = spark.createDataFrame(edge_rows("W", ["A>B"] * 700), EDGE_SCHEMA)
+    table = spark.createDataFrame([change("s", k, "remove_dependency", src="A", dst="B") for k in range(300)] +
+                                  [change("s", 300, "add_dependency", edge_id="late", src="A", dst="B", edge_type="CALLS")] +
+                                  [change("s", k, "remove_dependency", src="A", dst="B") for k in range(301, 1001)] +
+                                  [change("t", 0, "remove_dependency", src="A", dst="B")], CHANGE_SCHEMA)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    got = x.apply_changes(spark.createDataFrame(node_rows("W", "AB"), NODE_SCHEMA), edges, table)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before < 120
+    assert of(got["edges"], "s") == [] and len(of(got["edges"], "t")) == 699
+
+
 def test_what_if_ledger(simulated):
     factors = {s: {r["factor"] for r in of(simulated["ledger"], s)} for s in ("add", "cut", "drop", "none")}
     assert any("Coupling" in f for f in factors["add"])
