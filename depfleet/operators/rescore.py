@@ -18,6 +18,7 @@ from . import score as s
 from . import walks as w
 from .cycles import cycles_through, inner_links
 from .graph import G
+from .rank import ranks
 from .whatif import BASE, on_base
 
 NODE = [G, "node_id"]
@@ -125,14 +126,17 @@ def rescore(base: dict[str, DataFrame], change: dict[str, DataFrame]) -> dict[st
              .join(vanished.select(*NODE), NODE, "left_anti")
              .unionByName(appeared.withColumn("out_degree", F.lit(0))))
 
-    def ranks():
+    def ranked():
         start = (every.join(degree_fixes.select(*NODE, F.col("out_degree").alias("more")), NODE, "left").join(size.select(G, F.col("node_count").alias("n")), G)
                  .select(G, "base_id", "node_id", "n", (F.col("out_degree") + F.coalesce("more", F.lit(0))).alias("out_degree")))
         base_link = on_base(base["link"])
         flips = stage(gone.select(G, "src", "dst", F.lit(-1.0).alias("sign")).unionByName(new.select(G, "src", "dst", F.lit(1.0).alias("sign")))).df
         give = lambda shares: (shares.join(base_link, ["base_id", "src"]).select(G, "dst", "share").unionByName(
             shares.join(flips, [G, "src"]).select(G, "dst", (F.col("share") * F.col("sign")).alias("share"))))
-        return stage(w.rank_rounds(start, give)).df
+        links_of = lambda graphs: (scen.join(graphs, G, "left_semi").join(base_link, "base_id").select(G, "src", "dst")
+                                   .join(gone.select(G, "src", "dst"), [G, "src", "dst"], "left_anti")
+                                   .unionByName(new.select(G, "src", "dst").join(graphs, G, "left_semi")).withColumn("many", F.lit(1)))
+        return stage(ranks(start, size.select(G, (F.col("node_count") + F.col("edge_count")).alias("rows")), links_of, give)).df
 
     def walked():
         levels = w.shortest_walks(link, sources=sources.select(*NODE), paths=True, counts=True)
@@ -143,7 +147,7 @@ def rescore(base: dict[str, DataFrame], change: dict[str, DataFrame]) -> dict[st
             lambda: _heights(base, sources, hop, labels, scen, vanished), lambda: _cycles(base, link, labels, gone, new))
         return walks, labels, depend, severed, height, born, dead
 
-    rank, (walks, labels, depend, severed, depth, born, dead) = together(ranks, walked)
+    rank, (walks, labels, depend, severed, depth, born, dead) = together(ranked, walked)
 
     at_sources = lambda df: sources.withColumnRenamed("node_id", "src").join(on_base(df), ["base_id", "src"])
     one = lambda df, node, name, value: df.select(G, F.col(node).alias("node_id"), *[(value if c == name else F.lit(0)).cast("double").alias(c) for c in SUMS])

@@ -1,4 +1,4 @@
-"""Reachability, shortest walks, betweenness, dominators, longest paths, cycle flags, PageRank.
+"""Reachability, shortest walks, betweenness, dominators, longest paths, cycle flags.
 
 All operators advance level by level for every (graph, source) at once and cut
 lineage after each level.  Their state is what the answer itself needs: closure
@@ -7,14 +7,13 @@ rows for reach, candidate rows on one shortest path for single points of failure
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import Staged, stage, union_all
 from .cycles import simple_cycles  # noqa: F401
 from .graph import G, strong_labels
+from .rank import pagerank  # noqa: F401
 
 PAIR = [G, "src", "dst"]
 
@@ -283,55 +282,3 @@ def transit_samples(walks: DataFrame, ends: int = 10, keep: int = 3) -> DataFram
     first = Window.partitionBy(G, "node_id").orderBy("src", "dst")
     return through.withColumn("sample_no", F.row_number().over(first)).filter(
         F.col("sample_no") <= keep).select(G, "node_id", "sample_no", "path")
-
-
-def pagerank(vertex: DataFrame, link: DataFrame, alpha: float = 0.85, tol: float = 1e-6,
-             max_rounds: int | None = None, per_node: bool = True) -> DataFrame:
-    """Power iteration with uniform dangling mass; a graph stops when its L1 change is
-    below n * tol (``tol`` itself if ``per_node`` is off).  Stopped graphs are left
-    out of later rounds.  A column ``n`` of ``link`` counts parallel edges.
-
-    A round shrinks the change by ``alpha``, so every graph settles; with ``max_rounds`` those that have not are told
-    by ``converged``.
-    """
-    many = F.col("n") if "n" in link.columns else F.lit(1)
-    hop = stage(link.select(G, "src", "dst", many.cast("long").alias("many"))).df
-    out = hop.groupBy(G, F.col("src").alias("node_id")).agg(F.sum("many").alias("out_degree"))
-    n = vertex.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
-    start = vertex.select(G, "node_id").join(n, G).join(out, [G, "node_id"], "left").na.fill(0, ["out_degree"])
-    return rank_rounds(start, lambda shares: shares.join(hop, [G, "src"]).select(
-        G, "dst", (F.col("share") * F.col("many")).alias("share")), alpha, tol, max_rounds, per_node)
-
-
-def rank_rounds(start: DataFrame, give: Callable[[DataFrame], DataFrame], alpha: float = 0.85, tol: float = 1e-6,
-                max_rounds: int | None = None, per_node: bool = True) -> DataFrame:
-    """The iteration behind ``pagerank`` over ``start`` (node_id, n, out_degree and columns that ``give`` needs).
-
-    ``give`` sends each node's share (src, share) along its links: (dst, share).
-    """
-    carried = [c for c in start.columns if c not in (G, "node_id", "n", "out_degree")]
-    state = stage(start.withColumn("rank", 1.0 / F.col("n")).withColumn("change", F.col("rank") + F.col("n"))).df
-    finished: list[DataFrame] = []
-    rounds = 0
-    # a round first tells which graphs the last one settled, then moves the others on
-    while max_rounds is None or rounds < max_rounds:
-        limit = F.col("n") * tol if per_node else F.lit(tol)
-        total = state.groupBy(G).agg(F.sum("change").alias("total"), F.sum(F.when(F.col("out_degree") == 0, F.col("rank")).otherwise(0.0)).alias("loose"))
-        told = state.join(total, G).withColumn("settled", F.col("total") < limit)
-        live = told.filter("NOT settled AND out_degree > 0")
-        given = give(live.select(G, *carried, F.col("node_id").alias("src"), (F.col("rank") / F.col("out_degree")).alias("share")))
-        given = given.groupBy(G, F.col("dst").alias("node_id")).agg(F.sum("share").alias("got"))
-        moved = (told.join(given, [G, "node_id"], "left").na.fill(0.0, ["got"])
-                 .withColumn("new", F.when(F.col("settled"), F.col("rank")).otherwise(
-                     (1 - alpha) / F.col("n") + alpha * (F.col("got") + F.col("loose") / F.col("n")))))
-        after = stage(moved.select(G, "node_id", *carried, "n", "out_degree", F.col("new").alias("rank"),
-                                   F.abs(F.col("new") - F.col("rank")).alias("change"), "settled"),
-                      live=F.count_if(~F.col("settled")))
-        finished.append(after.df.filter("settled").withColumn("converged", F.lit(True)))
-        state = after.df.filter("NOT settled").drop("settled")
-        rounds += 1
-        if not after.facts["live"]:
-            break
-    else:
-        finished.append(state.withColumn("converged", F.lit(False)))
-    return union_all([f.select(G, "node_id", F.col("rank").alias("pagerank"), "converged") for f in finished])
