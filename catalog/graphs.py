@@ -9,6 +9,7 @@ from depfleet.operators import graph as gr
 from depfleet.operators import lite as lt
 from depfleet.operators import score as sc
 from depfleet.operators import walks as wk
+from depfleet.operators.reach import reach_sizes
 from depfleet.staging import stage
 
 from . import graph_sql  # noqa: F401
@@ -77,15 +78,14 @@ def closure(spark, sf):
 @query("f06_blast_radius", "SELECT g AS graph_id, v AS node_id, blast AS blast_radius, foot AS footprint FROM reach")
 def blast_radius(spark, sf):
     n, e = fleet(spark, sf)
-    link = gr.links(e)
-    return wk.reach_counts(gr.vertices(n, e), wk.closure(link))
+    return reach_sizes(gr.vertices(n, e), gr.links(e))
 
 
 @query("f06_blast_radius_supply", """SELECT v AS node_id, CAST(sum(b) AS BIGINT) AS blast_radius, CAST(sum(f) AS BIGINT) AS footprint
 FROM (SELECT t AS v, 1 AS b, 0 AS f FROM supply_reach UNION ALL SELECT s, 0, 1 FROM supply_reach) x GROUP BY v""")
 def blast_radius_supply(spark, sf):
     link = supply(spark, sf)
-    return wk.reach_counts(_ends(link), wk.closure(link)).drop("graph_id")
+    return reach_sizes(_ends(link), link).drop("graph_id")
 
 
 @query("f07_shortest_paths", "SELECT g AS graph_id, s AS src, t AS dst, d AS dist, array_to_string(path, ' > ') AS path FROM sp WHERE s <> t")

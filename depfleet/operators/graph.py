@@ -126,19 +126,24 @@ def _spread(start: DataFrame, along: DataFrame, within: str | None = None) -> li
     return seen
 
 
-def strong_labels(vertex: DataFrame, link: DataFrame) -> DataFrame:
+PATIENCE = 8  # rounds of colouring before chains are taken out
+
+
+def strong_labels(vertex: DataFrame, link: DataFrame, patience: int = PATIENCE) -> DataFrame:
     """Smallest node id of each strong component, linear space in V and E.
 
-    Rounds of: trim nodes with no edge in or out; colour every node with the
-    smallest id that reaches it; take the nodes that reach their colour's root
-    inside the colour; drop them and go on with the rest.
+    Rounds of: trim nodes with no edge in or out, twice; colour every node with the smallest id that reaches it; take the
+    nodes that reach their colour's root inside the colour; drop them and go on with the rest.  Where colours still
+    move after ``patience`` rounds, long ways are taken out first (``_shortened``), so that the number of rounds follows the
+    logarithm of a chain's or ring's length.
     """
-    loose = link.filter(F.col("src") != F.col("dst"))
-    edges = stage(loose.select(G, "src", "dst"))
+    edges = stage(link.filter(F.col("src") != F.col("dst")).select(G, "src", "dst"))
     found: list[DataFrame] = []
+    folded: list[DataFrame] = []
+    short = False
     while edges.rows:
         # trim: a node without an edge in, or without one out, is a component by itself
-        while edges.rows:
+        for _ in range(2):
             ins = edges.df.select(G, F.col("dst").alias("src")).distinct()
             outs = edges.df.select(G, F.col("src").alias("dst")).distinct()
             kept = stage(edges.df.join(ins, [G, "src"], "left_semi")
@@ -146,32 +151,24 @@ def strong_labels(vertex: DataFrame, link: DataFrame) -> DataFrame:
             done = kept.rows == edges.rows
             edges.drop()
             edges = kept
-            if done:
+            if done or not edges.rows:
                 break
         if not edges.rows:
             break
-        # colour
-        ids = edges.df.select(G, F.col("src").alias("node_id")).distinct()
-        colour = stage(ids.withColumn("colour", F.col("node_id")))
-        while True:
-            offers = (edges.df.join(colour.df.withColumnRenamed("node_id", "src"), [G, "src"])
-                      .groupBy(G, F.col("dst").alias("node_id")).agg(F.min("colour").alias("offer")))
-            better = (colour.df.join(offers, [G, "node_id"], "left")
-                      .select(G, "node_id", F.least("colour", "offer").alias("colour"),
-                              (F.col("offer") < F.col("colour")).alias("moved")))
-            after = stage(better, moved=F.count_if("moved"))
-            colour.drop()
-            colour = Staged(after.df.drop("moved"), after.facts, after.path)
-            if not after.facts["moved"]:
-                break
+        colour = _coloured(edges.df, None if short else patience)
+        if colour is None:
+            edges, records = _shortened(edges)
+            folded += records
+            short = True
+            continue
         # back from each root inside its colour
-        tinted = colour.df.withColumnRenamed("node_id", "src").withColumnRenamed("colour", "cs")
-        tinted_to = colour.df.withColumnRenamed("node_id", "dst").withColumnRenamed("colour", "cd")
+        tinted = colour.withColumnRenamed("node_id", "src").withColumnRenamed("colour", "cs")
+        tinted_to = colour.withColumnRenamed("node_id", "dst").withColumnRenamed("colour", "cd")
         inside = stage(edges.df.join(tinted, [G, "src"]).join(tinted_to, [G, "dst"])
                        .filter("cs = cd")
                        .select(G, F.col("dst").alias("src"), F.col("src").alias("dst"),
                                F.col("cs").alias("colour")))
-        roots = colour.df.filter("node_id = colour")
+        roots = colour.filter("node_id = colour")
         members = union_all([s.df for s in _spread(roots, inside.df, "colour")])
         found.append(members.select(G, "node_id", F.col("colour").alias("component")))
         gone = members.select(G, "node_id")
@@ -180,13 +177,112 @@ def strong_labels(vertex: DataFrame, link: DataFrame) -> DataFrame:
                      .select(G, "src", "dst"))
         edges.drop()
         edges = rest
+        short = False
     base = vertex.select(G, "node_id")
-    if not found:
+    if not found and not folded:
         return base.withColumn("component", F.col("node_id"))
+    if folded:
+        found = [_unfolded(found, folded)]
     return base.join(union_all(found), [G, "node_id"], "left").select(
         G, "node_id", F.coalesce("component", "node_id").alias("component"))
 
 
+def _coloured(edges: DataFrame, patience: int | None) -> DataFrame | None:
+    """(node_id, colour): the smallest id that reaches each node; None if it still moves after ``patience`` rounds."""
+    ids = edges.select(G, F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    colour = stage(ids.withColumn("colour", F.col("node_id")))
+    rounds = 0
+    while True:
+        offers = (edges.join(colour.df.withColumnRenamed("node_id", "src"), [G, "src"])
+                  .groupBy(G, F.col("dst").alias("node_id")).agg(F.min("colour").alias("offer")))
+        better = (colour.df.join(offers, [G, "node_id"], "left")
+                  .select(G, "node_id", F.least("colour", "offer").alias("colour"),
+                          (F.col("offer") < F.col("colour")).alias("moved")))
+        after = stage(better, moved=F.count_if("moved"))
+        colour.drop()
+        colour = Staged(after.df.drop("moved"), after.facts, after.path)
+        rounds += 1
+        if not after.facts["moved"]:
+            return colour.df
+        if patience is not None and rounds >= patience:
+            colour.drop()
+            return None
+
+
+def _shortened(edges: Staged) -> tuple[Staged, list[DataFrame]]:
+    """The graph without its long ways, and how to label what was taken out.
+
+    Nodes that call each other are one node from now on.  A node with a single edge in or a single one out is taken out and
+    its neighbours are linked past it, many nodes at a time: those whose number is the smallest among their neighbours
+    that could go as well.  With a single edge out, to w, it belongs to the component of w exactly if one of its callers
+    does; with a single one in, likewise.  A record (node_id, anchor, other) says so: the node takes the label of its anchor
+    if that is the label of ``other`` as well.
+    """
+    records: list[DataFrame] = []
+    while edges.rows:
+        turned = edges.df.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
+        mutual = stage(edges.df.join(turned, [G, "src", "dst"], "left_semi"))
+        if mutual.rows:
+            ends = mutual.df.select(G, F.col("src").alias("node_id")).distinct()
+            joined = stage(weak_labels(ends, mutual.df)).df
+            records.append(joined.filter("node_id <> component").select(G, "node_id", F.col("component").alias("anchor"), F.col("component").alias("other")))
+            a = joined.select(G, F.col("node_id").alias("src"), F.col("component").alias("cs"))
+            b = joined.select(G, F.col("node_id").alias("dst"), F.col("component").alias("cd"))
+            merged = stage(edges.df.join(a, [G, "src"], "left").join(b, [G, "dst"], "left")
+                           .select(G, F.coalesce("cs", "src").alias("src"), F.coalesce("cd", "dst").alias("dst")).filter("src <> dst").distinct())
+            edges.drop()
+            edges = merged
+        degree = (edges.df.select(G, F.explode(F.array(
+            F.struct(F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+            F.struct(F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
+            .groupBy(G, "e.node_id").agg(F.sum("e.i").alias("i"), F.sum("e.o").alias("o")))
+        draw = F.xxhash64(G, "node_id", F.lit(len(records)))
+        state = degree.select(G, "node_id", ((F.col("i") == 0) | (F.col("o") == 0)).alias("bare"), (F.col("o") == 1).alias("one_out"),
+                              F.when((F.col("i") == 1) | (F.col("o") == 1), draw).alias("draw"))
+        names = ("bare", "one_out", "draw")
+        at = lambda end, p: state.select(G, F.col("node_id").alias(end), *[F.col(c).alias(f"{p}_{c}") for c in names])
+        marked = stage(edges.df.join(at("src", "s"), [G, "src"]).join(at("dst", "d"), [G, "dst"]), bare=F.count_if(F.col("s_bare") | F.col("d_bare")))
+        live = marked.df.filter("NOT s_bare AND NOT d_bare")
+        # a node goes if no neighbour that could go has a smaller number
+        rivals = live.select(G, F.explode(F.array(
+            F.struct(F.col("src").alias("node_id"), F.col("s_draw").alias("own"), F.col("d_draw").alias("rival"), F.col("s_one_out").alias("one_out")),
+            F.struct(F.col("dst").alias("node_id"), F.col("d_draw").alias("own"), F.col("s_draw").alias("rival"), F.col("d_one_out").alias("one_out")))).alias("e"))
+        chosen = (rivals.filter("e.own IS NOT NULL").groupBy(G, "e.node_id", "e.own", "e.one_out").agg(F.min("e.rival").alias("rival"))
+                  .filter("rival IS NULL OR own < rival").select(G, "node_id", "one_out"))
+        chosen = stage(chosen)
+        if not chosen.rows and not marked.facts["bare"]:
+            return edges, records
+        pick = chosen.df.select(G, "node_id")
+        into = live.select(G, F.col("src").alias("u"), F.col("dst").alias("node_id"))
+        out = live.select(G, F.col("src").alias("node_id"), F.col("dst").alias("w"))
+        past = stage(chosen.df.join(into, [G, "node_id"]).join(out, [G, "node_id"]))
+        records.append(past.df.select(G, "node_id", F.when(F.col("one_out"), F.col("w")).otherwise(F.col("u")).alias("anchor"),
+                                      F.when(F.col("one_out"), F.col("u")).otherwise(F.col("w")).alias("other")))
+        rest = (live.select(G, "src", "dst").join(pick.withColumnRenamed("node_id", "src"), [G, "src"], "left_anti")
+                .join(pick.withColumnRenamed("node_id", "dst"), [G, "dst"], "left_anti"))
+        after = stage(rest.select(G, "src", "dst").unionByName(past.df.select(G, F.col("u").alias("src"), F.col("w").alias("dst")).filter("src <> dst")).distinct())
+        edges.drop()
+        marked.drop()
+        edges = after
+    return edges, records
+
+
+def _unfolded(found: list[DataFrame], records: list[DataFrame]) -> DataFrame:
+    """Labels of found components with the nodes that were taken out, the last ones first; the smallest id names each."""
+    known = list(found)
+    for record in reversed(records):
+        labels = union_all(known) if known else record.select(G, "node_id", F.col("anchor").alias("component")).filter("false")
+        a = labels.select(G, F.col("node_id").alias("anchor"), F.col("component").alias("la"))
+        b = labels.select(G, F.col("node_id").alias("other"), F.col("component").alias("lo"))
+        taken = (record.join(a, [G, "anchor"], "left").join(b, [G, "other"], "left")
+                 .withColumn("component", F.coalesce("la", "anchor")).filter(F.col("component") == F.coalesce("lo", "other")))
+        known.append(stage(taken.select(G, "node_id", "component").distinct()).df)
+    labels = union_all(known).distinct()
+    ends = labels.unionByName(labels.select(G, F.col("component").alias("node_id"), "component")).distinct()
+    low = ends.groupBy(G, "component").agg(F.min("node_id").alias("low"))
+    return ends.join(low, [G, "component"]).select(G, "node_id", F.col("low").alias("component"))
+
+
 def strong_labels_from_reach(vertex: DataFrame, reach: DataFrame) -> DataFrame:
     """The same labels when the closure is at hand: smallest node in a mutual pair."""
     mutual = reach.select(G, "src", "dst").join(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from depfleet.operators import graph as gr
 from depfleet.operators import score as sc
 from depfleet.operators import walks as wk
+from depfleet.operators.cycles import cycles_through, few_cycles, simple_cycles
+from depfleet.operators.reach import reach_sizes
 from depfleet.plans.analysis import analyse
 
 RANDOM = {}
@@ -250,3 +252,72 @@ def test_findings_and_clean_row(world):
 def test_tiers(spark, world):
     tier = by_node(gr.tier_levels(world["nodes"], world["edges"]), "demo", "tier")
     assert tier["web-client"] == (0,) and tier["api-gateway"] == (1,) and tier["postgres-primary"] == tier["stripe-gateway"]
+
+
+@pytest.mark.parametrize("sources_of_pass", [1 << 22, 3])
+def test_reach_sizes_equal_closure(world, sources_of_pass):
+    found = reach_sizes(world["vertex"], world["link"], sources_of_pass=sources_of_pass)
+    cols = ("graph_id", "node_id", "blast_radius", "footprint")
+    assert {tuple(r[c] for c in cols) for r in found.collect()} == {tuple(r[c] for c in cols) for r in world["reach"].collect()}
+
+
+def test_long_ways_take_few_rounds(spark):
+    """A chain, a ring, a two-way street and a ring with tails, each of 400 nodes: strong components without walking them."""
+    n = 400
+    ids = [f"v{i:03d}" for i in range(n)]
+    order = ids[:]
+    random.Random(1).shuffle(order)
+    ring = [f"{a}>{b}" for a, b in itertools.pairwise(order)] + [f"{order[-1]}>{order[0]}"]
+    shapes = {"chain": ring[:-1], "ring": ring, "street": ring[:-1] + [">".join(reversed(p.split(">"))) for p in ring[:-1]],
+              "tails": [f"{a}>{b}" for a, b in itertools.pairwise(order[:300])] + [f"{order[199]}>{order[40]}", f"{order[250]}>{order[260]}"]}
+    nodes = [r for name in shapes for r in node_rows(name, ids)]
+    edges = [r for name, pairs in shapes.items() for r in edge_rows(name, pairs)]
+    table = spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    got = {}
+    for r in gr.strong_labels(gr.vertices(*table), gr.links(table[1])).collect():
+        got.setdefault(r["graph_id"], {})[r["node_id"]] = r["component"]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before < 1500
+    assert got["chain"] == {v: v for v in ids} and set(got["ring"].values()) == set(got["street"].values()) == {"v000"}
+    loop = set(order[40:200])
+    assert got["tails"] == {v: min(loop) if v in loop else v for v in ids}
+
+
+def test_components_with_and_without_patience(spark):
+    """Random graphs whose ways are shortened at once against the closure."""
+    rng = random.Random(9)
+    nodes, edges, want = [], [], {}
+    for k in range(40):
+        name, ids = f"g{k}", [f"n{i:02d}" for i in range(rng.randint(2, 14))]
+        pairs = sorted({(rng.choice(ids), rng.choice(ids)) for _ in range(rng.randint(1, 22))})
+        nodes += node_rows(name, ids)
+        edges += edge_rows(name, [f"{a}>{b}" for a, b in pairs])
+        reach = closure_of(ids, pairs)
+        want |= {(name, v): min([v] + [t for t in ids if (v, t) in reach and (t, v) in reach]) for v in ids}
+    table = spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA)
+    for patience in (1, 8):
+        rows_ = gr.strong_labels(gr.vertices(*table), gr.links(table[1]), patience).collect()
+        assert {(r["graph_id"], r["node_id"]): r["component"] for r in rows_} == want
+
+
+def test_dead_ends_do_not_grow(spark):
+    """Behind one node lies a mesh that comes back to that node only: no path through it can close on the start."""
+    layers = [[f"m{i}{j}" for j in range(3)] for i in range(7)]
+    mesh = [f"{a}>{b}" for x, y in itertools.pairwise(layers) for a in x for b in y]
+    pairs = ["a>b", "b>a", *[f"b>{v}" for v in layers[0]], *[f"{v}>b" for v in layers[-1]], *mesh]
+    ids = sorted({v for p in pairs for v in p.split(">")})
+    n, e = spark.createDataFrame(node_rows("mesh", ids), NODE_SCHEMA), spark.createDataFrame(edge_rows("mesh", pairs), EDGE_SCHEMA)
+    vertex, link = gr.vertices(n, e), gr.links(e)
+    strong = gr.strong_labels(vertex, link)
+    want = 1 + 3 ** 7  # a-b, and every way through the mesh from b
+    for unchecked in (0, 10_000):
+        assert simple_cycles(link, strong, unchecked=unchecked).count() == want
+    assert [r["path"] for r in cycles_through(link, strong, link.filter("src = 'a'"), unchecked=0).collect()] == [["a", "b"]]
+    assert cycles_through(link, strong, link.filter("src = 'm00' OR dst = 'm10'"), unchecked=0).count() == 2 * 3 ** 6 - 3 ** 5
+
+
+def test_cycles_told_apart_up_to_two(world):
+    count = {}
+    for r in world["cycles"].collect():
+        count[r["graph_id"]] = count.get(r["graph_id"], 0) + 1
+    assert {r["graph_id"]: r["cycles_least"] for r in few_cycles(world["link"], world["strong"]).collect()} == {g: min(n, 2) for g, n in count.items()}
