@@ -523,13 +523,17 @@ def resolved(spark, sf):
     return graph(spark, sf)["resolved"].select("graph_id", "src_path", "line", "kind", "spec", "dst_path")
 
 
-@query("d02_normal_path", r"SELECT page_id, href, split_part(url, '/', 3) || '/' || trim(href, '/') AS resolved FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"(/[^\"]+)\"', 1)) AS href FROM pages) x WHERE NOT contains(href, '//') AND NOT contains(href, '/./') AND NOT contains(href, '..')")
+# path segments one by one: each step appends, drops or takes back
+NORMAL = r"""array_to_string(list_reduce([[]::VARCHAR[]] || list_transform(string_split({0}, '/'), lambda s: [s]),
+ lambda a, x: CASE WHEN x[1] IN ('', '.') THEN a WHEN x[1] = '..' AND len(a) > 0 AND a[-1] <> '..' THEN a[1:len(a) - 1] ELSE a || x END), '/')"""
+
+
+@query("d02_normal_path", rf"SELECT page_id, href, {NORMAL.format("split_part(url, '/', 3) || '/x/.././' || href")} AS resolved FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"(/[^\"]+)\"', 1)) AS href FROM pages) x")
 def link_paths(spark, sf):
     pages = t.read(spark, sf, "pages")
     hrefs = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1))).alias("href"))
-    plain = ~F.col("href").contains("//") & ~F.col("href").contains("/./") & ~F.col("href").contains("..")
     host = F.element_at(F.split("url", "/"), 3)
-    return hrefs.filter(plain).select("page_id", "href", p.join_path(host, F.concat(F.lit("x/.././"), "href")).alias("resolved"))
+    return hrefs.select("page_id", "href", p.join_path(host, F.concat(F.lit("x/.././"), "href")).alias("resolved"))
 
 
 @query("d05_endpoint_match", "SELECT g AS graph_id, src AS src_path, dst AS dst_path, endpoint, line, statement FROM ecall")
@@ -542,15 +546,17 @@ def file_dependencies(spark, sf):
     return graph(spark, sf)["deps"].select("graph_id", "src_path", "dst_path", "type", "line")
 
 
-cte("owner", """SELECT c.g, c.path, CASE WHEN c.path IN ('docker-compose.yml') THEN 'api-gateway' WHEN c.path IN ('go.mod') THEN 'go-service' WHEN c.path = 'package.json' THEN CASE v.variant WHEN 0 THEN 'web-app' ELSE 'node-service' END
+cte("redis_lists", "SELECT DISTINCT graph_id AS g, path FROM code_lines WHERE regexp_matches(path, '(requirements.txt|go.mod|package.json)$') AND contains(lower(text), 'redis')")
+cte("owner", """SELECT c.g, c.path, CASE WHEN x.path IS NOT NULL THEN 'redis-cache' WHEN c.path IN ('docker-compose.yml') THEN 'api-gateway' WHEN c.path IN ('go.mod') THEN 'go-service' WHEN c.path = 'package.json' THEN CASE v.variant WHEN 0 THEN 'web-app' ELSE 'node-service' END
  WHEN c.path = 'rust/Cargo.toml' OR starts_with(c.path, 'rust/') THEN 'rust-core' WHEN starts_with(c.path, 'dotnet/') THEN 'billing' WHEN starts_with(c.path, 'services/java') THEN 'java' WHEN starts_with(c.path, 'frontend/') THEN 'ui_kit'
  WHEN c.path = 'k8s/deploy.yaml' THEN 'checkout' WHEN ends_with(c.path, 'application.properties') THEN 'mysql-database-shop' WHEN c.ext = '.dart' THEN 'app-mobile' WHEN c.ext = '.pkl' THEN 'ml-model-artifacts' WHEN c.ext = '.csv' THEN 'training-datasets'
  WHEN contains(c.name, 'train') THEN 'model-training-pipeline' WHEN starts_with(c.path, 'extension/') THEN 'ext-helper-tool' WHEN starts_with(c.path, 'backend/') THEN 'backend' ELSE 'api-gateway' END AS node_id
-FROM cf c JOIN repo_variant v ON v.g = c.g""")
+FROM cf c JOIN repo_variant v ON v.g = c.g LEFT JOIN redis_lists x ON x.g = c.g AND x.path = c.path""")
+
 
-@query("d06_owning_node", "SELECT g AS graph_id, path, node_id FROM owner WHERE regexp_matches(path, '^(src/web|backend/app|services/java/com|dotnet/Svc|rust/m|mobile/lib|pkg|native|php|ruby)')")
+@query("d06_owning_node", "SELECT g AS graph_id, path, node_id FROM owner")
 def owning_node(spark, sf):
-    return graph(spark, sf)["owner"].filter(F.col("path").rlike("^(src/web|backend/app|services/java/com|dotnet/Svc|rust/m|mobile/lib|pkg|native|php|ruby)"))
+    return graph(spark, sf)["owner"]
 
 
 cte("fmod", """SELECT f.g, f.path, max_by(m.module_id, len(m.folder)) AS module_id FROM cf f JOIN modu m ON m.g = f.g AND (f.path = m.folder OR starts_with(f.path, m.folder || '/')) GROUP BY f.g, f.path""")
@@ -562,10 +568,10 @@ def owning_module(spark, sf):
 
 
 @query("d08_lifted_edges", """SELECT d.g AS graph_id, a.node_id AS src, b.node_id AS dst, CASE WHEN d.type IN ('IMPORTS', 'REQUIRES', 'INCLUDES') THEN 'USES' ELSE d.type END AS type, min(d.src) AS ev_file
-FROM deps d JOIN owner a ON a.g = d.g AND a.path = d.src JOIN owner b ON b.g = d.g AND b.path = d.dst WHERE a.node_id <> b.node_id AND d.dst <> 'backend/.env' GROUP BY 1, 2, 3, 4""")
+FROM deps d JOIN owner a ON a.g = d.g AND a.path = d.src JOIN owner b ON b.g = d.g AND b.path = d.dst WHERE a.node_id <> b.node_id GROUP BY 1, 2, 3, 4""")
 def lifted_edges(spark, sf):
     g = graph(spark, sf)
-    return rs.lift_to_nodes(g["deps"].filter("dst_path <> 'backend/.env'"), g["owner"]).drop("ev_line")
+    return rs.lift_to_nodes(g["deps"], g["owner"]).drop("ev_line")
 
 
 cte("mdep", "SELECT d.g, a.module_id AS src_module, b.module_id AS dst_module, count(*) AS n, min(d.src) AS ev_file FROM deps d JOIN fmod a ON a.g = d.g AND a.path = d.src JOIN fmod b ON b.g = d.g AND b.path = d.dst WHERE a.module_id <> b.module_id GROUP BY 1, 2, 3")
@@ -609,12 +615,16 @@ def modules_lite(spark, sf):
     return inv.modules(files(spark, sf), "lite").select("graph_id", "folder", "files_count")
 
 
-@query("e09_elevated_modules", "SELECT g AS graph_id, module_id AS node_id, 'Module' AS type FROM modu WHERE CAST(substr(g, 2) AS INT) % 3 = 1")
+@query("e09_elevated_modules", r"""SELECT g AS graph_id, module_id AS node_id, 'Module' AS type FROM modu WHERE g NOT IN (SELECT g FROM mani WHERE type IN ('Service', 'Application') GROUP BY g HAVING count(DISTINCT node_id) > 2)
+UNION ALL SELECT DISTINCT graph_id, 'mod-repo-' || regexp_extract(path, '^\./Repo/([a-z]+)/', 1), 'Module' FROM doc_files WHERE regexp_matches(path, '\.(py|ts)$')""")
 def elevated_modules(spark, sf):
-    # repositories of one variant stand as graphs without services
-    third = files(spark, sf).filter(F.substring("graph_id", 2, 20).cast("int") % 3 == 1)
-    none = graph(spark, sf)["nodes"].filter("false").select("graph_id", "node_id", "type")
-    return inv.elevate_modules(inv.modules(third), none).select("graph_id", "node_id", "type")
+    # repositories with the nodes that their code gives, and plain document trees with their fallback node
+    repos, trees = files(spark, sf), all_docs(spark, sf)
+    archives = trees.select("graph_id", F.concat("graph_id", F.lit(".zip")).alias("archive")).distinct()
+    core = inv.fallback_nodes(trees, archives.filter("false").select("graph_id"), archives).select("graph_id", "node_id", F.lit("Application").alias("type"))
+    nodes = graph(spark, sf)["nodes"].select("graph_id", "node_id", "type").unionByName(core)
+    mods = inv.modules(repos).unionByName(inv.modules(trees))
+    return inv.elevate_modules(mods, nodes).select("graph_id", "node_id", "type")
 
 
 @query("e11_import_lists", "SELECT g AS graph_id, src AS path, 'imports' AS side, dst AS other FROM deps UNION ALL SELECT g, dst, 'imported_by', src FROM deps")

@@ -137,10 +137,13 @@ def fingerprint(content: Column) -> Column:
 
 
 def decode_text(data: Column) -> Column:
-    """Text of raw bytes: UTF-16 by its mark or by zero bytes, else UTF-8, else Latin-1."""
+    """Text of raw bytes: UTF-16 by its mark, or by zero bytes that are many or that no UTF-8 has; else UTF-8, else Latin-1.
+
+    The whole of the bytes decides: a stray zero byte in a UTF-8 text, wherever it stands, changes nothing.
+    """
     mark = F.hex(F.substring(data, 1, 2))
-    zeros = F.contains(F.hex(F.substring(data, 1, 500)), F.lit("00")) & F.hex(F.substring(data, 1, 500)).rlike("^(..)*?00")
-    even = F.octet_length(data) % 2 == 0
-    wide = F.when(mark.isin("FFFE", "FEFF"), F.decode(data, "UTF-16")).when(zeros & even, F.decode(data, "UTF-16LE"))
     text = F.try_validate_utf8(data.cast("string"))
-    return F.coalesce(wide, text, F.decode(data, "ISO-8859-1"))
+    raw = F.decode(data, "ISO-8859-1")
+    zeros = F.length(raw) - F.length(F.replace(raw, F.lit("\u0000"), F.lit("")))
+    wide = (zeros > 0) & (F.octet_length(data) % 2 == 0) & (text.isNull() | (10 * zeros >= F.length(raw)))
+    return F.coalesce(F.when(mark.isin("FFFE", "FEFF"), F.decode(data, "UTF-16")).when(wide, F.decode(data, "UTF-16LE")), text, raw)

@@ -195,8 +195,54 @@ def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int | None = No
                   labels: DataFrame | None = None) -> DataFrame:
     """Longest simple path from each vertex (or into it); at most ``max_nodes`` nodes if that is given.
 
-    Of equally long paths the smallest is given.  Where no cycle can be reached the
-    best path is built backwards from the successors, one pass per length; only
+    Of equally long paths the smallest is given.  A path passes the strong components in their order, so the longest way
+    between each two nodes of a component is found once, and one programme over the component graph puts them
+    together: round k holds the best path of each node that crosses between components k times.
+    """
+    if max_nodes is not None:
+        return _capped_paths(vertex, link, max_nodes, upstream, labels)
+    hop = no_loops(link)
+    if upstream:
+        hop = hop.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    hop = stage(hop).df
+    grow = (lambda head, tail: F.concat(tail, head)) if upstream else (lambda head, tail: F.concat(head, tail))
+    if labels is None:
+        labels = stage(strong_labels(vertex, hop)).df
+    a = labels.select(G, F.col("node_id").alias("src"), F.col("component").alias("cs"))
+    b = labels.select(G, F.col("node_id").alias("dst"), F.col("component").alias("cd"))
+    sided = stage(hop.join(a, [G, "src"]).join(b, [G, "dst"]).select(G, "src", "dst", (F.col("cs") == F.col("cd")).alias("inner"))).df
+    inner, cross = sided.filter("inner"), sided.filter("NOT inner")
+    best_of = F.min(F.struct((-F.size("path")).alias("n"), F.col("path"))).alias("p")
+
+    # the longest way between any two nodes of a component: a way is known by its ends and the set of its nodes
+    alone = vertex.select(G, F.col("node_id").alias("start"), F.col("node_id").alias("last"), F.array("node_id").alias("path"))
+    ways = [stage(inner.select(G, F.col("src").alias("start"), F.col("dst").alias("last"), F.array_sort(F.array("src", "dst")).alias("seen"),
+                               grow(F.array("src"), F.array("dst")).alias("path")))]
+    onward = inner.select(G, F.col("src").alias("last"), F.col("dst").alias("next"))
+    while ways[-1].rows:
+        step = (ways[-1].df.join(onward, [G, "last"]).filter(~F.array_contains("seen", F.col("next")))
+                .select(G, "start", F.col("next").alias("last"), F.array_sort(F.concat("seen", F.array("next"))).alias("seen"),
+                        grow(F.col("path"), F.array("next")).alias("path"))
+                .groupBy(G, "start", "last", "seen").agg(F.min("path").alias("path")))
+        ways.append(stage(step))
+    inside = stage(union_all([alone] + [x.df.select(G, "start", "last", "path") for x in ways])
+                   .groupBy(G, "start", "last").agg(best_of).select(G, "start", "last", "p.path")).df
+
+    best = [stage(inside.groupBy(G, F.col("start").alias("node_id")).agg(best_of).select(G, "node_id", "p.path"))]
+    while best[-1].rows:
+        left = (cross.join(best[-1].df.withColumnRenamed("node_id", "dst"), [G, "dst"])
+                .groupBy(G, F.col("src").alias("last")).agg(best_of).select(G, "last", F.col("p.path").alias("tail")))
+        step = (inside.join(left, [G, "last"]).select(G, F.col("start").alias("node_id"), grow(F.col("path"), F.col("tail")).alias("path"))
+                .groupBy(G, "node_id").agg(best_of).select(G, "node_id", "p.path"))
+        best.append(stage(step))
+    ranked = union_all([x.df for x in best]).groupBy(G, "node_id").agg(best_of)
+    return ranked.select(G, "node_id", (F.size("p.path") - 1).alias("depth"), F.col("p.path").alias("path"))
+
+
+def _capped_paths(vertex: DataFrame, link: DataFrame, max_nodes: int, upstream: bool, labels: DataFrame | None) -> DataFrame:
+    """Longest simple paths of at most ``max_nodes`` nodes.
+
+    Where no cycle can be reached the best path is built backwards from the successors, one pass per length; only
     nodes that reach a cycle enumerate paths, and those stop where the DAG begins.
     """
     hop = no_loops(link)
@@ -211,7 +257,7 @@ def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int | None = No
     plain = vertex.select(G, "node_id").join(knotted, [G, "node_id"], "left_anti")
     best = [stage(plain.withColumn("path", F.array("node_id")))]
     from_plain = hop.join(knotted.withColumnRenamed("node_id", "src"), [G, "src"], "left_anti")
-    while best[-1].rows and (max_nodes is None or len(best) < max_nodes):
+    while best[-1].rows and len(best) < max_nodes:
         step = (from_plain.join(best[-1].df.withColumnRenamed("node_id", "dst"), [G, "dst"])
                 .groupBy(G, F.col("src").alias("node_id"))
                 .agg(F.min(grow(F.array("src"), F.col("path"))).alias("path")))
@@ -231,9 +277,9 @@ def longest_paths(vertex: DataFrame, link: DataFrame, max_nodes: int | None = No
     # of the tails of one length behind an exit only the smallest can win
     exits = stage(exits.groupBy(G, "last", "extra").agg(F.min("tail").alias("tail"))).df
     length = 1
-    while open_paths.rows and (max_nodes is None or length <= max_nodes):
+    while open_paths.rows and length <= max_nodes:
         parts.append(open_paths.df.groupBy(G, F.col("start").alias("node_id")).agg(F.min("path").alias("path")))
-        fitting = exits if max_nodes is None else exits.filter(F.col("extra") <= max_nodes - length)
+        fitting = exits.filter(F.col("extra") <= max_nodes - length)
         ended = (open_paths.df.join(fitting, [G, "last"])
                  .withColumn("path", grow(F.col("path"), F.col("tail"))))
         longest = ended.groupBy(G, F.col("start").alias("node_id")).agg(

@@ -321,3 +321,23 @@ def test_cycles_told_apart_up_to_two(world):
     for r in world["cycles"].collect():
         count[r["graph_id"]] = count.get(r["graph_id"], 0) + 1
     assert {r["graph_id"]: r["cycles_least"] for r in few_cycles(world["link"], world["strong"]).collect()} == {g: min(n, 2) for g, n in count.items()}
+
+
+def test_longest_paths_through_components(spark):
+    """A long chain into a cycle, and from there through another one to a tail: every way against enumeration."""
+    chain = [f"a{i:02d}" for i in range(30)]
+    pairs = list(itertools.pairwise(chain)) + [("a29", "k1"), ("k1", "k2"), ("k2", "k3"), ("k3", "k1"), ("k2", "k4"), ("k4", "k1"), ("k3", "m1"), ("k4", "m2"),
+                                                ("m1", "m2"), ("m2", "m1"), ("m1", "t1"), ("m2", "t2"), ("t2", "t1")]
+    ids = sorted({v for p in pairs for v in p})
+    n, e = spark.createDataFrame(node_rows("L", ids), NODE_SCHEMA), spark.createDataFrame(edge_rows("L", [f"{a}>{b}" for a, b in pairs]), EDGE_SCHEMA)
+    vertex, link = gr.vertices(n, e), gr.links(e)
+    every = list(simple_paths(ids, pairs))
+    for upstream in (False, True):
+        end = -1 if upstream else 0
+        want = {}
+        for p in every:
+            best = want.get(p[end])
+            if best is None or (-len(p), p) < (-len(best), best):
+                want[p[end]] = p
+        got = {r["node_id"]: r["path"] for r in wk.longest_paths(vertex, link, upstream=upstream).collect()}
+        assert got == want
