@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
+_open: list[list[Staged]] = []  # tables of the blocks that delete theirs
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -76,7 +78,36 @@ def stage(df: DataFrame, **facts: Column) -> Staged:
     )
     watched.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    return Staged(back, seen.get, path)
+    table = Staged(back, seen.get, path)
+    if _open:
+        _open[-1].append(table)
+    return table
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[Staged], Staged]]:
+    """Deletes the tables staged inside when it ends, but for those given to the function it yields.
+
+    What leaves the block must not read the others.  Blocks may be nested; those of several threads share their tables'
+    lifetime with the outermost one.
+    """
+    made: list[Staged] = []
+    kept: list[str] = []
+
+    def keep(table: Staged) -> Staged:
+        kept.append(table.path)
+        return table
+
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        for table in made:
+            if table.path not in kept:
+                table.drop()
+            elif _open:
+                _open[-1].append(table)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
