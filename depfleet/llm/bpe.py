@@ -27,7 +27,7 @@ from pyspark.sql.types import StringType
 
 from .common import map_texts
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CHUNK_SYMBOLS = 400_000
 
 # fixed value: how the byte-level pre-tokenizer cuts text
@@ -43,8 +43,11 @@ def byte_signs() -> dict[str, int]:
 
 @dataclass
 class Vocabulary:
-    byte_id: list[int]                      # identifier of each single byte
-    merges: dict[tuple[int, int], int]      # pair of identifiers -> rank
+    byte_id: np.ndarray                     # identifier of each single byte
+    span: int                               # a pair (a, b) has the number a * span + b, which no ended word's pair has
+    merges: dict[int, int]                  # number of a pair -> rank
+    numbers: np.ndarray                     # numbers of pairs in order, and their ranks
+    ranks: np.ndarray
     result: list[int]                       # rank -> identifier made
     pairs: list[tuple[int, int]]            # rank -> pair
     special: dict[str, int]
@@ -66,36 +69,44 @@ def load_vocabulary(path: str) -> Vocabulary:
     made = {r: k for k, r in enumerate(result)}
     if len(made) < len(result) or any(made.get(x, -1) >= k for k, p in enumerate(pairs) for x in p):
         raise ValueError("each merge must make a new piece from earlier ones")
-    by_byte = [0] * 256
+    by_byte = np.zeros(256, np.int64)
     for sign, b in signs.items():
         by_byte[b] = vocab[sign]
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     id_bytes = {i: bytes(signs[c] for c in piece) for piece, i in vocab.items() if piece not in special}
     id_bytes |= {i: s.encode() for s, i in special.items()}
-    return Vocabulary(by_byte, {p: k for k, p in enumerate(pairs)}, result, pairs, special, id_bytes)
-
-
-def encode_words(words: list[str], v: Vocabulary) -> list[list[int]]:
-    """Identifiers of each word, all words merged together through one pair occurrence index."""
-    sym: list[int] = []
-    starts: list[int] = []
-    for w in words:
-        starts.append(len(sym))
-        sym.extend(v.byte_id[b] for b in w.encode())
-        sym.append(-1)  # ends a word
-    n = len(sym)
+    span = max(id_bytes) + 3
+    merges = {a * span + b: k for k, (a, b) in enumerate(pairs)}
+    numbers = np.array(sorted(merges), np.int64)
+    return Vocabulary(by_byte, span, merges, numbers, np.array([merges[n] for n in numbers.tolist()], np.int64), result, pairs, special, id_bytes)
+
+
+def encode_words(words: list[str], v: Vocabulary) -> list[bytes]:
+    """Packed identifiers of each word, all words merged together through one pair occurrence index."""
+    raw = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    ends = np.cumsum(sizes + 1) - 1
+    flat = v.byte_id[np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)]
+    flat[ends] = -1  # ends a word
+    # the index: every mergeable pair's rank with all its positions
+    number = flat[:-1] * v.span + flat[1:]
+    number[(flat[:-1] < 0) | (flat[1:] < 0)] = -1
+    place = np.minimum(np.searchsorted(v.numbers, number), len(v.numbers) - 1)
+    found = np.flatnonzero(v.numbers[place] == number)
+    order = np.argsort(v.ranks[place[found]], kind="stable")
+    found, rank_at = found[order], v.ranks[place[found]][order]
+    active, first = np.unique(rank_at, return_index=True)
+    stops = [*first.tolist()[1:], len(found)]
+    found, active = found.tolist(), active.tolist()
+    where = {r: found[a:b] for r, a, b in zip(active, first.tolist(), stops)}
+    n, span, rank_of, pairs, result = len(flat), v.span, v.merges.get, v.pairs, v.result
+    sym = flat.tolist()
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    where: dict[int, list[int]] = {}
-    rank_of = v.merges.get
-    for i in range(n - 1):
-        if (r := rank_of((sym[i], sym[i + 1]))) is not None:
-            where.setdefault(r, []).append(i)
-    active = list(where)
-    heapq.heapify(active)
+    heappop, heappush = heapq.heappop, heapq.heappush
     while active:
-        rank = heapq.heappop(active)
-        a, b = v.pairs[rank]
-        new = v.result[rank]
+        rank = heappop(active)
+        a, b = pairs[rank]
+        new = result[rank]
         for i in sorted(where.pop(rank)):
             if sym[i] != a:
                 continue
@@ -106,27 +117,24 @@ def encode_words(words: list[str], v: Vocabulary) -> list[list[int]]:
             sym[i], sym[j] = new, -2
             after[i] = k
             before[k] = i
-            if (r := rank_of((new, sym[k]))) is not None:
+            if (r := rank_of(new * span + sym[k])) is not None:
                 if r in where:
                     where[r].append(i)
                 else:
                     where[r] = [i]
-                    heapq.heappush(active, r)
+                    heappush(active, r)
             h = before[i]
-            if h >= 0 and (r := rank_of((sym[h], new))) is not None:
+            if h >= 0 and (r := rank_of(sym[h] * span + new)) is not None:
                 if r in where:
                     where[r].append(h)
                 else:
                     where[r] = [h]
-                    heapq.heappush(active, r)
-    out = []
-    for i in starts:
-        ids = []
-        while sym[i] != -1:
-            ids.append(sym[i])
-            i = after[i]
-        out.append(ids)
-    return out
+                    heappush(active, r)
+    # a merge keeps its left place, so what is left of a word stands in order
+    done = np.array(sym, np.int64)
+    packed = done[done >= 0].astype("<u4").tobytes()
+    stop = 4 * np.cumsum(done >= 0)[ends]
+    return [packed[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())]
 
 
 class Encoder:
@@ -134,7 +142,8 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.known: dict[str, bytes] = {}
+        self.special = {w: struct.pack("<I", i) for w, i in v.special.items()}
+        self.known: dict[str, bytes] = dict(self.special)
         self.cut = regex.compile(WORDS)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
 
@@ -148,12 +157,12 @@ class Encoder:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        known.update((w, struct.pack("<I", i)) for w, i in self.v.special.items())
-        new = {w for words in cut for w in words}.difference(known)
+            known.update(self.special)
+        new = set(chain.from_iterable(cut)).difference(known)
         held, size = [], 0
         for w in chain(new, [None]):
             if w is None or size > CHUNK_SYMBOLS:
-                known.update((x, struct.pack(f"<{len(ids)}I", *ids)) for x, ids in zip(held, encode_words(held, self.v), strict=True))
+                known.update(zip(held, encode_words(held, self.v) if held else [], strict=True))
                 held, size = [], 0
             if w is not None:
                 held.append(w)
@@ -180,17 +189,41 @@ def decode(ids, path: str):
 
     @F.arrow_udf(StringType())
     def texts(packed: pa.Array) -> pa.Array:
-        table = _decoder(path)
-        return pa.array([None if p is None else b"".join(map(table.__getitem__, np.frombuffer(p, "<u4").tolist())).decode("utf-8", "replace")
-                         for p in packed.to_pylist()], pa.string())
+        return decode_packed(packed, _decoder(path))
 
     return texts(ids)
 
 
-_tables: dict[str, dict[int, bytes]] = {}
-
-
-def _decoder(path: str) -> dict[int, bytes]:
+def decode_packed(packed: pa.Array, pieces: pa.Array, chunk: int = 2_000_000) -> pa.Array:
+    """Texts of packed identifiers: the pieces of a stretch of identifiers are taken from their table at once."""
+    held = packed.fill_null(b"").cast(pa.large_binary())
+    offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset:held.offset + len(held) + 1] // 4
+    every = np.frombuffer(held.buffers()[2], "<u4", int(offsets[-1])) if offsets[-1] else np.zeros(0, "<u4")
+    empty = packed.is_null().to_numpy(zero_copy_only=False)
+    out: list[str | None] = []
+    at = 0
+    while at < len(held):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1)
+        ids = every[offsets[at]:offsets[stop]]
+        if len(ids) and ids.max() >= len(pieces):
+            raise ValueError("an identifier is not in the vocabulary")
+        taken = pieces.take(pa.array(ids))
+        if taken.null_count:
+            raise ValueError("an identifier is not in the vocabulary")
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset:taken.offset + len(taken) + 1] if len(ids) else np.zeros(1, np.int64)
+        text = memoryview(taken.buffers()[2] or b"")
+        marks = ends[offsets[at:stop + 1] - offsets[at]].tolist()
+        out += [None if empty[at + k] else str(text[a:b], "utf-8", "replace") for k, (a, b) in enumerate(zip(marks, marks[1:]))]
+        at = stop
+    return pa.array(out, pa.string())
+
+
+_tables: dict[str, pa.Array] = {}
+
+
+def _decoder(path: str) -> pa.Array:
+    """Bytes of each identifier by its number, null where there is none."""
     if path not in _tables:
-        _tables[path] = load_vocabulary(path).id_bytes
+        table = load_vocabulary(path).id_bytes
+        _tables[path] = pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary())
     return _tables[path]

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
+
 # fixed values: the white space of the word rules, and A-Z with their lower case
 SPACES = " \t\n\x0b\f\r"
 WORD_GAP = r"[ \t\n\x0B\f\r]+"
@@ -83,10 +85,26 @@ def map_texts(df: DataFrame, per_text: Callable[[], Callable[[list[str]], dict]]
     return source.mapInArrow(run, schema)
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, n_ids: int, key: str = "doc_id") -> DataFrame:
+    """Rows whose whole-number key is not in ``ids`` (one column, distinct); rows without a key stay.
+
+    A Bloom filter of the ids lets most rows pass where they are: only those it may hold are shuffled for the exact join.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    if not n_ids:
+        return docs
+    own = F.col(f"`{key}`").cast("long")
+    gone = ids.select(F.col(key).cast("long").alias("__gone"))
+    blocks = bloom.block_count(n_ids, bloom.MAX_BLOCKS * 8)
+    marked = bloom.marked(docs, own, bloom.build(gone, F.col("__gone"), blocks), blocks, "__may")
+    asked = marked.where("__may").select(*cols)
+    return marked.where("NOT __may").select(*cols).unionByName(asked.join(gone, own == F.col("__gone"), "left_anti").select(*cols))
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept up to a bound."""
 
-    BOUND = 500_000
+    BOUND = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

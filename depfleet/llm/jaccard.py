@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depfleet.staging import Staged, stage
+from depfleet.staging import Staged, passing, stage
 
 from . import bloom
-from .common import WordHashes, by_chunks, mixed, words_of
+from .common import WordHashes, by_chunks, mixed, without_ids, words_of
 
 SLOT_BITS = 22          # the frequency table: 4 M slots, one byte each once read
 SLOT_PARTS = 256
@@ -369,9 +369,13 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Rows of one document of each group, the one with the least doc_id; rows without a key stay."""
-    groups = stage(similar_groups(docs, rule).where("doc_id IS NOT NULL"))
-    heads = groups.df.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if groups.rows > groups.df.select("doc_id").distinct().count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    with passing() as keep:
+        groups = stage(similar_groups(docs, rule).where("doc_id IS NOT NULL"))
+        heads = groups.df.where("doc_id = component_id").select("doc_id")
+        repeated = groups.rows > groups.df.select("doc_id").distinct().count()
+        others = groups.df.where("doc_id <> component_id").select("doc_id")
+        gone = keep(stage(others.distinct().join(heads, "doc_id", "left_anti") if repeated else others))
+    kept = without_ids(docs, gone.df, gone.rows)
+    if repeated:
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept

@@ -3,27 +3,30 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, jaccard, quality, secret_scan
 from .common import table
 
 
-def with_text(docs: DataFrame, new: str, columns: list[str]) -> DataFrame:
-    """``docs`` with the text of column ``new``, its length renewed where it changed, and its own columns only."""
-    changed = ~F.col("text").eqNullSafe(F.col(new))
-    renewed = {"text": F.when(changed, F.col(new)).otherwise(F.col("text"))}
+def apart(docs: DataFrame) -> DataFrame:
+    """(__doc, text): the text once, and all other columns in a struct, whatever their names."""
+    return docs.select(F.struct(F.lit(1).alias("__one"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__doc"), "text")
+
+
+def with_text(docs: DataFrame, new: Column, columns: list[str]) -> DataFrame:
+    """The rows of ``apart`` as ``columns`` with the text ``new``, its length renewed where it changed."""
+    changed = ~F.col("text").eqNullSafe(new)
+    named = {c: F.col(f"__doc.`{c}`") for c in columns if c != "text"} | {"text": F.when(changed, new).otherwise(F.col("text"))}
     if "n_chars" in columns:
-        renewed["n_chars"] = F.when(changed, F.length(new).cast("long")).otherwise(F.col("n_chars"))
-    return docs.withColumns(renewed).select(*[F.col(f"`{c}`") for c in columns])
+        named["n_chars"] = F.when(changed, F.length(new).cast("long")).otherwise(F.col("__doc.n_chars"))
+    return docs.select(*[named[c].alias(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rejected documents and, in the others, failing lines."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text")
-    judged = quality.judge_quality(own).where("kept").select("__doc.*", F.col("cleaned").alias("__cleaned"))
-    return with_text(judged, "__cleaned", docs.columns)
+    return with_text(quality.judge_quality(apart(docs)).where("kept"), F.col("cleaned"), docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by a sign; the documents stay."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text")
-    scanned = secret_scan.scan_secrets(own).select("__doc.*", F.when(F.size("found") > 0, F.col("redacted")).otherwise(F.col("__doc.text")).alias("__redacted"))
-    return with_text(scanned, "__redacted", docs.columns)
+    new = F.when(F.size("found") > 0, F.col("redacted")).otherwise(F.col("text"))
+    return with_text(secret_scan.scan_secrets(apart(docs)), new, docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

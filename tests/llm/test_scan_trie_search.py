@@ -215,3 +215,41 @@ def test_accumulators_and_skipping_lose_nothing():
     lexical.rank_chunk(lists, keys, top, n)
     best = np.lexsort((keys, -full))[:50]
     assert (top.scores == full[best]).all() and (top.keys == keys[best]).all()
+
+
+def test_rows_without_ids(spark):
+    """Dropping by ids keeps nulls, repeated rows and odd columns, and reads whole numbers of any width alike."""
+    from depfleet.llm.common import without_ids
+    docs = spark.createDataFrame([(i % 50 if i else None, "t", i) for i in range(200)], "doc_id int, __block string, __may int")
+    ids = spark.createDataFrame([(i,) for i in range(0, 50, 3)], "doc_id long")
+    left = without_ids(docs, ids, 17)
+    assert left.columns == docs.columns
+    assert sorted(r["__may"] for r in left.collect()) == [i for i in range(200) if not i or i % 50 % 3]
+    assert without_ids(docs, ids.where("false"), 0).count() == 200
+
+
+def test_stages_with_odd_columns(spark):
+    from depfleet.llm import stages
+    text = " ".join(f"alpha{i} beta{i % 17}." for i in range(80))
+    docs = spark.createDataFrame([(1, text, 5, "a", "b", "c"), (2, None, None, "a", "b", "c")], "doc_id long, text string, n_chars long, __cleaned string, cleaned string, __doc string")
+    for name, apply in stages.STAGES[:1] + stages.STAGES[3:4]:
+        out = apply(spark, docs, "")
+        assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} >= {1}, name
+        assert out.where("doc_id = 1").first()["text"] == text
+
+
+def test_decoding_in_stretches():
+    import pyarrow as pa
+
+    from depfleet.llm import bpe
+    pieces = pa.array([b"a", None, b"\xc3", b"\xa9", b"", "日".encode()], pa.large_binary())
+    import numpy as np
+    rows = [[0, 2, 3, 5], [], None, [2], [4, 4], [5] * 9]
+    packed = pa.array([None if r is None else np.array(r, "<u4").tobytes() for r in rows], pa.binary())
+    want = ["aé日", "", None, "�", "", "日" * 9]
+    for chunk in (1, 3, 1000):
+        assert bpe.decode_packed(packed, pieces, chunk).to_pylist() == want
+        assert bpe.decode_packed(packed.slice(2), pieces, chunk).to_pylist() == want[2:]
+    for wrong in ([1], [6]):
+        with pytest.raises(ValueError):
+            bpe.decode_packed(pa.array([np.array(wrong, "<u4").tobytes()]), pieces)
