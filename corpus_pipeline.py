@@ -15,8 +15,11 @@ ORACLE_SQL = None  # similarity classes, latent retrieval and merging have no SQ
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole of ``documents``; a stage's table goes when the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir)).df
+        now = stage(apply(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        docs, before = now.df, now
     return STAGES[-1][1](spark, docs, sf_dir)
