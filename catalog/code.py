@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from depfleet.functions import kinds as k
@@ -17,7 +19,7 @@ from depfleet.sources import blueprint as bp
 from depfleet.sources import code as cs
 from depfleet.sources import runs as rn
 from depfleet.sources import tables as t
-from depfleet.staging import stage
+from depfleet.staging import stage, staging_root
 
 from .base import CTES, cte, memo, query
 from .worlds import analysis, fleet, versions
@@ -104,59 +106,154 @@ def latest_run(spark, sf):
     return rn.latest_runs(runs)
 
 
-@query("a07_run_rows", """SELECT c.g AS project_id, (SELECT count(*) FROM crit x WHERE x.g = c.g AND x.tier = 'CRITICAL') AS critical_count, (SELECT count(*) FROM erisk e WHERE e.g = c.g AND e.lvl IN ('CRITICAL', 'HIGH')) AS high_risk_count,
- (SELECT count(*) FROM spof s WHERE s.g = c.g AND s.is_spof) AS spof_count, c.rating AS complexity_rating FROM cx c""")
+def _run_store(spark, sf):
+    """Both versions of the fleet stored as two runs of each system, with their whole results."""
+    def build():
+        root, a = f"{staging_root(spark)}/runs-{uuid.uuid4().hex}", analysis(spark, sf)
+        for version, at in (("v2", "2024-02-01 12:00:00"), ("v1", "2024-01-01 08:00:00")):
+            of = {part: a[part].filter(F.col("graph_id").endswith(f"-{version}")).withColumn("graph_id", F.substring_index("graph_id", "-", 1))
+                  for part in rn.PARTS}
+            rn.append_run(of, root, F.lit(at).cast("timestamp"), F.lit(version))
+        return root
+    return memo(spark, sf, "run store", build)
+
+
+cte("stored", """SELECT split_part(c.g, '-', 1) AS project_id, split_part(c.g, '-', 2) AS version, c.g, CASE WHEN c.g LIKE '%-v1' THEN TIMESTAMP '2024-01-01 08:00:00' ELSE TIMESTAMP '2024-02-01 12:00:00' END AS analyzed_at, c.* FROM cx c""")
+cte("last_stored", "SELECT project_id, max_by(g, analyzed_at) AS g, max(version) AS version FROM stored GROUP BY project_id")
+
+
+@query("a07_run_rows", """SELECT c.project_id, c.version, CAST(c.analyzed_at AS VARCHAR) AS analyzed_at, (SELECT count(*) FROM crit x WHERE x.g = c.g AND x.tier = 'CRITICAL') AS critical_count, (SELECT count(*) FROM erisk e WHERE e.g = c.g AND e.lvl IN ('CRITICAL', 'HIGH')) AS high_risk_count,
+ (SELECT count(*) FROM spof s WHERE s.g = c.g AND s.is_spof) AS spof_count, c.rating AS complexity_rating FROM stored c""")
 def run_rows(spark, sf):
-    a = analysis(spark, sf)
-    return rn.run_rows(a["criticality"], a["edge_risk"], a["spof"], a["complexity"], F.lit("2024-01-01").cast("timestamp")).drop("analyzed_at", "result")
+    return rn.committed(spark, _run_store(spark, sf)).withColumn("analyzed_at", F.col("analyzed_at").cast("string")).drop("commit", "run_date")
+
 
+@query("a07_stored_result", """SELECT m.g AS graph_id, m.v AS node_id, m.ind AS in_degree, m.outd AS out_degree, m.blast AS blast_radius, m.foot AS footprint, m.cb AS betweenness, m.pr AS pagerank FROM met m""")
+def stored_result(spark, sf):
+    root = _run_store(spark, sf)
+    m = rn.run_view(spark, root, "metrics", rn.committed(spark, root))
+    return m.select(F.concat_ws("-", "project_id", "version").alias("graph_id"), "node_id", "in_degree", "out_degree", "blast_radius", "footprint", "betweenness", "pagerank")
 
-@query("a09_run_view", "SELECT g AS project_id, n AS node_count, e AS edge_count, density FROM cx")
+
+def _latest(spark, sf, part):
+    root = _run_store(spark, sf)
+    return rn.run_view(spark, root, part, rn.latest_runs(rn.committed(spark, root)))
+
+
+@query("a09_run_view", """SELECT l.project_id, l.version, c.n AS node_count, c.e AS edge_count, c.density, c.depth AS max_dependency_depth, c.points, c.rating AS complexity_rating FROM last_stored l JOIN cx c ON c.g = l.g""")
 def run_view(spark, sf):
-    a = analysis(spark, sf)
-    rows = rn.run_rows(a["criticality"], a["edge_risk"], a["spof"], a["complexity"], F.lit("2024-01-01").cast("timestamp"))
-    return rn.run_view(rows, "node_count BIGINT, edge_count BIGINT, density DOUBLE").drop("analyzed_at")
+    return _latest(spark, sf, "complexity").select("project_id", "version", "node_count", "edge_count", "density", "max_dependency_depth", "points", "complexity_rating")
 
 
-@query("a10_model_documents", "SELECT graph_id, 'entity' AS kind, node_id AS id, type, technology AS detail FROM fleet_nodes UNION ALL SELECT graph_id, 'relationship', edge_id, type, protocol FROM fleet_edges")
-def model_documents(spark, sf):
-    field = lambda name: F.get_json_object("doc", f"$.{name}")
-    return bp.model_documents(*fleet(spark, sf)).select(
-        "graph_id", "kind", field("id").alias("id"), field("type").alias("type"), F.coalesce(field("technology"), field("protocol")).alias("detail"))
+@query("a09_run_spof", """SELECT l.project_id, s.v AS node_id, s.is_spof, s.severity, s.lost AS disconnected_paths FROM last_stored l JOIN spof s ON s.g = l.g""")
+def run_spof(spark, sf):
+    return _latest(spark, sf, "spof").select("project_id", "node_id", "is_spof", "severity", "disconnected_paths")
+
 
+@query("a09_run_critical", """SELECT l.project_id, c.v AS node_id, c.score AS criticality, c.tier, c.rk AS rank FROM last_stored l JOIN crit c ON c.g = l.g""")
+def run_critical(spark, sf):
+    return _latest(spark, sf, "criticality").select("project_id", "node_id", "criticality", "tier", "rank")
 
-@query("a01_blueprint_load", """SELECT 'c' || o_custkey AS graph_id, 'rel-o' || o_orderkey || '-s' || o_orderstatus || '-0' AS edge_id, 'o' || o_orderkey AS src, 's' || o_orderstatus AS dst,
- CASE WHEN o_orderkey % 2 = 0 THEN 'CALLS' ELSE 'LOADS' END AS type, CASE WHEN o_orderkey % 2 = 0 THEN 'HTTP/REST' ELSE 'Direct Link' END AS protocol FROM orders""")
+
+@query("a09_run_risk", """SELECT l.project_id, e.edge_id, e.score AS risk_score, e.lvl AS risk_level, e.rk AS risk_rank FROM last_stored l JOIN erisk e ON e.g = l.g""")
+def run_risk(spark, sf):
+    return _latest(spark, sf, "edge_risk").select("project_id", "edge_id", "risk_score", "risk_level", "risk_rank")
+
+
+def _exported(spark, sf):
+    """The fleet written as JSON below the staging root and read back."""
+    def build():
+        path = f"{staging_root(spark)}/export-{uuid.uuid4().hex}"
+        n, e = fleet(spark, sf)
+        place = lambda df: F.to_json(F.struct(*[F.col(c).alias(c[3:]) for c in df.columns if c.startswith("ev_")]))
+        packed = lambda df: df.withColumn("evidence", F.when(F.col("ev_file").isNotNull(), place(df)))
+        stats = n.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total_nodes")).select(
+            "graph_id", F.col("graph_id").alias("system_name"), F.substring_index("graph_id", "-", -1).alias("version"),
+            F.to_json(F.struct("total_nodes")).alias("stats"), F.lit(None).cast("string").alias("inventory"))
+        bp.model_documents(packed(n), packed(e), stats).repartition("graph_id").write.json(path)
+        return bp.import_json(spark, path)
+    return memo(spark, sf, "exported", build)
+
+
+@query("a10_model_documents", """SELECT graph_id, 'entity' AS kind, node_id AS id, pos, name AS a, type AS b, technology AS c, description, ev_file AS file, NULL AS snippet FROM fleet_nodes
+UNION ALL SELECT graph_id, 'relationship', edge_id, pos, src, dst, protocol, description, ev_file, ev_snippet FROM fleet_edges""")
+def model_documents(spark, sf):
+    back = _exported(spark, sf)
+    ev = lambda name: F.get_json_object("evidence", f"$.{name}")
+    n = back["nodes"].select("graph_id", F.lit("entity").alias("kind"), F.col("node_id").alias("id"), "pos", F.col("name").alias("a"), F.col("type").alias("b"),
+                             F.col("technology").alias("c"), "description", ev("file").alias("file"), ev("snippet").alias("snippet"))
+    e = back["edges"].select("graph_id", F.lit("relationship").alias("kind"), F.col("edge_id").alias("id"), "pos", F.col("src").alias("a"), F.col("dst").alias("b"),
+                             F.col("protocol").alias("c"), "description", ev("file").alias("file"), ev("snippet").alias("snippet"))
+    return n.unionByName(e)
+
+
+@query("a10_model_stats", "SELECT graph_id, graph_id AS system_name, split_part(graph_id, '-', 2) AS version, CAST(count(*) AS VARCHAR) AS total_nodes FROM fleet_nodes GROUP BY graph_id")
+def model_stats_back(spark, sf):
+    return _exported(spark, sf)["models"].select("graph_id", "system_name", "version", F.get_json_object("stats", "$.total_nodes").alias("total_nodes"))
+
+
+def _documents(spark, sf):
+    """One document per order, in files below the staging root; some are broken, some of another form."""
+    def build():
+        o, k_ = t.read(spark, sf, "orders"), F.col("o_orderkey")
+        oid, sid = F.concat(F.lit(" o"), k_.cast("string")), F.concat(F.lit("s"), "o_orderstatus")
+        graph = F.concat(F.lit("g"), k_.cast("string"))
+        part = F.struct(oid.alias("id"), F.struct(F.col("o_custkey").alias("cust")).alias("metadata"))
+        link = F.struct(oid.alias("source"), sid.alias("target"), F.when(k_ % 2 == 0, "CALLS").otherwise("LOADS").alias("type"),
+                        F.struct(F.concat(F.lit("f"), k_.cast("string")).alias("file")).alias("evidence"))
+        good = F.to_json(F.struct(graph.alias("graph_id"), F.array(part).alias("services"), F.array(link).alias("relationships")))
+        model = F.to_json(F.struct(graph.alias("graph_id"), F.array(part).alias("entities"), F.array(link).alias("relationships"),
+                                   F.struct(F.lit(1).alias("total_nodes")).alias("stats")))
+        no_list = F.concat(F.lit('{"graph_id":"'), graph, F.lit('","entities":"none","relationships":{}}'))
+        loose = F.concat(F.lit('{"graph_id":"'), graph, F.lit('","entities":[1,{"id":[2]}]}'))
+        doc = (F.when(k_ % 11 == 1, F.substring(good, 1, 20)).when(k_ % 11 == 2, F.concat(F.lit("["), k_.cast("string"), F.lit("]")))
+               .when(k_ % 11 == 3, no_list).when(k_ % 11 == 4, loose).when(k_ % 11 < 8, good).otherwise(model))
+        path = f"{staging_root(spark)}/blueprints-{uuid.uuid4().hex}"
+        o.select(doc.alias("value")).write.text(path)
+        return path
+    return memo(spark, sf, "blueprint files", build)
+
+
+cte("blue", "SELECT o_orderkey AS k, o_orderkey % 11 AS m, 'g' || o_orderkey AS g, 'o' || o_orderkey AS o, 's' || o_orderstatus AS s, o_custkey FROM orders")
+
+
+@query("a01_blueprint_load", """SELECT g AS graph_id, 'rel-' || o || '-' || s || '-0' AS edge_id, o AS src, s AS dst, CASE WHEN k % 2 = 0 THEN 'CALLS' ELSE 'LOADS' END AS type,
+ CASE WHEN k % 2 = 0 THEN 'HTTP/REST' ELSE 'Direct Link' END AS protocol, '{"file":"f' || k || '"}' AS evidence FROM blue WHERE m NOT IN (1, 2, 3, 4)""")
 def blueprint_load(spark, sf):
-    # one document per order: a node for the order and an edge to its status
-    o = t.read(spark, sf, "orders")
-    oid, sid = F.concat(F.lit(" o"), F.col("o_orderkey").cast("string")), F.concat(F.lit("s"), "o_orderstatus")
-    doc = F.to_json(F.struct(
-        F.array(F.struct(oid.alias("id"))).alias("services"),
-        F.array(F.struct(oid.alias("source"), sid.alias("target"),
-                         F.when(F.col("o_orderkey") % 2 == 0, "CALLS").otherwise("LOADS").alias("type"))).alias("relationships")))
-    table = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("graph_id"), doc.alias("doc"))
-    return bp.parse_blueprints(table)[1].drop("pos", "description")
-
-
-@query("a02_model_load", """SELECT 'c' || o_custkey AS graph_id, 'o' || o_orderkey AS node_id, 'o' || o_orderkey AS name, 'Generic / Undefined' AS technology FROM orders""")
+    return bp.read_blueprints(spark, _documents(spark, sf), lines=True)["edges"].drop("pos", "description", "metadata")
+
+
+@query("a02_model_load", """SELECT g AS graph_id, o AS node_id, o AS name, 'Generic / Undefined' AS technology, 'Component ' || o AS description, '{"cust":' || o_custkey || '}' AS metadata, '{"total_nodes":1}' AS stats FROM blue WHERE m >= 8""")
 def model_load(spark, sf):
-    o = t.read(spark, sf, "orders")
-    doc = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))).alias("entities")))
-    table = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("graph_id"), doc.alias("doc"))
-    return bp.parse_blueprints(table)[0].select("graph_id", "node_id", "name", "technology")
+    m = bp.read_models(spark, _documents(spark, sf), lines=True)
+    return m["nodes"].join(m["models"].select("graph_id", "stats"), "graph_id").select("graph_id", "node_id", "name", "technology", "description", "metadata", "stats")
+
+
+@query("a01_document_issues", """SELECT code, subject, pos, count(*) AS n FROM (
+SELECT 'invalid_json' AS code, '' AS subject, NULL AS pos FROM blue WHERE m = 1 UNION ALL SELECT 'root_not_object', 'ARRAY', NULL FROM blue WHERE m = 2
+UNION ALL SELECT 'components_not_list', 'STRING', NULL FROM blue WHERE m = 3 UNION ALL SELECT 'relationships_not_list', 'OBJECT', NULL FROM blue WHERE m = 3
+UNION ALL SELECT 'missing_relationships', '', NULL FROM blue WHERE m = 4 UNION ALL SELECT 'component_not_object', 'BIGINT', 0 FROM blue WHERE m = 4
+UNION ALL SELECT 'component_id_not_text', '', 1 FROM blue WHERE m = 4) x GROUP BY ALL""")
+def document_issues(spark, sf):
+    found = bp.read_blueprints(spark, _documents(spark, sf), lines=True)["issues"]
+    return found.groupBy("code", "subject", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
 cte("code_folders", """SELECT DISTINCT g, folder FROM (SELECT g, array_to_string(string_split(path, '/')[1:i], '/') AS folder FROM (
 SELECT g, path, unnest(range(1, len(string_split(path, '/')))) AS i FROM cf) a) b""")
 
 
-@query("a11_snapshot", """SELECT n.g AS graph_id, 'V1' AS label, n.n AS node_count, e.n AS edge_count, n.n AS file_count, 0 AS folder_count
-FROM (SELECT graph_id AS g, count(*) AS n FROM n_v1 GROUP BY graph_id) n JOIN (SELECT graph_id AS g, count(*) AS n FROM e_v1 GROUP BY graph_id) e ON e.g = n.g""")
+@query("a11_snapshot", """SELECT f.g AS graph_id, 'First' AS label, '1' AS version, '2024-03-01 00:00:00' AS taken_at, count(DISTINCT m.module_id) AS node_count,
+ (SELECT count(*) FROM mdep d WHERE d.g = f.g) AS edge_count, count(DISTINCT f.path) AS file_count, (SELECT count(*) FROM code_folders c WHERE c.g = f.g) AS folder_count
+FROM cf f JOIN modu m ON m.g = f.g GROUP BY f.g""")
 def snapshot(spark, sf):
-    n, e, _, _ = versions(spark, sf)
-    f = files(spark, sf)
-    return rn.snapshots(n, e, f, inv.folders(f), "V1")
+    # modules and their dependencies as the graph, with the files and folders they come from
+    f, g = files(spark, sf), graph(spark, sf)
+    root = f"{staging_root(spark)}/snapshots-{uuid.uuid4().hex}"
+    nodes = g["modules"].select("graph_id", F.col("module_id").alias("node_id")).distinct()
+    edges = g["module_deps"].select("graph_id", F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))
+    rn.append_snapshot({"nodes": nodes, "edges": edges, "files": f.select("graph_id", "path"), "folders": inv.folders(f)}, root, "1", "First", F.lit("2024-03-01"))
+    return rn.read_snapshots(spark, root).withColumn("taken_at", F.col("taken_at").cast("string")).drop("commit")
 
 
 # --- b: scalars -----------------------------------------------------------------------------------

@@ -1,17 +1,15 @@
-"""Reading graphs from JSON documents and writing them back."""
+"""Reading graphs from JSON documents of unknown form, and writing them back.
+
+Documents are parsed as variants, so a document of any shape is read: what is there is taken, and every fault is
+a row (graph_id, level, code, subject, pos) of the same form as those of ``register.validate``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLUEPRINT = """
-graph_id STRING, systemName STRING, version STRING,
-entities ARRAY<STRUCT<id: STRING, name: STRING, type: STRING, technology: STRING, description: STRING>>,
-services ARRAY<STRUCT<id: STRING, name: STRING, type: STRING, technology: STRING, description: STRING>>,
-relationships ARRAY<STRUCT<id: STRING, source: STRING, target: STRING, type: STRING, protocol: STRING, description: STRING>>,
-_corrupt_record STRING
-"""
+from ..staging import union_all
 
 
 def _or(column, default):
@@ -19,60 +17,141 @@ def _or(column, default):
     return F.when(F.trim(F.coalesce(column, F.lit(""))) == "", default).otherwise(F.trim(column))
 
 
-def blueprint_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of parsed documents, with defaults filled in.
+def _get(value: str, path: str, kind: str) -> Column:
+    return F.try_variant_get(F.col(value), f"$.{path}", kind)
+
+
+def _json(value: str, path: str) -> Column:
+    return F.to_json(_get(value, path, "variant"))
+
+
+def _shape(value: Column) -> Column:
+    """OBJECT, ARRAY, STRING, ...; null where there is nothing."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
 
-    The list of components may be called ``entities`` or ``services``.
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(source, doc): the texts of all files below a path, whole or line by line, whatever is in them."""
+    texts = spark.read.option("wholetext", not lines).option("recursiveFileLookup", True).text(path)
+    return texts.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("doc")).filter(
+        F.lit(not lines) | (F.trim("doc") != ""))
+
+
+def parse_documents(docs: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
+    """``nodes``, ``edges``, ``models`` and ``issues`` of documents (graph_id or source, doc).
+
+    A document's own ``graph_id`` names the graph, else that of the table, else its file's name without ending.  The list of
+    components may be called ``entities`` or ``services``.  ``strict`` wants ``entities`` and ``relationships`` and takes
+    nothing from documents without them.  Evidence, metadata, statistics and inventory are kept as JSON.
     """
-    parts = docs.withColumn("parts", F.coalesce("entities", "services"))
-    n = parts.select("graph_id", F.posexplode("parts").alias("pos", "e"))
-    node_id = F.trim(F.col("e.id"))
-    nodes = n.select(
-        "graph_id", node_id.alias("node_id"), "pos", _or(F.col("e.name"), node_id).alias("name"),
-        F.coalesce("e.type", F.lit("Service")).alias("type"),
-        _or(F.col("e.technology"), F.lit("Generic / Undefined")).alias("technology"),
-        F.lit("User Provided").alias("source"),
-        _or(F.col("e.description"), F.concat(F.lit("Component "), node_id)).alias("description"))
-    r = docs.select("graph_id", F.posexplode("relationships").alias("pos", "r"))
-    src, dst, kind = F.trim(F.col("r.source")), F.trim(F.col("r.target")), F.coalesce(F.col("r.type"), F.lit("CALLS"))
+    given = F.col("graph_id") if "graph_id" in docs.columns else F.lit(None).cast("string")
+    file = F.regexp_replace(F.col("source"), r"\.[^.]*$", "") if "source" in docs.columns else F.lit(None).cast("string")
+    read = docs.withColumn("v", F.try_parse_json("doc")).withColumn("graph_id", F.coalesce(_get("v", "graph_id", "string"), given, file))
+    read = read.select("graph_id", "doc", "v", _shape(F.col("v")).alias("root"),
+                       _shape(_get("v", "entities", "variant")).alias("e_shape"), _shape(_get("v", "services", "variant")).alias("s_shape"),
+                       _shape(_get("v", "relationships", "variant")).alias("r_shape"))
+    is_list = lambda c: F.coalesce(F.col(c) == "ARRAY", F.lit(False))
+    absent = lambda c: F.col(c).isNull() | (F.col(c) == "VOID")
+    parts = F.when(is_list("e_shape"), _get("v", "entities", "array<variant>"))
+    if not strict:
+        parts = F.when(is_list("e_shape"), _get("v", "entities", "array<variant>")).when(is_list("s_shape"), _get("v", "services", "array<variant>"))
+    has_parts = is_list("e_shape") if strict else is_list("e_shape") | is_list("s_shape")
+    links = F.when(is_list("r_shape"), _get("v", "relationships", "array<variant>"))
+    fine = F.col("root") == "OBJECT"
+    if strict:
+        fine &= has_parts & is_list("r_shape")
+
+    def issue(rows: DataFrame, code: str, subject: Column | None = None, level: str = "error") -> DataFrame:
+        pos = F.col("pos") if "pos" in rows.columns else F.lit(None).cast("int")
+        return rows.select("graph_id", F.lit(level).alias("level"), F.lit(code).alias("code"), (F.lit("") if subject is None else subject).alias("subject"), pos.alias("pos"))
+
+    blank = F.trim(F.coalesce("doc", F.lit(""))) == ""
+    whole = read.filter("root = 'OBJECT'")
+    p = read.filter(fine).select("graph_id", F.posexplode(parts).alias("pos", "e")).withColumn("shape", _shape(F.col("e")))
+    r = read.filter(fine).select("graph_id", F.posexplode(links).alias("pos", "r")).withColumn("shape", _shape(F.col("r")))
+    no_text = lambda value, path: _shape(_get(value, path, "variant")).isin("OBJECT", "ARRAY")
+    issues = union_all([
+        issue(read.filter(blank), "empty_document"), issue(read.filter(~blank & F.col("v").isNull()), "invalid_json"),
+        issue(read.filter("root <> 'OBJECT'"), "root_not_object", F.col("root")),
+        issue(whole.filter(~has_parts & (absent("e_shape") & (absent("s_shape") | F.lit(strict)))), "missing_components"),
+        issue(whole.filter(~has_parts & ~(absent("e_shape") & (absent("s_shape") | F.lit(strict)))), "components_not_list", F.coalesce("e_shape", "s_shape")),
+        issue(whole.filter(absent("r_shape")), "missing_relationships", level="error" if strict else "warning"),
+        issue(whole.filter(~absent("r_shape") & ~is_list("r_shape")), "relationships_not_list", F.col("r_shape")),
+        issue(p.filter("shape <> 'OBJECT'"), "component_not_object", F.col("shape")),
+        issue(p.filter((F.col("shape") == "OBJECT") & no_text("e", "id")), "component_id_not_text"),
+        issue(r.filter("shape <> 'OBJECT'"), "relationship_not_object", F.col("shape")),
+        issue(r.filter((F.col("shape") == "OBJECT") & (no_text("r", "source") | no_text("r", "target"))), "relationship_end_not_text")])
+
+    node_id = F.trim(_get("e", "id", "string"))
+    nodes = p.filter("shape = 'OBJECT'").select(
+        "graph_id", node_id.alias("node_id"), "pos", _or(_get("e", "name", "string"), node_id).alias("name"),
+        F.coalesce(_get("e", "type", "string"), F.lit("Service")).alias("type"),
+        _or(_get("e", "technology", "string"), F.lit("Generic / Undefined")).alias("technology"),
+        F.coalesce(_get("e", "source", "string"), F.lit("User Provided")).alias("source"),
+        _or(_get("e", "description", "string"), F.concat(F.lit("Component "), node_id)).alias("description"),
+        _json("e", "evidence").alias("evidence"), _json("e", "metadata").alias("metadata"))
+    src, dst = F.trim(_get("r", "source", "string")), F.trim(_get("r", "target", "string"))
+    kind = F.coalesce(_get("r", "type", "string"), F.lit("CALLS"))
     protocol = F.when(kind == "CALLS", "HTTP/REST").when(kind == "USES", "TCP/Driver").otherwise("Direct Link")
-    edges = r.select(
-        "graph_id", _or(F.col("r.id"), F.concat_ws("-", F.lit("rel"), src, dst, F.col("pos").cast("string"))).alias("edge_id"),
-        "pos", src.alias("src"), dst.alias("dst"), kind.alias("type"),
-        _or(F.col("r.protocol"), protocol).alias("protocol"),
-        _or(F.col("r.description"), F.concat_ws(" ", src, kind, dst)).alias("description"))
-    return nodes, edges
+    edges = r.filter("shape = 'OBJECT'").select(
+        "graph_id", _or(_get("r", "id", "string"), F.concat_ws("-", F.lit("rel"), src, dst, F.col("pos").cast("string"))).alias("edge_id"),
+        "pos", src.alias("src"), dst.alias("dst"), kind.alias("type"), _or(_get("r", "protocol", "string"), protocol).alias("protocol"),
+        _or(_get("r", "description", "string"), F.concat_ws(" ", src, kind, dst)).alias("description"),
+        _json("r", "evidence").alias("evidence"), _json("r", "metadata").alias("metadata"))
+    models = read.filter(fine).select(
+        "graph_id", _get("v", "systemName", "string").alias("system_name"), _get("v", "version", "string").alias("version"),
+        _json("v", "stats").alias("stats"), _json("v", "inventory").alias("inventory"))
+    return {"nodes": nodes, "edges": edges, "models": models, "issues": issues}
+
 
+def read_blueprints(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """All blueprint documents below a path."""
+    return parse_documents(read_documents(spark, path, lines))
 
-def read_blueprints(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of all blueprint documents below a path."""
-    docs = spark.read.schema(BLUEPRINT).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
-    return blueprint_tables(docs.filter("_corrupt_record IS NULL"))
 
+def read_models(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """Strict reading: both lists must be there; documents without them give issues only."""
+    return parse_documents(read_documents(spark, path, lines), strict=True)
 
-def read_models(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Strict reading: both lists must be there.  The third table lists documents that were refused."""
-    docs = spark.read.schema(BLUEPRINT).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
-    fine = F.col("_corrupt_record").isNull() & F.col("entities").isNotNull() & F.col("relationships").isNotNull()
-    nodes, edges = blueprint_tables(docs.filter(fine))
-    return nodes, edges, docs.filter(~fine).select("graph_id", "_corrupt_record")
 
+NODE_TEXT = ("name", "type", "technology", "source", "description")
+EDGE_TEXT = ("type", "protocol", "description")
 
-def parse_blueprints(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same from a table (graph_id, doc) of JSON texts."""
-    shape = BLUEPRINT.replace("graph_id STRING,", "").replace(",\n_corrupt_record STRING", "")
-    return blueprint_tables(docs.select("graph_id", F.from_json("doc", shape).alias("d")).select("graph_id", "d.*"))
 
+def model_documents(nodes: DataFrame, edges: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """One JSON document per node, per edge and per model, keyed by graph: no document has to hold a whole graph.
 
-def model_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One JSON document per node and per edge, keyed by graph: no document has to hold a whole graph."""
+    What a table does not have is left out; evidence and metadata, kept as JSON, are nested as what they are.
+    """
+    nested = lambda df: [F.try_parse_json(c).alias(c) for c in ("evidence", "metadata", "stats", "inventory") if c in df.columns]
+    named = lambda df, cols: [F.col(c) for c in cols if c in df.columns]
     n = nodes.select("graph_id", F.lit("entity").alias("kind"), F.to_json(F.struct(
-        F.col("node_id").alias("id"), "name", "type", "technology")).alias("doc"))
+        F.col("node_id").alias("id"), *named(nodes, ("pos", *NODE_TEXT)), *nested(nodes))).alias("doc"))
     e = edges.select("graph_id", F.lit("relationship").alias("kind"), F.to_json(F.struct(
-        F.col("edge_id").alias("id"), F.col("src").alias("source"), F.col("dst").alias("target"), "type", "protocol")).alias("doc"))
-    return n.unionByName(e)
+        F.col("edge_id").alias("id"), F.col("src").alias("source"), F.col("dst").alias("target"), *named(edges, ("pos", *EDGE_TEXT)), *nested(edges))).alias("doc"))
+    out = n.unionByName(e)
+    if models is None:
+        return out
+    m = models.select("graph_id", F.lit("model").alias("kind"), F.to_json(F.struct(
+        F.col("system_name").alias("systemName"), "version", *nested(models))).alias("doc"))
+    return out.unionByName(m)
 
 
 def export_json(df: DataFrame, path: str) -> None:
     """JSON lines, one folder per graph."""
     df.write.mode("overwrite").partitionBy("graph_id").json(path)
+
+
+def import_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that ``export_json`` wrote, as they were."""
+    lines = spark.read.schema("graph_id string, kind string, doc string").json(path).withColumn("v", F.try_parse_json("doc"))
+    text = lambda *cols: [_get("v", c, "string").alias(c) for c in cols]
+    pos = _get("v", "pos", "int").alias("pos")
+    kept = [_json("v", c).alias(c) for c in ("evidence", "metadata")]
+    of = lambda kind: lines.filter(F.col("kind") == kind)
+    return {
+        "nodes": of("entity").select("graph_id", _get("v", "id", "string").alias("node_id"), pos, *text(*NODE_TEXT), *kept),
+        "edges": of("relationship").select("graph_id", _get("v", "id", "string").alias("edge_id"), pos, _get("v", "source", "string").alias("src"),
+                                           _get("v", "target", "string").alias("dst"), *text(*EDGE_TEXT), *kept),
+        "models": of("model").select("graph_id", _get("v", "systemName", "string").alias("system_name"), *text("version"),
+                                     _json("v", "stats").alias("stats"), _json("v", "inventory").alias("inventory"))}

@@ -325,8 +325,8 @@ def test_cycles_told_apart_up_to_two(world):
 
 def test_longest_paths_through_components(spark):
     """A long chain into a cycle, and from there through another one to a tail: every way against enumeration."""
-    chain = [f"a{i:02d}" for i in range(30)]
-    pairs = list(itertools.pairwise(chain)) + [("a29", "k1"), ("k1", "k2"), ("k2", "k3"), ("k3", "k1"), ("k2", "k4"), ("k4", "k1"), ("k3", "m1"), ("k4", "m2"),
+    chain = [f"a{i:02d}" for i in range(12)]
+    pairs = list(itertools.pairwise(chain)) + [("a11", "k1"), ("k1", "k2"), ("k2", "k3"), ("k3", "k1"), ("k2", "k4"), ("k4", "k1"), ("k3", "m1"), ("k4", "m2"),
                                                 ("m1", "m2"), ("m2", "m1"), ("m1", "t1"), ("m2", "t2"), ("t2", "t1")]
     ids = sorted({v for p in pairs for v in p})
     n, e = spark.createDataFrame(node_rows("L", ids), NODE_SCHEMA), spark.createDataFrame(edge_rows("L", [f"{a}>{b}" for a, b in pairs]), EDGE_SCHEMA)
