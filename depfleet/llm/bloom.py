@@ -47,8 +47,8 @@ def may_hold(rows: DataFrame, key: Column, filter_table: DataFrame, blocks: int)
 
 
 def marked(rows: DataFrame, key: Column, filter_table: DataFrame, blocks: int, name: str) -> DataFrame:
-    """All rows, with a column ``name`` that tells whether their key may be in the filter; a null key never is."""
-    cols = [F.col(f"`{c}`") for c in rows.columns]
-    hit = reduce(Column.__and__, [F.col(f"__w{w}").bitwiseAND(b) == b for w, b in enumerate(bits_of(key))])
-    probed = rows.withColumn("__block", block_of(key, blocks))
-    return probed.join(F.broadcast(filter_table), "__block", "left").select(*cols, (F.coalesce(hit, F.lit(False)) & key.isNotNull()).alias(name))
+    """(row, ``name``): every row as a struct, and whether its key may be in the filter; a null key never is."""
+    hit = reduce(Column.__and__, [F.col(f"__w{w}").bitwiseAND(b) == b for w, b in enumerate(bits_of(F.col("__key")))])
+    probed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), key.alias("__key"))
+    joined = probed.withColumn("__block", block_of(F.col("__key"), blocks)).join(F.broadcast(filter_table), "__block", "left")
+    return joined.select("row", (F.coalesce(hit, F.lit(False)) & F.col("__key").isNotNull()).alias(name))

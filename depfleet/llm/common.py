@@ -90,15 +90,13 @@ def without_ids(docs: DataFrame, ids: DataFrame, n_ids: int, key: str = "doc_id"
 
     A Bloom filter of the ids lets most rows pass where they are: only those it may hold are shuffled for the exact join.
     """
-    cols = [F.col(f"`{c}`") for c in docs.columns]
     if not n_ids:
         return docs
-    own = F.col(f"`{key}`").cast("long")
-    gone = ids.select(F.col(key).cast("long").alias("__gone"))
+    gone = ids.select(F.col(key).cast("long").alias("gone"))
     blocks = bloom.block_count(n_ids, bloom.MAX_BLOCKS * 8)
-    marked = bloom.marked(docs, own, bloom.build(gone, F.col("__gone"), blocks), blocks, "__may")
-    asked = marked.where("__may").select(*cols)
-    return marked.where("NOT __may").select(*cols).unionByName(asked.join(gone, own == F.col("__gone"), "left_anti").select(*cols))
+    rows = bloom.marked(docs, F.col(f"`{key}`").cast("long"), bloom.build(gone, F.col("gone"), blocks), blocks, "may")
+    asked = rows.where("may").join(gone, F.col(f"row.`{key}`").cast("long") == F.col("gone"), "left_anti")
+    return rows.where("NOT may").select("row.*").unionByName(asked.select("row.*"))
 
 
 class WordHashes(dict):
