@@ -717,8 +717,7 @@ UNION ALL SELECT DISTINCT graph_id, 'mod-repo-' || regexp_extract(path, '^\./Rep
 def elevated_modules(spark, sf):
     # repositories with the nodes that their code gives, and plain document trees with their fallback node
     repos, trees = files(spark, sf), all_docs(spark, sf)
-    archives = trees.select("graph_id", F.concat("graph_id", F.lit(".zip")).alias("archive")).distinct()
-    core = inv.fallback_nodes(trees, archives.filter("false").select("graph_id"), archives).select("graph_id", "node_id", F.lit("Application").alias("type"))
+    core = _fallback(trees).select("graph_id", "node_id", F.lit("Application").alias("type"))
     nodes = graph(spark, sf)["nodes"].select("graph_id", "node_id", "type").unionByName(core)
     mods = inv.modules(repos).unionByName(inv.modules(trees))
     return inv.elevate_modules(mods, nodes).select("graph_id", "node_id", "type")
@@ -749,21 +748,29 @@ def analysis_status(spark, sf):
     return inv.analysis_status(f, mapped, graph(spark, sf)["deps"])
 
 
-@query("e18_limited_flags", "SELECT DISTINCT graph_id, false AS limited, count(*) FILTER (regexp_matches(path, '\\.(py|ts)$')) OVER (PARTITION BY graph_id) <= 1 OR false AS limited_lite, false AS partial FROM doc_files")
+@query("e18_limited_flags", r"""SELECT graph_id, true AS limited, true AS limited_lite, count(*) <= 3 AS partial FROM doc_files GROUP BY graph_id
+UNION ALL SELECT c.g, n.nodes <= 1, (n.nodes <= 1 AND coalesce(e.edges, 0) = 0) OR (count(*) FILTER (c.category = 'source') <= 1 AND coalesce(e.edges, 0) <= 2) OR (count(*) <= 3 AND count(*) FILTER (c.category = 'manifest') = 0),
+ count(*) <= 3 AND count(*) FILTER (c.category = 'manifest') = 0 FROM cfx c JOIN (SELECT g, count(DISTINCT module_id) AS nodes FROM modu GROUP BY g) n ON n.g = c.g
+ LEFT JOIN (SELECT g, count(*) AS edges FROM mdep GROUP BY g) e ON e.g = c.g GROUP BY c.g, n.nodes, e.edges""")
 def limited_flags(spark, sf):
-    f = all_docs(spark, sf)
-    two = f.select("graph_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("node_id")).distinct()
-    no_edges = two.filter("false")
-    return inv.limited_flags(f, two, no_edges)
+    # document trees with their fallback node, and repositories with their modules and module dependencies
+    trees, g = all_docs(spark, sf), graph(spark, sf)
+    core = _fallback(trees).select("graph_id", "node_id")
+    mods = g["modules"].select("graph_id", F.col("module_id").alias("node_id")).distinct()
+    edges = g["module_deps"].select("graph_id", F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))
+    f = files(spark, sf)
+    return inv.limited_flags(f.unionByName(trees.select(*f.columns)), core.unionByName(mods), edges)
+
+
+def _fallback(trees):
+    archives = trees.select("graph_id", F.concat("graph_id", F.lit(".zip")).alias("archive")).distinct()
+    return inv.fallback_nodes(trees, archives.filter("false").select("graph_id"), archives)
 
 
 @query("e19_fallback_nodes", r"""SELECT graph_id, 'application-core' AS node_id, 'Docs Src' || substr(graph_id, 9) AS name, min_by(lang, (-n, lang)) || ' Application' AS technology, 'Standalone application (' || CAST(max(total) AS BIGINT) || ' total files cataloged in inventory).' AS description FROM (
 SELECT graph_id, CASE regexp_extract(path, '\.([a-z]+)$', 1) WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' WHEN 'yaml' THEN 'YAML' END AS lang, count(*) AS n, sum(count(*)) OVER (PARTITION BY graph_id) AS total FROM doc_files GROUP BY 1, 2) x WHERE lang IS NOT NULL GROUP BY graph_id""")
 def fallback_nodes(spark, sf):
-    f = all_docs(spark, sf)
-    archives = f.select("graph_id", F.concat("graph_id", F.lit(".zip")).alias("archive")).distinct()
-    none = archives.filter("false").select("graph_id")
-    return inv.fallback_nodes(f, none, archives).drop("type")
+    return _fallback(all_docs(spark, sf)).drop("type")
 
 
 # --- h, k over files ------------------------------------------------------------------------------
@@ -829,13 +836,10 @@ def file_lookup(spark, sf):
     return fi.file_lookup(files(spark, sf), "App/mod_11.py").select("graph_id", "path")
 
 
-VALID = "regexp_matches(ev_file, '[02468][.]ts$') AND ev_line > 0 AND length(ev_snippet) > 0 AND length(ev_method) > 0"
+VALID = "f.path IS NOT NULL AND e.ev_line > 0 AND length(e.ev_snippet) > 0 AND length(e.ev_method) > 0"
 
 
-@query("k16_evidence_validity", f"""SELECT graph_id, count(*) AS edge_count, count(*) FILTER ({VALID}) AS valid, floor(count(*) FILTER ({VALID}) * 100.0 / count(*) * 1e4 + 0.500001) / 1e4 AS validity_pct
-FROM fleet_edges GROUP BY graph_id""")
+@query("k16_evidence_validity", f"""SELECT e.graph_id, count(*) AS edge_count, count(*) FILTER ({VALID}) AS valid, floor(count(*) FILTER ({VALID}) * 100.0 / count(*) * 1e4 + 0.500001) / 1e4 AS validity_pct
+FROM fleet_edges e LEFT JOIN fleet_files f ON f.graph_id = e.graph_id AND f.path = e.ev_file GROUP BY e.graph_id""")
 def evidence_validity(spark, sf):
-    # files of even orders stand for the files that exist
-    e = fleet(spark, sf)[1]
-    known = e.filter(F.col("ev_file").rlike("[02468][.]ts$")).select("graph_id", F.col("ev_file").alias("path")).distinct()
-    return fi.evidence_validity(e, known)
+    return fi.evidence_validity(fleet(spark, sf)[1], t.derive(spark, sf, "fleet_files"))

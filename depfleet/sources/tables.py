@@ -103,6 +103,16 @@ WHERE NOT (sys % 5 = 0 AND k = 10)
   AND NOT (ver = 2 AND (sys * 3 + k) % 13 = 0) AND NOT (ver = 1 AND (sys + k) % 17 = 0)
 """)
 
+# the source files of both versions: those of orders with a line that was returned or accepted
+relation("fleet_files", ("fleet_pairs",), """
+SELECT DISTINCT 's' || CAST(sys AS STRING) || '-v' || CAST(ver AS STRING) AS graph_id,
+       'src/c' || CAST(10 + k AS STRING) || '/order_' || CAST(okey AS STRING) || '.ts' AS path
+FROM (
+  SELECT sys, 1 AS ver, lo AS k, okey FROM fleet_pairs WHERE flag <> 'N' UNION SELECT sys, 1, hi, okey FROM fleet_pairs WHERE flag <> 'N'
+  UNION SELECT sys, 2, lo, okey FROM fleet_pairs WHERE flag <> 'N' UNION SELECT sys, 2, hi, okey FROM fleet_pairs WHERE flag <> 'N'
+) x
+""")
+
 # --- proposed edits: four scenarios per system on its first version -------------------------
 
 relation("fleet_systems", ("fleet_common",), """
