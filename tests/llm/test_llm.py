@@ -299,13 +299,72 @@ def test_lm_scores(spark, monkeypatch):
 
 
 def test_levels_are_never_under_estimated(spark):
-    keys = lm_bloom.word_keys(mixed(np.arange(1, 6001).astype(np.uint64)))
+    keys = mixed(np.arange(1, 6001).astype(np.uint64))
     n = [int(1.7 ** (k % 20)) + 1 for k in range(3000)]
-    counts = spark.createDataFrame(list(zip(keys[:3000].view(np.int64).tolist(), n, strict=True)), "key long, n long")
-    words = lm_bloom.build_filter(counts, (0, 0), 3000 * 14 * 12 // 512)
-    want, got = lm_bloom.level(np.array(n)), lm_bloom.probe_levels(words, keys[:3000])
-    assert (got >= want).all() and (got == want).mean() > 0.9
-    assert (lm_bloom.probe_levels(words, keys[3000:]) == 0).mean() > 0.9
+    q = lm_bloom.level(np.array(n))
+    counts = spark.createDataFrame(list(zip(keys[:3000].view(np.int64).tolist(), q.tolist(), strict=True)), "key long, q int")
+    words = lm_bloom.build_filter(counts, lm_bloom.PARTS * -(-int(q.sum()) * lm_bloom.BITS_PER_ENTRY // 512 // lm_bloom.PARTS))
+    got = lm_bloom.probe_levels(words, keys[:3000])
+    assert (got >= q).all() and (got == q).mean() > 0.99
+    others = mixed(np.arange(10_000, 400_000).astype(np.uint64))
+    assert (lm_bloom.probe_levels(words, others) > 0).mean() < 2 * lm_bloom.FALSE_RATE
+
+
+def test_pair_keys_give_their_context_back():
+    rng = np.random.default_rng(1)
+    number, tokens = rng.integers(0, 1 << 18, 5000), rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    assert (lm_bloom.context_of(lm_bloom.pair_keys(number, tokens)) == number).all()
+
+
+def lm_texts():
+    rng = np.random.default_rng(7)
+    weight = 1 / np.arange(1, 3001)
+    weight /= weight.sum()
+    return [" ".join(f"w{k}" for k in rng.choice(3000, 60, p=weight)) + f" w{i % 5} the cat" for i in range(400)]
+
+
+@pytest.mark.parametrize("blocks", [lm_bloom.MAX_BLOCKS, 512])
+def test_lm_probabilities_sum_to_one(spark, blocks):
+    """Over the vocabulary and one unknown word, behind frequent and rare words, with room for all pairs and without."""
+    texts = lm_texts()
+    m, _ = lm_bloom.learn(table(spark, texts).select("text"), blocks, 500)
+    hashes = lm_bloom.WordHashes()
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    tokens = hashes.of([w.encode() for w in [*vocabulary, "never seen"]] + [lm_bloom.END])
+    _, _, own = lm_bloom.alone(tokens, m)
+    assert abs(own.sum() - 1) < 2e-3
+    numbers = sorted({int(x) for x in m.context if x >= 0})
+    assert (m.context >= 0).sum() == len(numbers) and (len(numbers) > 300 if blocks > 512 else 0 < len(numbers) < 300)
+    for number in [-1, *numbers[:5], *numbers[-5:]]:
+        total = lm_bloom.behind(own, np.full(len(tokens), number), tokens, m).sum()
+        assert abs(total - 1) < lm_bloom.TOLERANCE + 2e-3, number
+
+
+def test_lm_scores_equal_exact_counts(spark):
+    """The same formula with a dictionary instead of the filter."""
+    texts = [*lm_texts(), "", None, "w1 never w2", "THE Cat the"]
+    rows = {r.doc_id: r for r in lm_bloom.learn_and_score(table(spark, texts)).collect()}
+    tokens = [(t or "").lower().split() + [" "] for t in texts]
+    train = [w for i, w in enumerate(tokens) if zlib.crc32(str(i).encode()) % 5 != 1]
+    words = Counter(x for w in train for x in w)
+    pairs = Counter(p for w in train for p in zip([" ", *w], w))
+    rough = lambda n: float(lm_bloom.count_of(lm_bloom.level(np.array([n])))[0])
+    least = len(words) * lm_bloom.FALSE_RATE * (rough(1) - lm_bloom.DISCOUNT) / lm_bloom.TOLERANCE
+    mass, kinds = Counter(), Counter()
+    for (v, _), n in pairs.items():
+        mass[v] += rough(n)
+        kinds[v] += 1
+    z = sum(words.values()) + 0.5 * (len(words) + 1)
+    off = 0
+    for i, w in enumerate(tokens):
+        want = 0.0
+        for v, x in zip([" ", *w], w):
+            own = (words[x] + 0.5) / z
+            told = rough(pairs[v, x]) - lm_bloom.DISCOUNT if (v, x) in pairs else 0.0
+            want += math.log10((told + lm_bloom.DISCOUNT * kinds[v] * own) / mass[v] if mass[v] and words[v] >= least else own)
+        assert rows[i].score >= want - 1e-6  # a word that passes by chance can only gain
+        off += rows[i].score > want + 1e-6
+    assert off <= 0.02 * len(texts) + 1
 
 
 def test_toxicity_learns_held_out(spark):
