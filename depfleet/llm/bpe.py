@@ -29,6 +29,7 @@ from .common import map_texts
 
 CACHE_WORDS = 200_000
 CHUNK_SYMBOLS = 400_000
+CHUNK_CHARS = 1_000_000
 
 # fixed value: how the byte-level pre-tokenizer cuts text
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -181,7 +182,21 @@ def encode(docs: DataFrame, path: str, col: str = "text") -> DataFrame:
         encoder = Encoder(load_vocabulary(path))
         return lambda texts: {"ids": encoder(texts)}
 
-    return map_texts(docs, per_text, "ids binary", col).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return map_texts(docs, per_text, "ids binary", col, CHUNK_CHARS).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+
+
+def round_trip(docs: DataFrame, path: str, col: str = "text") -> DataFrame:
+    """Adds ``ids`` (packed), ``n_tokens`` and ``decoded``, what the identifiers alone give back, in one pass."""
+
+    def per_text():
+        encoder, pieces = Encoder(load_vocabulary(path)), _decoder(path)
+
+        def work(texts: list[str]) -> dict:
+            ids = encoder(texts)
+            return {"ids": ids, "decoded": decode_packed(pa.array(ids, pa.binary()), pieces)}
+        return work
+
+    return map_texts(docs, per_text, "ids binary, decoded string", col, CHUNK_CHARS).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 def decode(ids, path: str):

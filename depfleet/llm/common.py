@@ -48,10 +48,10 @@ def by_chunks(texts: Iterable[str], chars: int = 4_000_000) -> Iterator[list[str
         yield held
 
 
-def map_texts(df: DataFrame, per_text: Callable[[], Callable[[list[str]], dict]], fields: str, col: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, per_text: Callable[[], Callable[[list[str]], dict]], fields: str, col: str = "text", chars: int = 4_000_000) -> DataFrame:
     """Adds columns computed from whole texts, row for row.
 
-    ``per_text`` is called once a task and gives a function from a list of texts to columns as lists.  All other
+    ``per_text`` is called once a task and gives a function from a list of texts to columns as lists or Arrow arrays.  All other
     columns pass through untouched; a column of ``df`` with the name of a new one is replaced.
     """
     from pyspark.sql.types import _parse_datatype_string
@@ -74,12 +74,12 @@ def map_texts(df: DataFrame, per_text: Callable[[], Callable[[list[str]], dict]]
         for batch in batches:
             texts = [t or "" for t in batch.column(text_at).to_pylist()]
             at = 0
-            for chunk in by_chunks(texts):
+            for chunk in by_chunks(texts, chars):
                 out = work(chunk)
                 part = batch.slice(at, len(chunk))
                 at += len(chunk)
                 cols = [part.column(i).cast(arrow.field(i).type) for i in range(n_kept)]
-                cols += [pa.array(out[n], type=arrow.field(n).type) for n in names]
+                cols += [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], type=arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     return source.mapInArrow(run, schema)

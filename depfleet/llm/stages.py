@@ -47,9 +47,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip): packed identifiers, and whether decoding gives the text again."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(docs.select("doc_id", "text"), path)
-    return encoded.select("doc_id", "n_tokens", "ids", (bpe.decode(F.col("ids"), path) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [

@@ -50,7 +50,9 @@ def test_bpe_equals_library_and_round_trips(spark):
         ids = lib.encode(ODD[r.doc_id] or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
         assert r.back == (ODD[r.doc_id] or "")
-    assert bpe.encode(table(spark, []), BYTES).count() == 0
+    both = {r.doc_id: r for r in bpe.round_trip(table(spark, ODD).withColumn("decoded", F.lit(1)), BYTES).collect()}
+    assert all(both[r.doc_id].ids == r.ids and both[r.doc_id].decoded == r.back for r in rows)
+    assert bpe.encode(table(spark, []), BYTES).count() == 0 and bpe.round_trip(table(spark, []), BYTES).count() == 0
     # bytes that are no UTF-8 become replacement signs
     cut = spark.createDataFrame([(bytearray(np.array([lib.encode("é").ids[0], 160], "<u4").tobytes()),), (None,)], "ids binary")
     assert [r[0] for r in cut.select(bpe.decode(F.col("ids"), BYTES)).collect()][1] is None
