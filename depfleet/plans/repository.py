@@ -11,7 +11,7 @@ from ..operators import inventory as inv
 from ..operators import register as rg
 from ..operators import resolve as rs
 from ..operators.graph import G
-from ..staging import stage, union_all
+from ..staging import stage, together, union_all
 
 
 def extract_graph(files: DataFrame) -> dict[str, DataFrame]:
@@ -53,13 +53,19 @@ def extract_graph(files: DataFrame) -> dict[str, DataFrame]:
     grown = inv.elevate_modules(mods, early.select(G, "node_id", "type").distinct())
     grown = sighting(grown, 7, **plain("name", "type", "technology", "folder"))
     api = stage(x.api_nodes(lines)).df
+    java_routes = stage(x.spring_routes(files, lines)).df
+    named = [G, "path", "line", "verb", "endpoint"]
+    open_api = stage(x.exposed(route.select(*named).unionByName(java_routes.select(*named)).distinct())).df
+    marks, hosts = (t.df for t in together(lambda: stage(x.marker_hits(lines)), lambda: stage(x.host_calls(lines))))
     late = union_all([grown, sighting(api, 8, name=F.col("name"), type=F.lit("API"), technology=F.lit("REST API Endpoint")),
-                      sighting(x.host_calls(lines), 9, technology=F.lit("HTTP Microservice")),
-                      sighting(x.marker_hits(lines), 10, type=F.col("node_type"))])
+                      sighting(hosts, 9, technology=F.lit("HTTP Microservice")),
+                      sighting(marks, 10, type=F.col("node_type")),
+                      sighting(open_api, 11, name=F.col("name"), type=F.lit("API"), technology=F.lit("REST API Endpoint"))])
     seen = stage(early.unionByName(late)).df
     # one global order of sightings: family, then path, then name
     order = F.concat_ws("|", F.lpad(F.col("rank").cast("string"), 3, "0"), F.coalesce("path", F.lit("")), "node_id")
     nodes = rg.merge_nodes(seen.withColumn("pos", order).withColumn("description", F.lit(None).cast("string")))
+    nodes = _with_fallback(files, stage(nodes).df)
     home = seen.filter("folder IS NOT NULL").groupBy(G, "node_id").agg(F.min("folder").alias("folder"))
     nodes = stage(nodes.join(home, [G, "node_id"], "left")).df
     node_files = seen.filter("path IS NOT NULL").select(G, "node_id", "path").distinct()
@@ -73,19 +79,31 @@ def extract_graph(files: DataFrame) -> dict[str, DataFrame]:
                          (line if line is not None else F.lit(None).cast("int")).alias("ev_line"))
     c = F.col
     of = lambda df, order: edge(df, c("src"), c("dst"), c("type"), c("protocol"), order, c("path"), c("line"))
-    markers = x.marker_hits(lines).join(owner.select(G, "path", c("node_id").alias("src")), [G, "path"])
+    markers = marks.join(owner.select(G, "path", c("node_id").alias("src")), [G, "path"])
     edges = union_all([
         of(c_edges, 1), edge(from_manifest, c("src"), c("dst"), c("type"), c("protocol"), 2, c("path")), of(k_edges, 3),
         of(x.owned_edges(api, owner, "USES", "Internal Route"), 4),
-        of(x.owned_edges(x.host_calls(lines), owner, "CALLS", "HTTP / JSON"), 5),
+        of(x.owned_edges(hosts, owner, "CALLS", "HTTP / JSON"), 5),
         edge(markers, c("src"), c("node_id"), c("type"), c("protocol"), 6, c("path"), c("line")),
         edge(rs.lift_to_nodes(deps, owner), c("src"), c("dst"), c("type"), F.lit("Cross-Component Reference"), 7, c("ev_file"), c("ev_line")),
-        edge(rs.lift_module_dependencies(module_deps, nodes), c("src"), c("dst"), c("type"), F.lit("Internal Import"), 8)])
+        edge(rs.lift_module_dependencies(module_deps, nodes), c("src"), c("dst"), c("type"), F.lit("Internal Import"), 8),
+        of(x.owned_edges(open_api, owner, "EXPOSES", "HTTP Endpoint"), 9), of(x.repository_stores(lines, nodes, owner), 10)])
     at = F.concat_ws("|", F.lpad(c("rank").cast("string"), 3, "0"), F.coalesce("ev_file", F.lit("")),
                      F.lpad(F.coalesce(c("ev_line"), F.lit(0)).cast("string"), 9, "0"))
     unique = rg.dedupe_edges(edges.withColumn("pos", at).drop("rank")).withColumn(
         "edge_id", F.concat_ws("-", F.lit("rel"), "src", "dst", F.lower("type")))
     kept, dangling = rg.prune_dangling(nodes, unique)
-    return {"files": files, "lines": lines, "hits": hits, "resolved": resolved, "routes": route, "calls": calls, "deps": deps,
+    kept = stage(kept).df
+    mapped = seen.filter("path IS NOT NULL").groupBy(G, "path").agg(F.min("name").alias("node_name"))
+    return {"files": files, "lines": lines, "hits": hits, "resolved": resolved, "routes": route, "java_routes": java_routes, "calls": calls, "deps": deps,
             "modules": mods, "file_module": file_module, "module_deps": module_deps, "nodes": nodes, "owner": owner,
-            "edges": stage(kept).df, "dangling": dangling, "manifests": found, "subsystem_files": parts}
+            "edges": kept, "dangling": dangling, "manifests": found, "subsystem_files": parts,
+            "frameworks": x.frameworks(files), "inventory": inv.inventory(files), "status": inv.analysis_status(files, mapped, deps),
+            "flags": inv.limited_flags(files, nodes, kept), "stats": rg.model_stats(nodes, kept)}
+
+
+def _with_fallback(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes, and one application for each graph in which nothing was found."""
+    core = inv.fallback_nodes(files, nodes, files.select(G, F.col(G).alias("archive")).distinct())
+    return nodes.unionByName(core.select(
+        *[F.col(c) if c in core.columns else F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns]))
