@@ -176,12 +176,12 @@ for v in (1, 2):
     cte(f"hub_v{v}", f"SELECT g, v FROM (SELECT graph_id AS g, src AS v FROM e_v{v} UNION ALL SELECT graph_id, dst FROM e_v{v}) x GROUP BY g, v HAVING count(*) >= 3")
 cte("new_hub", "SELECT a.g, a.v FROM hub_v2 a WHERE NOT EXISTS (SELECT 1 FROM hub_v1 b WHERE b.g = a.g AND b.v = a.v)")
 cte("new_cut", "SELECT a.g, a.v FROM cutv_v2 a WHERE NOT EXISTS (SELECT 1 FROM cutv_v1 b WHERE b.g = a.g AND b.v = a.v)")
-cte("cbook", """SELECT g, 1 AS line_no, 'Broken Required Dependency Detected' AS factor, 15.0 AS each, count(*) AS n FROM broke GROUP BY g
-UNION ALL SELECT g, 2, 'Introduced New Architectural Dependencies', 4.0, count(*) FROM ediff WHERE ch = 'added' GROUP BY g
-UNION ALL SELECT g, 3, 'Decommissioned Obsolete Dependencies', -3.0, count(*) FROM pruned GROUP BY g
-UNION ALL SELECT g, 4, 'New External Third-Party Integration', 6.0, count(*) FROM ndiff WHERE ch = 'added' AND type = 'External System' GROUP BY g
-UNION ALL SELECT g, 5, 'High-Centrality Architectural Bottleneck Created', 8.0, count(*) FROM new_hub GROUP BY g
-UNION ALL SELECT g, 6, 'Single Point of Failure (SPOF) Introduced', 12.0, count(*) FROM new_cut GROUP BY g""")
+cte("cbook", """SELECT g, 1 AS line_no, 'callers_cut_off' AS factor, 15.0 AS each, count(*) AS n FROM broke GROUP BY g
+UNION ALL SELECT g, 2, 'links_added', 4.0, count(*) FROM ediff WHERE ch = 'added' GROUP BY g
+UNION ALL SELECT g, 3, 'links_dropped', -3.0, count(*) FROM pruned GROUP BY g
+UNION ALL SELECT g, 4, 'externals_added', 6.0, count(*) FROM ndiff WHERE ch = 'added' AND type = 'External System' GROUP BY g
+UNION ALL SELECT g, 5, 'hubs_new', 8.0, count(*) FROM new_hub GROUP BY g
+UNION ALL SELECT g, 6, 'cut_points_new', 12.0, count(*) FROM new_cut GROUP BY g""")
 cte("rdelta", f"""SELECT a.g, a.score AS s1, b.score AS s2, round(b.score - a.score, 1) AS delta FROM lsys_v1 a JOIN lsys_v2 b ON b.g = a.g""")
 
 
@@ -248,7 +248,7 @@ def new_bottlenecks(spark, sf):
 
 
 @query("h13_compare_ledger", """SELECT g AS graph_id, line_no, factor, round(CAST(n * each AS DOUBLE), 1) AS points, n AS evidence_count FROM cbook
-UNION ALL SELECT DISTINCT g, 0, 'Stable Architecture Configuration', CAST(0 AS DOUBLE), 0 FROM ndiff WHERE g NOT IN (SELECT g FROM cbook)""")
+UNION ALL SELECT DISTINCT g, 0, 'unchanged', CAST(0 AS DOUBLE), 0 FROM ndiff WHERE g NOT IN (SELECT g FROM cbook)""")
 def compare_ledger(spark, sf):
     return comparison(spark, sf)["ledger"]
 
@@ -315,7 +315,7 @@ cte("wbook", f"SELECT * FROM wbook0 UNION ALL SELECT h, 0, '{wi.NEUTRAL}', CAST(
 cte("wscore", """SELECT *, greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), round(current_score + delta, 1))) AS new_score FROM (
 SELECT b.h, b.ledger_sum, b.has_broken, c.score AS current_score, coalesce(m.score, 0) AS modelled_score,
  CASE WHEN b.has_broken THEN b.ledger_sum ELSE round(coalesce(m.score, 0) - c.score, 1) END AS delta
-FROM (SELECT h, round(sum(points), 1) AS ledger_sum, bool_or(factor = 'Broken Required Dependency Detected') AS has_broken FROM wbook GROUP BY h) b
+FROM (SELECT h, round(sum(points), 1) AS ledger_sum, bool_or(factor = 'callers_cut_off') AS has_broken FROM wbook GROUP BY h) b
 JOIN sysrisk_wb c ON c.g = b.h LEFT JOIN sysrisk_wh m ON m.g = b.h) x""")
 
 

@@ -202,14 +202,14 @@ def new_in_second(v1: DataFrame, v2: DataFrame) -> DataFrame:
 
 # fixed values: points per item of each compare factor, in ledger order
 COMPARE_FACTORS = (
-    ("Broken Required Dependency Detected", 15.0),
-    ("Introduced New Architectural Dependencies", 4.0),
-    ("Decommissioned Obsolete Dependencies", -3.0),
-    ("New External Third-Party Integration", 6.0),
-    ("High-Centrality Architectural Bottleneck Created", 8.0),
-    ("Single Point of Failure (SPOF) Introduced", 12.0),
+    ("callers_cut_off", 15.0),
+    ("links_added", 4.0),
+    ("links_dropped", -3.0),
+    ("externals_added", 6.0),
+    ("hubs_new", 8.0),
+    ("cut_points_new", 12.0),
 )
-STABLE = "Stable Architecture Configuration"
+STABLE = "unchanged"
 
 
 def ledger(graphs: DataFrame, items: list[tuple[str, float, DataFrame]], neutral: str) -> DataFrame:

@@ -81,13 +81,33 @@ def graph_size(vertex: DataFrame, link: DataFrame) -> DataFrame:
         G, "node_count", F.coalesce("edge_count", F.lit(0)).alias("edge_count"))
 
 
+HOT_ROWS = 100_000  # rows of one key that a task may get, while that makes fewer than as many hot keys
+
+
+def spread_join(rows: DataFrame, n_rows: int, table: DataFrame, keys: list[str], hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``table`` (one row per key), where one key may hold a third of all rows.
+
+    Keys with more than ``hot`` rows, fewer than ``n_rows / hot`` by count, are sent to all tasks, so their rows stay where
+    they are; all others meet in a shuffle.
+    """
+    least = max(hot, n_rows // HOT_ROWS)
+    if n_rows <= least:
+        return rows.join(table, keys)
+    busy = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).select(*keys))
+    if not busy.rows:
+        return rows.join(table, keys)
+    few = F.broadcast(busy.df)
+    sent = stage(table.join(few, keys, "left_semi")).df
+    return rows.join(F.broadcast(sent), keys).unionByName(rows.join(few, keys, "left_anti").join(table, keys))
+
+
 # --- components ---------------------------------------------------------------------------
 
-def weak_labels(vertex: DataFrame, link: DataFrame) -> DataFrame:
+def weak_labels(vertex: DataFrame, link: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """Smallest node id of each weak component, by large-star / small-star rounds.
 
-    Rounds grow with the logarithm of the component size.  Each star is a partial
-    minimum per node and a join back, so a hub's neighbours stay spread out.
+    Rounds grow with the logarithm of the component size.  Each star is a partial minimum per node and a join back;
+    the neighbours of a hub, as the root of a large component becomes, stay spread out in both.
     """
     pairs = link.filter(F.col("src") != F.col("dst")).select(
         G, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("m")).distinct()
@@ -96,11 +116,11 @@ def weak_labels(vertex: DataFrame, link: DataFrame) -> DataFrame:
     while now.rows:
         both = now.df.unionByName(now.df.select(G, F.col("m").alias("u"), F.col("u").alias("m")))
         low = both.groupBy(G, "u").agg(F.least(F.min("m"), F.first("u")).alias("root"))
-        large = (both.filter(F.col("m") > F.col("u")).join(low, [G, "u"])
+        large = (spread_join(both.filter(F.col("m") > F.col("u")), now.rows, low, [G, "u"], hot)
                  .select(G, F.col("m").alias("u"), F.col("root").alias("m")).distinct())
         large = stage(large)
         low = large.df.groupBy(G, "u").agg(F.min("m").alias("root"))
-        joined = large.df.join(low, [G, "u"])
+        joined = spread_join(large.df, large.rows, low, [G, "u"], hot)
         small = joined.select(G, F.explode(F.array("u", "m")).alias("u"), F.col("root").alias("m"))
         after = stage(small.filter(F.col("u") != F.col("m")).distinct(), **facts)
         large.drop()

@@ -341,3 +341,14 @@ def test_longest_paths_through_components(spark):
                 want[p[end]] = p
         got = {r["node_id"]: r["path"] for r in wk.longest_paths(vertex, link, upstream=upstream).collect()}
         assert got == want
+
+
+def test_hubs_are_spread(spark):
+    """One component of all nodes around a hub, and two more: the same labels when the hub's rows stay where they are."""
+    pairs = [f"h>{i:03d}" for i in range(150)] + [f"{i:03d}>{i + 200}" for i in range(150)] + ["x>y", "y>z", "p>q"]
+    edges = spark.createDataFrame(edge_rows("hub", pairs), EDGE_SCHEMA)
+    link = gr.links(edges)
+    ends = link.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    want = {r["node_id"]: r["component"] for r in gr.weak_labels(ends, link).collect()}
+    assert {r["node_id"]: r["component"] for r in gr.weak_labels(ends, link, hot=5).collect()} == want
+    assert set(want.values()) == {"000", "x", "p"} and want["349"] == want["h"] == "000"

@@ -71,10 +71,10 @@ def test_impact_and_ledger(compared):
     assert hit == {"api-gw"}
     assert compared["delta"].filter("graph_id = 'stripe'").first()["delta"] > 0
     book = {(r["graph_id"], r["factor"]): r["points"] for r in compared["ledger"].collect()}
-    assert book[("broken", "Broken Required Dependency Detected")] == 15.0
-    assert ("safe", "Broken Required Dependency Detected") not in book
-    assert book[("same", "Stable Architecture Configuration")] == 0.0
-    assert book[("stripe", "New External Third-Party Integration")] == 6.0
+    assert book[("broken", "callers_cut_off")] == 15.0
+    assert ("safe", "callers_cut_off") not in book
+    assert book[("same", "unchanged")] == 0.0
+    assert book[("stripe", "externals_added")] == 6.0
 
 
 CHANGE_SCHEMA = ("graph_id string, scenario_id string, seq int, action string, node_id string, name string, type string, "
@@ -233,9 +233,9 @@ def test_many_cuts_of_one_pair_need_no_more_jobs(spark):
 
 def test_what_if_ledger(simulated):
     factors = {s: {r["factor"] for r in of(simulated["ledger"], s)} for s in ("add", "cut", "drop", "none")}
-    assert any("Coupling" in f for f in factors["add"])
-    assert "Reduced Dependency Coupling" in factors["cut"]
-    assert "Broken Required Dependency Detected" in factors["drop"]
+    assert "links_more" in factors["add"]
+    assert "links_fewer" in factors["cut"]
+    assert "callers_cut_off" in factors["drop"]
     assert factors["none"] == {x.NEUTRAL}
     score = of(simulated["score"], "drop")[0]
     assert score["delta"] == score["ledger_sum"] and 0 <= score["new_score"] <= 100
