@@ -259,6 +259,13 @@ def risk_delta(spark, sf):
     return comparison(spark, sf)["delta"]
 
 
+@query("h07_reversed_delta", """SELECT g AS graph_id, s2 AS original_score, s1 AS changed_score, CASE WHEN delta = 0 THEN 0 ELSE -delta END AS delta,
+ CASE WHEN delta < 0 THEN 'Higher structural risk' WHEN delta > 0 THEN 'Lower structural risk' ELSE 'No structural risk change' END AS shift FROM rdelta""")
+def reversed_delta(spark, sf):
+    row = d.reversed_delta(comparison(spark, sf)["delta"]).select("graph_id", "original_score", "changed_score", "delta", "shift")
+    return row.withColumn("delta", F.col("delta") + F.lit(0.0))  # no negative zero
+
+
 @query("h20_compare_story", f"""SELECT x.g AS graph_id, l.n AS line_no, CASE l.n
  WHEN 0 THEN 'Components: ' || a.added_nodes || ' new, ' || a.removed_nodes || ' gone, ' || a.modified_nodes || ' changed; links: ' || coalesce(e.added_edges, 0) || ' new, ' || coalesce(e.removed_edges, 0) || ' gone.'
  WHEN 1 THEN coalesce(c.n, 0) || ' component(s) differ; ' || coalesce(i.n, 0) || ' reach them.'

@@ -132,6 +132,19 @@ def reversed_diff(diff: DataFrame) -> DataFrame:
         "version_origin", swap("version_origin", "V1", "V2"))
 
 
+def reversed_delta(delta: DataFrame) -> DataFrame:
+    """The risk delta read from V2 to V1: scores and levels change sides, the difference its sign."""
+    return delta.select(
+        G, F.col("changed_score").alias("original_score"), F.col("changed_level").alias("original_level"),
+        F.col("original_score").alias("changed_score"), F.col("original_level").alias("changed_level"), (-F.col("delta")).alias("delta"),
+        _shift(-F.col("delta")).alias("shift"))
+
+
+def _shift(delta):
+    return (F.when(delta > 0, "Higher structural risk").when(delta < 0, "Lower structural risk")
+            .otherwise("No structural risk change"))
+
+
 def reconciled(diff: DataFrame, v1_keys: DataFrame, v2_keys: DataFrame) -> DataFrame:
     """Check that the change counts add up to the distinct keys of each version."""
     c = counts(diff, "items")
@@ -239,9 +252,7 @@ def risk_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     a = before.select(G, F.col("system_risk").alias("original_score"), F.col("system_level").alias("original_level"))
     b = after.select(G, F.col("system_risk").alias("changed_score"), F.col("system_level").alias("changed_level"))
     delta = F.round(F.col("changed_score") - F.col("original_score"), 1)
-    return a.join(b, G).withColumn("delta", delta).withColumn(
-        "shift", F.when(F.col("delta") > 0, "Higher structural risk")
-        .when(F.col("delta") < 0, "Lower structural risk").otherwise("No structural risk change"))
+    return a.join(b, G).withColumn("delta", delta).withColumn("shift", _shift(F.col("delta")))
 
 
 def compare_story(summary: DataFrame, delta: DataFrame, changed: DataFrame, impacted: DataFrame) -> DataFrame:

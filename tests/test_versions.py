@@ -239,3 +239,11 @@ def test_what_if_ledger(simulated):
     assert factors["none"] == {x.NEUTRAL}
     score = of(simulated["score"], "drop")[0]
     assert score["delta"] == score["ledger_sum"] and 0 <= score["new_score"] <= 100
+
+
+def test_delta_read_backwards(compared):
+    there = {r["graph_id"]: r for r in compared["delta"].collect()}
+    for r in d.reversed_delta(compared["delta"]).collect():
+        one = there[r["graph_id"]]
+        assert (r["original_score"], r["changed_score"], r["delta"]) == (one["changed_score"], one["original_score"], -one["delta"])
+        assert {one["shift"], r["shift"]} in ({"Higher structural risk", "Lower structural risk"}, {"No structural risk change"})
