@@ -27,7 +27,7 @@ from pyspark.sql.types import StringType
 
 from .common import map_texts
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 CHUNK_SYMBOLS = 400_000
 CHUNK_CHARS = 1_000_000
 

@@ -34,7 +34,25 @@ def fold(key: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def by_chunks(texts: Iterable[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` for mapInArrow; a worker that waits for its next task then gives the memory of this one back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library keeps it
+
+    return run
+
+
+def by_chunks(texts: Iterable[str], chars: int = 2_000_000) -> Iterator[list[str]]:
     """Texts in lists of about so many characters, so that memory follows the chunk and not the batch."""
     held: list[str] = []
     size = 0
@@ -82,7 +100,7 @@ def map_texts(df: DataFrame, per_text: Callable[[], Callable[[list[str]], dict]]
                 cols += [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], type=arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, n_ids: int, key: str = "doc_id") -> DataFrame:
@@ -102,7 +120,7 @@ def without_ids(docs: DataFrame, ids: DataFrame, n_ids: int, key: str = "doc_id"
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept up to a bound."""
 
-    BOUND = 250_000
+    BOUND = 120_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

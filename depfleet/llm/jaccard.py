@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from depfleet.staging import Staged, passing, stage
 
 from . import bloom
-from .common import WordHashes, by_chunks, mixed, without_ids, words_of
+from .common import WordHashes, by_chunks, mixed, tidy, without_ids, words_of
 
 SLOT_BITS = 22          # the frequency table: 4 M slots, one byte each once read
 SLOT_PARTS = 256
@@ -129,9 +129,9 @@ def describe(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
             levels = np.minimum(255, np.round(6 * np.log2(1.0 + counts))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["part", "levels"])
 
-    told = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, cls long, n long, part int, counts binary")).df
+    told = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, cls long, n long, part int, counts binary")).df
     levels = np.zeros((SLOT_PARTS, (1 << SLOT_BITS) // SLOT_PARTS), np.uint8)
-    parts = told.where("part IS NOT NULL").select("part", "counts").repartition(32, "part").mapInArrow(add, "part int, levels binary")
+    parts = told.where("part IS NOT NULL").select("part", "counts").repartition(32, "part").mapInArrow(tidy(add), "part int, levels binary")
     for part, packed in parts.collect():  # one byte a slot: 4 MB
         levels[part] = np.frombuffer(bytes(packed), np.uint8)
     return told.where("part IS NULL").select("doc_id", "cls", "n"), levels.reshape(-1)
@@ -201,10 +201,10 @@ def post(docs: DataFrame, levels: np.ndarray, rule: Rule) -> Staged:
             if len(rows[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], schema=schema)
 
-    postings = docs.select("text").mapInArrow(emit, "token long, cls long, n int, pos int")
+    postings = docs.select("text").mapInArrow(tidy(emit), "token long, cls long, n int, pos int")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = postings.repartition(parts, "token").sortWithinPartitions("token", "pos", "n", "cls")
-    return stage(dealt.mapInArrow(keep, "token long, cls long, n int, pos int, first long, first_n int"))
+    return stage(dealt.mapInArrow(tidy(keep), "token long, cls long, n int, pos int, first long, first_n int"))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -233,7 +233,7 @@ def read_classes(docs: DataFrame, told: DataFrame, wanted: DataFrame, rule: Rule
             rows = [(set_key(s), len(s), bitmap(s) if what == "bits" else s.tobytes()) for _, s in _sets(batch, 1, hashes, rule)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(schema)[1:]))], schema=schema)
 
-    read = likely.mapInArrow(run, f"doc_id long, cls long, n int, {what} binary")
+    read = likely.mapInArrow(tidy(run), f"doc_id long, cls long, n int, {what} binary")
     return stage(read.join(chosen.df, ["cls", "doc_id"], "left_semi").dropDuplicates(["cls", "doc_id"]).drop("doc_id")).df
 
 
@@ -246,7 +246,7 @@ def compared(pairs: DataFrame, classes: DataFrame, what: str, holds) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one, two = (classes.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col(what).alias(f"w{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(tidy(run), "a long, b long")
 
 
 def may_link(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
