@@ -27,9 +27,9 @@ from pyspark.sql.types import StringType
 
 from .common import map_texts
 
-CACHE_WORDS = 120_000
+CACHE_WORDS = 250_000
 CHUNK_SYMBOLS = 400_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 2_000_000
 
 # fixed value: how the byte-level pre-tokenizer cuts text
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
