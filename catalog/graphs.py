@@ -312,21 +312,43 @@ def system_risk(spark, sf):
     return analysis(spark, sf)["system"]
 
 
-@query("g08_insights", """SELECT c.g AS graph_id, 2 AS line_no, CASE WHEN s.n IS NULL THEN 'Single points of failure: none.'
+# one line of the insights each, and all of them
+INSIGHTS = {
+    "spof": (2, """SELECT c.g AS graph_id, 2 AS line_no, CASE WHEN s.n IS NULL THEN 'Single points of failure: none.'
  ELSE 'Single points of failure: ' || s.n || '; the worst is ''' || s.nm || ''', which cuts ' || s.lost || ' pair(s).' END AS insight
-FROM cx c LEFT JOIN (SELECT g, count(*) AS n, min_by(name, (-lost, pos)) AS nm, max(lost) AS lost FROM spof WHERE is_spof GROUP BY g) s ON s.g = c.g
-UNION ALL SELECT g, 3, 'First cycle: ' || array_to_string(list_append(path, path[1]), ' -> ') || '.' FROM cyc WHERE k = 1
-UNION ALL SELECT g, 4, 'Links at risk: ' || count(*) || '; the first is ''' || min_by(src_name || ' -> ' || dst_name, rk) || '''.' FROM erisk WHERE lvl IN ('CRITICAL', 'HIGH') GROUP BY g
-UNION ALL SELECT g, 5, 'Complexity: ' || rating || '; density ' || printf('%.1f', density * 100) || '%, depth ' || depth || '.' FROM cx
-UNION ALL SELECT g, 1, 'Highest criticality: ''' || name || ''' with ' || printf('%.2f', floor(score * 100 + 0.5000001) / 100) || ' (' || coalesce(nullif(array_to_string(list_filter([
+FROM cx c LEFT JOIN (SELECT g, count(*) AS n, min_by(name, (-lost, pos)) AS nm, max(lost) AS lost FROM spof WHERE is_spof GROUP BY g) s ON s.g = c.g"""),
+    "cycle": (3, """SELECT g, 3, 'First cycle: ' || array_to_string(list_append(path, path[1]), ' -> ') || '.' FROM cyc WHERE k = 1"""),
+    "links": (4, """SELECT g, 4, 'Links at risk: ' || count(*) || '; the first is ''' || min_by(src_name || ' -> ' || dst_name, rk) || '''.' FROM erisk WHERE lvl IN ('CRITICAL', 'HIGH') GROUP BY g"""),
+    "overall": (5, """SELECT g, 5, 'Complexity: ' || rating || '; density ' || printf('%.1f', density * 100) || '%, depth ' || depth || '.' FROM cx"""),
+    "criticality": (1, """SELECT g, 1, 'Highest criticality: ''' || name || ''' with ' || printf('%.2f', floor(score * 100 + 0.5000001) / 100) || ' (' || coalesce(nullif(array_to_string(list_filter([
   CASE WHEN ncb >= 0.60 THEN 'betweenness ' || printf('%.4f', cb) END,
   CASE WHEN nind >= 0.60 OR ind >= 3 THEN 'fan-in ' || ind END,
   CASE WHEN is_spof THEN 'only route' END,
   CASE WHEN blast >= 4 OR nbl >= 0.60 THEN 'blast radius ' || blast END,
-  CASE WHEN npr >= 0.60 THEN 'rank ' || printf('%.4f', pr) END], lambda x: x IS NOT NULL)[1:2], ', '), ''), 'no signal stands out') || ').' FROM crit WHERE rk = 1""")
+  CASE WHEN npr >= 0.60 THEN 'rank ' || printf('%.4f', pr) END], lambda x: x IS NOT NULL)[1:2], ', '), ''), 'no signal stands out') || ').' FROM crit WHERE rk = 1"""),
+}
+
+
+def _insight_rows(spark, sf):
+    def build():
+        a = analysis(spark, sf)
+        return stage(sc.insights(a["criticality"], a["spof"], cycle_list(spark, sf), a["edge_risk"], a["complexity"])).df
+    return memo(spark, sf, "insights", build)
+
+
+@query("g08_insights", "\nUNION ALL ".join(part for _, part in INSIGHTS.values()))
 def insights(spark, sf):
-    a = analysis(spark, sf)
-    return sc.insights(a["criticality"], a["spof"], cycle_list(spark, sf), a["edge_risk"], a["complexity"])
+    return _insight_rows(spark, sf)
+
+
+def _one_line(name, line_no, sql):
+    @query(f"g08_insight_{name}", f"SELECT * FROM ({sql}) x(graph_id, line_no, insight)")
+    def one(spark, sf):
+        return _insight_rows(spark, sf).filter(F.col("line_no") == line_no)
+
+
+for _name, (_line, _sql) in INSIGHTS.items():
+    _one_line(_name, _line, _sql)
 
 
 FINDINGS = """SELECT g AS graph_id, 'spof-' || v AS finding_id, CASE WHEN severity = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS severity, 'SPOF' AS category, v AS component_id, aff_n AS blast_radius, 'Single point of failure: ' || name AS title FROM spof WHERE is_spof
