@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Items and documents are cut into passages of WIDTH words.  Passage vectors are TF-IDF over the terms of the benchmark, with
-document frequencies counted over all documents.  A distributed randomised SVD of the item passages and a bounded sample of
-document passages gives the latent space.  In every document, the passages around which the text has the words and IDF mass
+document frequencies counted over all documents.  A distributed randomised SVD of all item passages gives the latent space; of
+the documents it needs the frequencies alone, so nothing is sampled.  In every document, the passages around which the text has the words and IDF mass
 that a leak must have are projected, and item passages by cosine in that space become candidates.  Each place of a candidate
 is tried, the most alike first; it is a leak if the longest common
 subsequence of the item with the text around it covers ``copy`` of the item, or ``paraphrase`` of it and the item's answer
@@ -30,8 +30,8 @@ from .common import by_chunks, tidy, without_ids
 
 WIDTH, STRIDE, ITEM_STRIDE = 16, 4, 4
 BLOCK_ITEMS = 4096        # items searched at once
-FIT_PASSAGES = 20_000     # sampled document passages that the space is fitted on, besides the items' own
 RANK, OVERSAMPLE = 128, 16
+FLOOR = 1e-5              # least share of the largest squared singular value
 COSINE = 0.6
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.6
 RARE = 0.8                # times the share of an item's words in place: the share of its squared IDF mass that must be there
@@ -149,7 +149,9 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int) -> np.ndarra
     sketch = np.linalg.qr(product(sketch))[0]
     small = sketch.T @ product(sketch)  # the matrix's square in the sketched space
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return (sketch @ vectors[:, np.argsort(values)[::-1][:rank]]).astype(np.float32)
+    order = np.argsort(values)[::-1][:rank]
+    order = order[values[order] > FLOOR * values.max(initial=0.0)]  # the passages may span fewer directions; others are noise
+    return (sketch @ vectors[:, order]).astype(np.float32)
 
 
 def build_index(docs: DataFrame, items: list[tuple[int, str]]) -> Index:
@@ -163,22 +165,8 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]]) -> Index:
     codes = [np.array([vocabulary[t] for t in terms], np.int32) for _, terms, _ in held]
     spans = [(k, c[s : s + WIDTH]) for k, c in enumerate(codes) for s in windows(len(c), ITEM_STRIDE)]
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, draw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [c for t in terms_of(text or "") if (c := vocabulary.get(t)) is not None]
-                if words:
-                    at = draw % max(1, len(words) - WIDTH + 1)
-                    rows.append(np.array(words[at : at + WIDTH], np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["terms"])
-
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).cast("int")
-    chosen = docs.where(draw < int((1 << 30) * min(1.0, FIT_PASSAGES / max(n_docs, 1)))).select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("int"))
-    spark = docs.sparkSession
-    own = spark.createDataFrame([(c.tobytes(),) for _, c in spans], "terms binary")
-    passages = stage(chosen.mapInArrow(tidy(sample), "terms binary").unionByName(own)).df.repartition(4)
-    space = randomised_svd(passages, idf[:-1], min(RANK, len(vocabulary)))
+    own = docs.sparkSession.createDataFrame([(c.tobytes(),) for _, c in spans], "terms binary")
+    space = randomised_svd(stage(own).df.repartition(4), idf[:-1], min(RANK, len(vocabulary)))
     vectors = np.zeros((len(spans), space.shape[1]), np.float32)
     for row, (_, c) in enumerate(spans):
         vectors[row] = (idf[c][:, None] * space[c]).sum(0)

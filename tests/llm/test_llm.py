@@ -266,6 +266,17 @@ def test_decontamination_recall_at_two_sizes(spark, size):
     assert len(brute) >= 10 and {(r.doc_id, r.item_id) for r in got.collect()} == brute
 
 
+def test_decontamination_space_needs_no_sample(spark):
+    """Documents with the same words in another order have the same frequencies, so the same space and item vectors."""
+    rng = np.random.default_rng(8)
+    words = [f"term{i}" for i in range(200)]
+    items = [(i, " ".join(rng.choice(words, 40))) for i in range(150)]
+    texts = [" ".join(rng.choice(words, 50)) for _ in range(300)]
+    a, b = (decontaminate.build_index(table(spark, t), items) for t in (texts, [" ".join(sorted(x.split())) for x in texts]))
+    assert np.array_equal(a.idf, b.idf) and len(a.passages) > 1000
+    assert np.allclose(a.passages @ a.passages.T, b.passages @ b.passages.T, atol=1e-3)
+
+
 def test_common_length_equals_dynamic_programme():
     rng = np.random.default_rng(1)
     for _ in range(50):
