@@ -31,6 +31,7 @@ from .common import by_chunks, tidy, without_ids
 WIDTH, STRIDE, ITEM_STRIDE = 16, 4, 4
 BLOCK_ITEMS = 4096        # items searched at once
 RANK, OVERSAMPLE = 128, 16
+CELLS = 1 << 22           # cosines of document and item passages at once: 16 MB
 FLOOR = 1e-5              # least share of the largest squared singular value
 COSINE = 0.6
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.6
@@ -243,8 +244,9 @@ class Search:
         some &= inside[end] > inside[at]  # without a term of the benchmark a passage has no vector
         at, end, doc = at[some], end[some], doc[some]
         hits: list[tuple[np.ndarray, ...]] = []
-        for lo in range(0, len(at), 20_000):
-            a, e, d = at[lo : lo + 20_000], end[lo : lo + 20_000], doc[lo : lo + 20_000]
+        step = max(1, CELLS // max(len(self.x.passages), 1))
+        for lo in range(0, len(at), step):
+            a, e, d = at[lo : lo + step], end[lo : lo + step], doc[lo : lo + step]
             places = a[:, None] + np.arange(WIDTH)
             terms = np.where(places < e[:, None], flat[np.minimum(places, len(flat) - 1)], self.outside)
             vectors = np.zeros((len(a), self.projected.shape[1]), np.float32)
