@@ -16,6 +16,7 @@ fewer words than a shingle has its whole sequence as one; a null key is in no co
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log2
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from depfleet.staging import Staged, passing, stage
 
 from . import bloom
-from .common import WordHashes, by_chunks, mixed, tidy, without_ids, words_of
+from .common import by_chunks, mixed, text_words, tidy, without_ids
 
 SLOT_BITS = 22          # the frequency table: 4 M slots, one byte each once read
 SLOT_PARTS = 256
@@ -55,16 +56,19 @@ class Rule:
         return (100 + self.percent) * common >= self.percent * (a + b)
 
 
-def shingles(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a word list."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(words)
-    width = min(size, len(h))
-    out = np.full(len(h) - width + 1, width, np.uint64)
-    for k in range(width):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
-    return np.unique(out)
+def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    h, at = text_words(texts)
+
+    def rolled(h: np.ndarray, width: int) -> np.ndarray:
+        out = np.full(max(len(h) - width + 1, 0), width, np.uint64)
+        for k in range(width if len(out) else 0):
+            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
+        return out
+
+    every = rolled(h, size)  # also those across two texts, which no text takes
+    for lo, hi in itertools.pairwise(at.tolist()):
+        yield np.unique(every[lo : hi - size + 1] if hi - lo >= size else rolled(h[lo:hi], hi - lo) if hi > lo else h[:0])
 
 
 def set_key(s: np.ndarray) -> int:
@@ -75,19 +79,16 @@ def set_key(s: np.ndarray) -> int:
     return int(mixed(mixed(both[:1] + both[1:2]) + both[2:])[0:1].view(np.int64)[0])
 
 
-def _sets(batch: pa.RecordBatch, at: int, hashes: WordHashes, rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
-    row = 0
+def _sets(batch: pa.RecordBatch, at: int, rule: Rule) -> Iterator[np.ndarray]:
     for chunk in by_chunks(t or "" for t in batch.column(at).to_pylist()):
-        for text in chunk:
-            yield row, shingles(words_of(text), hashes, rule.words)
-            row += 1
+        yield from shingle_sets(chunk, rule.words)
 
 
 def describe(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, cls, n) of every row, and the frequency level of every slot; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, slots, held, size = WordHashes(), np.zeros(1 << SLOT_BITS, np.int64), [], 0
+        slots, held, size = np.zeros(1 << SLOT_BITS, np.int64), [], 0
         schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
         def flush():
@@ -98,7 +99,7 @@ def describe(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
 
         for batch in batches:
             found = []
-            for _, s in _sets(batch, 1, hashes, rule):
+            for s in _sets(batch, 1, rule):
                 found.append((set_key(s), len(s)))
                 held.append(s)
                 size += len(s)
@@ -142,10 +143,10 @@ def post(docs: DataFrame, levels: np.ndarray, rule: Rule) -> Staged:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, order, seen = WordHashes(), shared.value, set()
+        order, seen = shared.value, set()
         for batch in batches:
             tokens, classes, sizes, places = [], [], [], []
-            for _, s in _sets(batch, 0, hashes, rule):
+            for s in _sets(batch, 0, rule):
                 n = len(s)
                 if not n or (key := set_key(s)) in seen:
                     continue
@@ -227,10 +228,9 @@ def read_classes(docs: DataFrame, told: DataFrame, wanted: DataFrame, rule: Rule
                             bloom.build(chosen.df, F.col("doc_id"), blocks), blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), (what, pa.binary())])
         for batch in batches:
-            rows = [(set_key(s), len(s), bitmap(s) if what == "bits" else s.tobytes()) for _, s in _sets(batch, 1, hashes, rule)]
+            rows = [(set_key(s), len(s), bitmap(s) if what == "bits" else s.tobytes()) for s in _sets(batch, 1, rule)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(schema)[1:]))], schema=schema)
 
     read = likely.mapInArrow(tidy(run), f"doc_id long, cls long, n int, {what} binary")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from depfleet.llm import (bloom, bpe, decontaminate, html_text, jaccard, lm_bloom, quality, secret_scan, stages, token_counts, toxicity,  # noqa: E402
+from depfleet.llm import (bloom, bpe, common, decontaminate, html_text, jaccard, lm_bloom, quality, secret_scan, stages, token_counts, toxicity,  # noqa: E402
                           url_filter)
 from depfleet.llm.common import fold, mixed  # noqa: E402
 from depfleet.staging import stage  # noqa: E402
@@ -290,6 +290,39 @@ def test_common_length_equals_dynamic_programme():
         assert decontaminate.common_length(a, b) == row[-1]
 
 
+def test_words_of_many_texts_hash_as_one_by_one():
+    """All lengths on both sides of each form of the hash, every white space, zero bytes; texts without words between others."""
+    rng = np.random.default_rng(11)
+    odd = ["", " \t\n\x0b\x0c\r", "\x00 a\x00b\u00a0c", " ".join("Qz\u00e9\u4e2d"[i % 4] * i for i in range(1, 70)), "x" * 300,
+           *(" ".join("".join(rng.choice(list("aZ0\u00df\U0001f600"), k)) for k in rng.integers(1, 40, 20)) for _ in range(50)), ""]
+    hashes = common.WordHashes()
+    for texts in (odd, [], [""], ["end"]):
+        want = [hashes.of(common.words_of(t)) for t in texts]
+        got, at = common.text_words(texts)
+        assert np.array_equal(got, np.concatenate([*want, np.zeros(0, np.uint64)])) and np.diff(at).tolist() == [len(w) for w in want]
+
+
+def test_decontamination_compares_passages_in_bounded_pieces(spark, monkeypatch):
+    """Cosines are held for so many pairs of passages at once, and pieces do not change what is found."""
+    rng = np.random.default_rng(9)
+    items = [" ".join(f"t{k}" for k in rng.integers(0, 900, 24)) for _ in range(40)]
+    docs = [" ".join([items[k % 40], *(f"t{x}" for x in rng.integers(0, 900, 200)), items[(7 * k) % 40]]) for k in range(12)]
+    search = decontaminate.Search(decontaminate.build_index(table(spark, docs), list(enumerate(items))))
+    whole = search(docs)
+    assert sum(map(len, whole)) >= 12
+    monkeypatch.setattr(decontaminate, "CELLS", 3 * len(search.x.passages))
+    seen = []
+
+    class Watched(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **more):
+            out = getattr(ufunc, method)(*(np.asarray(x) for x in inputs), **more)
+            seen.append(out.size)
+            return out
+    search.x.passages = search.x.passages.view(Watched)
+    items_of = lambda found: [{h["item"] for h in x} for x in found]
+    assert items_of(search(docs)) == items_of(whole) and seen and max(seen) <= decontaminate.CELLS
+
+
 def test_lm_scores(spark, monkeypatch):
     texts = [f"the cat number {i % 7} sat on the mat and saw dog {i}" for i in range(60)] + [None, "", "unseen words only", "THE cat", LONG]
     tokens = [(t or "").encode().lower().split() + [b" "] for t in texts]
