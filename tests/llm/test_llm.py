@@ -413,6 +413,21 @@ def test_lm_scores_equal_exact_counts(spark):
     assert off <= 0.02 * len(texts) + 1
 
 
+@pytest.mark.parametrize("blocks", [448, 64])
+def test_lm_scores_without_room_equal_those_with_room(spark, monkeypatch, blocks):
+    """Pairs behind rare contexts that the filter cannot hold, and words, if they alone are too many, come from a join."""
+    texts = [*lm_texts(), "", None, "w1 never w2", "THE Cat the"]
+
+    def scores(blocks):
+        monkeypatch.setattr(lm_bloom.learn, "__defaults__", (blocks, 500))
+        m, _ = lm_bloom.learn(table(spark, texts).select("text"))
+        return m, {r.doc_id: r.score for r in lm_bloom.learn_and_score(table(spark, texts)).collect()}
+    (roomy, want), (m, got) = scores(lm_bloom.MAX_BLOCKS), scores(blocks)
+    assert not roomy.apart and (roomy.far < 0).all() and (m.far >= 0).sum() > 50 and m.apart == (blocks == 64)
+    off = [i for i in want if not math.isclose(got[i], want[i], abs_tol=1e-6)]
+    assert got.keys() == want.keys() and len(off) <= 0.05 * len(texts)  # where the larger filter lets a word pass by chance
+
+
 def test_toxicity_learns_held_out(spark):
     rng = np.random.default_rng(2)
     texts, marks = [], []
