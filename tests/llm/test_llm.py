@@ -428,6 +428,28 @@ def test_lm_scores_without_room_equal_those_with_room(spark, monkeypatch, blocks
     assert got.keys() == want.keys() and len(off) <= 0.05 * len(texts)  # where the larger filter lets a word pass by chance
 
 
+def test_lm_asks_only_for_pairs_where_the_filter_holds_all_words(spark, monkeypatch):
+    """The table of words is not joined with every token that asks, and pairs that the filter holds are not shuffled."""
+    texts = table(spark, lm_texts()).select("doc_id", "text")
+    m, known = lm_bloom.learn(texts.select("text"), 448, 500)
+    assert not m.apart and (m.far >= 0).any()
+    tables, more = [], lm_bloom.joined_scores
+    monkeypatch.setattr(lm_bloom, "joined_scores", lambda scored, m, known: tables.append(scored) or more(scored, m, known))
+    lm_bloom.score_texts(texts, m, known, ["doc_id"])
+    assert more(tables[0], m, lm_bloom.Counts(None, known.pairs)).count() > 0
+    assert 0 < lm_bloom.gains(known.pairs, m).count() < known.pairs.count()
+
+
+def test_lm_model_reaches_the_driver_as_arrays(spark, monkeypatch):
+    """No object a word in the driver, and the filter comes by ranges: only the rows of levels are collected."""
+    seen, frame = [], type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    m, _ = lm_bloom.learn(table(spark, lm_texts()).select("text"))
+    assert len(m.head_keys) > 2000 and (np.diff(m.head_keys.view(np.uint64).astype(object)) > 0).all() and m.words.any()
+    assert sum(len(rows) for rows in seen) < 100 and not any(isinstance(v, (bytes, bytearray)) for rows in seen for r in rows for v in r)
+
+
 def test_toxicity_learns_held_out(spark):
     rng = np.random.default_rng(2)
     texts, marks = [], []
