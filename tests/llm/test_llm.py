@@ -4,6 +4,7 @@ import hashlib
 import html as htmllib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -428,6 +429,20 @@ def test_lm_scores_without_room_equal_those_with_room(spark, monkeypatch, blocks
     assert got.keys() == want.keys() and len(off) <= 0.05 * len(texts)  # where the larger filter lets a word pass by chance
 
 
+def test_lm_leaves_no_shuffle_files_of_what_it_staged(spark):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {disk.apply(i).getName() for i in range(disk.size()) if disk.apply(i).getName().startswith("shuffle_")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual, before = spark.conf.get(name, None), files()
+    scored = lm_bloom.learn_and_score(table(spark, lm_texts()))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(name, None) == usual
+    assert scored.count() == 400
+
+
 def test_lm_asks_only_for_pairs_where_the_filter_holds_all_words(spark, monkeypatch):
     """The table of words is not joined with every token that asks, and pairs that the filter holds are not shuffled."""
     texts = table(spark, lm_texts()).select("doc_id", "text")
