@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depfleet.staging import bounded_batches
+
 from . import bpe, decontaminate, jaccard, quality, secret_scan
 from .common import table
 
@@ -51,10 +55,21 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return coded.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
-STAGES = [
+def _bounded(apply):
+    """A stage whose texts reach Python workers in batches of bounded size."""
+
+    @wraps(apply)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return apply(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _bounded(apply)) for name, apply in (
     ("quality rules", quality_rules),
     ("n-gram Jaccard join", ngram_jaccard),
     ("benchmark decontamination", decontamination),
     ("secret scans", secrets),
     ("BPE encoding and decoding", bpe_encoding),
-]
+)]
