@@ -455,6 +455,21 @@ def test_lm_asks_only_for_pairs_where_the_filter_holds_all_words(spark, monkeypa
     assert 0 < lm_bloom.gains(known.pairs, m).count() < known.pairs.count()
 
 
+def test_lm_texts_that_were_learned_ask_little(spark):
+    """Without room for all pairs the frequent ones stay in the filter behind every context, and what was learned from asks only for those below the second level."""
+    texts = table(spark, lm_texts()).select("text")
+    m, known = lm_bloom.learn(texts, 560, 500)
+    pairs = [(int(lm_bloom.context_of(np.array([r.key]).view(np.uint64))[0]), int(lm_bloom.level(np.array([r.n]))[0]), r.n) for r in known.pairs.collect()]
+    kept = sum(q for of, q, _ in pairs if q >= m.least[of])
+    assert (m.far >= 0).sum() > 50 and kept <= 560 * 512 // lm_bloom.BITS_PER_ENTRY
+    behind_far = {int(x) for x in m.far if x >= 0}
+    every = sum(n for of, _, n in pairs if of in behind_far)
+    hashes = lm_bloom.WordHashes()
+    asked = [sum(len(x) for x in lm_bloom.score_chunk(lm_texts(), m, hashes, learned)["asked"].to_pylist()) for learned in (None, np.ones(400, bool))]
+    assert 0 < asked[0] < 0.75 * every and asked[1] < 0.5 * asked[0]
+    assert sum(n for of, q, n in pairs if q < m.least[of] and m.least[of] > 2) >= asked[1]
+
+
 def test_lm_model_reaches_the_driver_as_arrays(spark, monkeypatch):
     """No object a word in the driver, and the filter comes by ranges: only the rows of levels are collected."""
     seen, frame = [], type(spark.range(1))
