@@ -429,6 +429,35 @@ def test_lm_scores_without_room_equal_those_with_room(spark, monkeypatch, blocks
     assert got.keys() == want.keys() and len(off) <= 0.05 * len(texts)  # where the larger filter lets a word pass by chance
 
 
+@pytest.mark.parametrize("blocks", [lm_bloom.MAX_BLOCKS, 64])
+def test_lm_whole_scores_count_pairs_behind_every_word(spark, monkeypatch, blocks):
+    """The formula with dictionaries holds behind words seen once as well, in several ranges and stretches, with words in the filter and apart."""
+    texts = [*lm_texts(), "", None, "w1 never w2", "THE Cat the", "w2999 once behind", "w2999 once behind", "W2999  ONCE behind"]
+    monkeypatch.setattr(lm_bloom.learn, "__defaults__", (blocks, 500))
+    monkeypatch.setattr(lm_bloom, "RARE_TOKENS", 300)
+    rows = {r.doc_id: r.score for r in lm_bloom.learn_and_score(table(spark, texts), whole=True).collect()}
+    tokens = [(t or "").lower().split() + [" "] for t in texts]
+    train = [w for i, w in enumerate(tokens) if zlib.crc32(str(i).encode()) % 5 != 1]
+    words, pairs = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([" ", *w], w))
+    rough = lambda n: float(lm_bloom.count_of(lm_bloom.level(np.array([n])))[0])
+    head = {w for w in words if sum(n >= words[w] for n in words.values()) <= 500}
+    mass, kinds = Counter(), Counter()
+    for (v, _), n in pairs.items():
+        mass[v] += rough(n)
+        kinds[v] += 1
+    z = sum(n if w in head else rough(n) for w, n in words.items()) + 0.5 * (len(words) + 1)
+    off = 0
+    for i, w in enumerate(tokens):
+        want = 0.0
+        for v, x in zip([" ", *w], w):
+            own = ((words[x] if x in head else rough(words[x]) if x in words else 0.0) + 0.5) / z
+            told = rough(pairs[v, x]) - lm_bloom.DISCOUNT if (v, x) in pairs else 0.0
+            want += math.log10((told + lm_bloom.DISCOUNT * kinds[v] * own) / mass[v] if mass[v] else own)
+        off += not math.isclose(rows[i], want, abs_tol=1e-6)
+    assert rows.keys() == set(range(len(texts))) and off <= 0.05 * len(texts)  # a word that passes by chance
+    assert rows[404] == rows[405]
+
+
 def test_lm_leaves_no_shuffle_files_of_what_it_staged(spark):
     def files():
         disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
