@@ -22,7 +22,7 @@ from depfleet.staging import stage
 from .base import CTES, cte, memo, query
 from .graph_sql import fair
 from .graphs import text
-from .worlds import analysis, comparison, fleet, scenario_run, versions
+from .worlds import analysis, common, comparison, fleet, scenario_run, versions
 
 # --- the lite profile in SQL ------------------------------------------------------------------
 
@@ -380,7 +380,7 @@ UNION ALL SELECT x.h, 1, CASE WHEN p.i > 0 THEN p.i || ' component(s) reach them
 UNION ALL SELECT c.h, 0, count(*) || ' change(s) to ' || (SELECT count(*) FROM wtouch t WHERE t.h = c.h) || ' component(s).' FROM chg c GROUP BY c.h""")
 def whatif_story(spark, sf):
     r = scenario_run(spark, sf)
-    return wi.whatif_story(t.derive(spark, sf, "fleet_changes"), r["touched"], r["paths"], r["score"], r["ledger"])
+    return wi.whatif_story(t.derive(spark, sf, "fleet_changes", common(spark, sf)), r["touched"], r["paths"], r["score"], r["ledger"])
 
 
 # --- registering --------------------------------------------------------------------------------

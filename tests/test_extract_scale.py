@@ -98,3 +98,22 @@ def test_paths_with_nothing_to_resolve_stay_as_they_are(spark):
     rows = df.orderBy("i").collect()
     assert [r.n for r in rows] == want
     assert [r.d for r in rows][:6] == [None, None, "a", "", "a", "a/"]
+
+
+def test_versions_and_changes_are_made_of_links_joined_once(spark, tmp_path, monkeypatch):
+    """Items and orders meet once for both versions and the scenarios; the rows are those of the relations."""
+    from catalog import worlds
+    from depfleet.sources import tables as t
+
+    rng = random.Random(9)
+    orders = [(k, rng.choice([None, *range(60)])) for k in range(120)]
+    items = [(rng.randrange(125), rng.randrange(200), rng.randrange(50), rng.choice("RAN")) for _ in range(900)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sf, plans, staged = str(tmp_path), [], worlds.stage
+    monkeypatch.setattr(worlds, "stage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or staged(df))
+    got = [*worlds.versions(spark, sf), t.derive(spark, sf, "fleet_changes", worlds.common(spark, sf))]
+    assert sum("Relation [l_orderkey" in plan for plan in plans) == 1 and len(plans) == 5
+    want = [x for v in (1, 2) for x in t.fleet_version(spark, sf, v)] + [t.derive(spark, sf, "fleet_changes")]
+    for a, b in zip(got, want):
+        assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
