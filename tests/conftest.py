@@ -19,6 +19,20 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def usual_settings(request):
+    """Settings that registered queries lower for their session go back after each test, as the tests share one session."""
+    if "spark" not in request.fixturenames:
+        yield
+        return
+    from depfleet.staging import BROADCAST
+    session = request.getfixturevalue("spark")
+    before = {name: session.conf.get(name, None) for name in (*BROADCAST, "spark.sql.execution.arrow.maxBytesPerBatch")}
+    yield
+    for name, value in before.items():
+        session.conf.unset(name) if value is None else session.conf.set(name, value)
+
+
 NODE_SCHEMA = "graph_id string, node_id string, pos int, name string, type string, technology string, description string"
 EDGE_SCHEMA = ("graph_id string, edge_id string, pos int, src string, dst string, type string, protocol string, "
                "description string, ev_file string, ev_confidence string")
